@@ -51,6 +51,11 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 
 
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column computed once a row.  A plain column may be copied by the optimiser into filters and into every step of a lambda that names it; the output of a generator isn't."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def arrow_schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
     return pa.schema([pa.field(n, t) for n, t in fields])
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fixed, table
 
 THRESHOLD = 0.8
 
@@ -37,9 +37,9 @@ NORMAL = r"[^a-z0-9]+"
 
 def with_bigrams(df: DataFrame, column: str) -> DataFrame:
     """Adds `grams`, the distinct bigrams of a column's words ([] for fewer than two words)."""
-    df = df.withColumn("_w", F.filter(F.split(F.lower(column), NORMAL), lambda w: w != "")).withColumn("_n", F.size("_w"))
+    df = fixed(df, "_w", F.filter(F.split(F.lower(column), NORMAL), lambda w: w != "")).withColumn("_n", F.size("_w"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 2), lambda i: F.concat(F.get("_w", i), F.lit(" "), F.get("_w", i + 1)))
-    return df.withColumn("grams", F.when(F.col("_n") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))).drop("_w", "_n")
+    return fixed(df, "grams", F.when(F.col("_n") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))).drop("_w", "_n")
 
 
 def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
