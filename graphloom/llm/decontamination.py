@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, table
+from .common import fixed, maybe_broadcast, stored, table
 
 SPAN, GRAM = 10, 5
 
@@ -46,7 +46,7 @@ def winnowed(hashes: str, w: int) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, words, n: distinct items with words."""
-    return benchmark.select("item_id", words("text").alias("words")).distinct().withColumn("n", F.size("words")).where("n > 0")
+    return fixed(benchmark, "words", words("text")).select("item_id", "words").distinct().withColumn("n", F.size("words")).where("n > 0")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -57,18 +57,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     """
     width = span - gram + 1
     items = stored(_items(benchmark).select("item_id", "words", "n", F.xxhash64("words").alias("item_key")))
-    long_items = items.where(F.col("n") >= span).withColumn("h", gram_hashes("n", gram)).withColumn("kept", winnowed("h", width))
+    long_items = fixed(fixed(items.where(F.col("n") >= span), "h", gram_hashes("n", gram)), "kept", winnowed("h", width))
     prints = long_items.select(F.explode("kept").alias("print")).distinct()
     short = items.where(F.col("n") < span)
     lengths = sorted(r[0] for r in short.select("n").distinct().collect())  # span - 1 values at most
     short_prints = short.select(F.xxhash64("n", F.xxhash64(F.col("words"))).alias("print")).distinct()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = source.select("doc_id", F.xxhash64("text").alias("text_key"), words("text").alias("words")).withColumn("n", F.size("words"))
-    marked = base.withColumn("h", gram_hashes("n", gram)).withColumn("kept", winnowed("h", width))
+    base = fixed(source, "words", words("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "words", F.size("words").alias("n"))
+    marked = fixed(fixed(base, "h", gram_hashes("n", gram)), "kept", winnowed("h", width))
     for k in lengths:
         grams = F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i, k=k: F.xxhash64(F.lit(k), F.xxhash64(F.slice("words", i, k))))
-        marked = marked.withColumn("kept", F.when(F.col("n") >= k, F.concat("kept", F.array_distinct(grams))).otherwise(F.col("kept")))
+        marked = fixed(marked.withColumnRenamed("kept", "_kept"), "kept", F.when(F.col("n") >= k, F.concat("_kept", F.array_distinct(grams))).otherwise(F.col("_kept"))).drop("_kept")
     # One row a document without a print, which carries its length, and one for each kept hash.
     rows = marked.select("doc_id", "text_key", "n", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), "kept")).alias("print"))
     all_prints = maybe_broadcast(prints.unionByName(short_prints).distinct().withColumn("known", F.lit(True)), 24)
@@ -85,25 +85,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))
     fits = maybe_broadcast(per_doc.select("doc_id", "text_key").distinct(), 24)
     texts = keyed.alias("d").join(fits.alias("p"), on, "left_semi").dropDuplicates(["doc_id", "text_key"])
-    joined = texts.alias("d").join(per_doc.alias("p"), on).select("d.doc_id", "d.text_key", words("d.text").alias("dw"), "items")
+    joined = fixed(texts.alias("d").join(per_doc.alias("p"), on).select("d.doc_id", "d.text_key", "d.text", "items"), "dw", words("text"))
     # Each place of the document where the item's first gram of a window stands gives an alignment; every window on it is compared word for word.
-    cases = joined.withColumn("dn", F.size("dw")).withColumn("dh", gram_hashes("dn", gram, "dw")).select("doc_id", "text_key", "dw", "dn", "dh", F.explode("items").alias("it"))
-    cases = cases.select("doc_id", "text_key", "dw", "dn", "dh", "it.item_key", "it.iw", "it.m").withColumn("ih", gram_hashes("m", gram, "iw"))
+    cases = fixed(joined.withColumn("dn", F.size("dw")), "dh", gram_hashes("dn", gram, "dw")).select("doc_id", "text_key", "dw", "dn", "dh", F.explode("items").alias("it"))
+    cases = fixed(cases.select("doc_id", "text_key", "dw", "dn", "dh", "it.item_key", "it.iw", "it.m"), "ih", gram_hashes("m", gram, "iw"))
     anchors = F.filter(F.sequence(F.lit(0), F.size("dh") - 1), lambda p: F.array_contains(F.col("ih"), F.get(F.col("dh"), p)))
     whole = F.filter(F.sequence(F.lit(0), F.col("dn") - F.col("m")), lambda p: F.slice("dw", p + 1, F.col("m")) == F.col("iw"))
     long_hits = F.filter(
         F.col("anchors"),
         lambda p: F.array_contains(F.col("grams"), F.array_join(F.slice("dw", p + 1, span), " ")),
     )
-    cases = cases.withColumn("anchors", F.when((F.col("m") >= span) & (F.size("dh") > 0), anchors).otherwise(F.array().cast("array<int>")))
-    cases = cases.withColumn("grams", F.when(F.col("m") >= span, F.transform(F.sequence(F.lit(1), F.col("m") - span + 1), lambda i: F.array_join(F.slice("iw", i, span), " "))).otherwise(F.array().cast("array<string>")))
-    cases = cases.withColumn("places", F.when(F.col("m") >= span, long_hits).when(F.col("dn") >= F.col("m"), whole).otherwise(F.array().cast("array<int>")))
+    cases = fixed(cases, "anchors", F.when((F.col("m") >= span) & (F.size("dh") > 0), anchors).otherwise(F.array().cast("array<int>")))
+    cases = fixed(cases, "grams", F.when(F.col("m") >= span, F.transform(F.sequence(F.lit(1), F.col("m") - span + 1), lambda i: F.array_join(F.slice("iw", i, span), " "))).otherwise(F.array().cast("array<string>")))
+    cases = fixed(cases, "places", F.when(F.col("m") >= span, long_hits).when(F.col("dn") >= F.col("m"), whole).otherwise(F.array().cast("array<int>")))
     hits = cases.where(F.size("places") > 0).select("doc_id", "text_key", "item_key", F.least(F.col("m"), F.lit(span)).alias("m"), "places")
     hits = stored(hits)
     # Words hit: the union of the intervals, places in order; each adds what reaches beyond those before.
     spans = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("a"), (p + F.col("m")).alias("e")))))).alias("s"))
     covered = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["a"]))).alias("n"), F.greatest(acc["end"], x["e"]).alias("end")))
-    n_hit = spans.select("doc_id", "text_key", covered["n"].alias("n_hit"))
+    n_hit = fixed(spans, "c", covered).select("doc_id", "text_key", F.col("c.n").alias("n_hit"))
     named = hits.select("doc_id", "text_key", "item_key").distinct().join(maybe_broadcast(items.select("item_key", F.col("item_id").cast("string").alias("item_id")).distinct(), 64), "item_key")
     ids = named.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     verdict = n_hit.join(ids, (n_hit.doc_id.eqNullSafe(ids.doc_id)) & (n_hit.text_key == ids.text_key)).select(n_hit.doc_id.alias("_d"), n_hit.text_key.alias("_t"), "n_hit", "ids")
