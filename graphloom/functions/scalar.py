@@ -14,7 +14,7 @@ def c(x) -> Column:
 
 
 def cosine(a, b) -> Column:
-    """Cosine similarity of two arrays in double; 0 if either is empty or has no length.  Unequal lengths are cut to the shorter."""
+    """Cosine similarity of two arrays in double; 0 if either is empty or has no length.  Of unequal lengths the products stop at the shorter; the norms are whole."""
     n = F.least(F.size(c(a)), F.size(c(b)))
     x, y = F.slice(c(a), 1, n), F.slice(c(b), 1, n)
     zero = F.lit(0.0)

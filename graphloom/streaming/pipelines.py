@@ -40,10 +40,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def reinforcement(events: DataFrame, rate: float = P.INITIAL_DECAY_RATE, step: float = P.EXPLICIT_INCREMENT, start: float = 0.4) -> DataFrame:
+def reinforcement(events: DataFrame, rate: float = P.INITIAL_DECAY_RATE, step: float = P.EXPLICIT_INCREMENT, start: float = 0.4, idle_days: int | None = None) -> DataFrame:
     """(user_id, strength, n, last_ts) after each batch: a key's strength decays with the days between its events and rises with each.
 
-    State is a few numbers a key; keys without events for 90 days time out.
+    State is a few numbers a key.  With idle_days, keys without events for so long are forgotten (such a query runs a batch at every trigger).
     """
     import math
 
@@ -59,10 +59,11 @@ def reinforcement(events: DataFrame, rate: float = P.INITIAL_DECAY_RATE, step: f
                 strength = min(1.0, max(0.0, strength * math.exp(-rate * days)))
             strength, n, last = min(1.0, strength + step), n + 1, max(last or 0, t.value // 1000)
         state.update((strength, n, last))
-        state.setTimeoutDuration(P.HARD_PRUNE_DAYS * 86_400_000)
+        if idle_days:
+            state.setTimeoutDuration(idle_days * 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]], "strength": [round(strength, 6)], "n": [n], "last_us": [last]})
 
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(update, "user_id long, strength double, n long, last_us long", "strength double, n long, last_us long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(update, "user_id long, strength double, n long, last_us long", "strength double, n long, last_us long", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_days else GroupStateTimeout.NoTimeout)
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "fact"):
