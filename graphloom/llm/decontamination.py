@@ -44,6 +44,11 @@ def winnowed(hashes: str, w: int) -> Column:
     return F.when(size >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
 
 
+def whole_grams(k: int) -> Column:
+    """Hashes of all grams of k words of the column `words`, without repeats, as short items are hashed."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.xxhash64(F.lit(k), F.xxhash64(F.slice("words", i, k)))))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, words, n: distinct items with words."""
     return fixed(benchmark, "words", words("text")).select("item_id", "words").distinct().withColumn("n", F.size("words")).where("n > 0")
@@ -67,8 +72,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     base = fixed(source, "words", words("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "words", F.size("words").alias("n"))
     marked = fixed(fixed(base, "h", gram_hashes("n", gram)), "kept", winnowed("h", width))
     for k in lengths:
-        grams = F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i, k=k: F.xxhash64(F.lit(k), F.xxhash64(F.slice("words", i, k))))
-        marked = fixed(marked.withColumnRenamed("kept", "_kept"), "kept", F.when(F.col("n") >= k, F.concat("_kept", F.array_distinct(grams))).otherwise(F.col("_kept"))).drop("_kept")
+        marked = fixed(marked.withColumnRenamed("kept", "_kept"), "kept", F.when(F.col("n") >= k, F.concat("_kept", whole_grams(k))).otherwise(F.col("_kept"))).drop("_kept")
     # One row a document without a print, which carries its length, and one for each kept hash.
     rows = marked.select("doc_id", "text_key", "n", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), "kept")).alias("print"))
     all_prints = maybe_broadcast(prints.unionByName(short_prints).distinct().withColumn("known", F.lit(True)), 24)
