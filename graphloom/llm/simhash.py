@@ -183,8 +183,8 @@ def alike_documents(docs: DataFrame, shingle: int = 5, similarity: float = ALIKE
     """doc_id, fid, component_id of every row, for texts whose shingles' Jaccard similarity reaches `similarity`.
 
     At such distances no short segment need be equal, so the chain's start is probable, not certain: of 76 segments of 20 bits at
-    least one is equal for 95 % of pairs at 0.8, 99 % at 0.85 and over 99.9 % at 0.9.  From an equal segment the next must stay within
-    its budget, then the whole distance is checked.  Segments that many fingerprints share are linked to their smallest and
+    least one is equal for 95 % of pairs at 0.8, 99 % at 0.85 and over 99.9 % at 0.9.  Then the
+    whole distance is checked.  Segments that many fingerprints share are linked to their smallest and
     their largest member, not in pairs.
     """
     count, limit = 64 * WIDE // segment, most_bits(similarity)

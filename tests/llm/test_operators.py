@@ -292,6 +292,20 @@ def test_ring_links_lose_nothing(spark, segments, pairwise):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_alike_documents(spark, docs, none):
+    rng = np.random.default_rng(8)
+    text = rng.choice([f"v{i}" for i in range(400)], 300).tolist()
+    near = text[:100] + ["changed"] + text[101:]
+    far = rng.permutation(text).tolist()
+    more = spark.createDataFrame([(30, " ".join(text), "en", "s"), (31, " ".join(near), "en", "s"), (32, " ".join(far), "en", "s"), (33, " ".join(text).upper(), "en", "s")], SCHEMA)
+    both = docs.select(*more.columns).unionByName(more)
+    for pairwise in (24, 1):
+        got = {r["doc_id"]: r["component_id"] for r in rows(simhash.alike_documents(both, pairwise=pairwise))}
+        assert (got[30], got[31], got[32], got[33]) == (30, 30, 32, 30)
+        assert got[5] == got[6] == 5 and got[2] == got[3] == got[9] == 2 and got[4] == 4
+    assert rows(simhash.alike_documents(none)) == []
+
+
 # --- decontamination, licences --------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import corpus_pipeline
 from graphloom.llm import decontamination, packing, quality, simhash, toxicity
 from graphloom.llm.common import table
 
-from .test_operators import brute_components, brute_contamination, brute_fingerprint
+from .test_operators import brute_contamination
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,20 @@ def outputs(spark):
     return out
 
 
+def brute_reach(nodes, pairs):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        a, b = find(x), find(y)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in nodes}
+
+
 def ids(df):
     return {r.doc_id for r in df.select("doc_id").collect()}
 
@@ -38,14 +52,18 @@ def test_stages(spark, outputs):
     x = toxicity.train_toxicity(docs, table(spark, SF, "labels"))
     clean = {i for i in good if x.probability(x.evidence((text[i] or "").encode())[0]) < toxicity.CUT}
     assert ids(outputs[1]) == clean
-    fps = {i: brute_fingerprint(text[i], 5) for i in clean}
-    root = brute_components(fps.values())
-    first: dict = {}
-    for i in sorted(clean):
-        first.setdefault(root[fps[i]], i)
-    assert ids(outputs[2]) == set(first.values())
+    kept = ids(outputs[2])
+    wide = {i: simhash.wide_fingerprint((text[i] or "").encode()) for i in clean}
+    limit = simhash.most_bits(simhash.ALIKE)
+    order = sorted(clean)
+    close = {(x, y) for n, x in enumerate(order) for y in order[n + 1 :] if int(np.bitwise_count(wide[x] ^ wide[y]).sum()) <= limit}
+    reach = brute_reach(order, close)
+    assert {reach[i] for i in kept} == set(reach.values())  # every group keeps one
+    shingles = {i: set(zip(*[(text[i] or "").lower().split()[k:] for k in range(5)])) for i in clean}
+    alike = lambda x, y: len(shingles[x] & shingles[y]) / max(1, len(shingles[x] | shingles[y]))
+    assert not [(x, y) for x in kept for y in kept if x < y and (text[x] == text[y] or alike(x, y) >= 0.88)]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
-    left = {i for i in first.values() if not brute_contamination(text[i], items)[4]}
+    left = {i for i in kept if not brute_contamination(text[i], items)[4]}
     assert ids(outputs[3]) == left
     got = outputs[4].collect()
     assert {r.doc_id for r in got} == left
