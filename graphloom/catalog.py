@@ -20,6 +20,7 @@ from .operators import mutations as M
 from .operators import similarity as S
 from .operators import vector as V
 from .plans import composites as Z
+from .plans import ingest as I
 from .sources import readers as R
 from .sources import sinks as K
 from .views import Graph, duck
@@ -999,3 +1000,25 @@ def _(g):
 
     a = activity(g.table("events"))
     return a.select(F.to_date("start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("d18_snapshot_delta", "SELECT 'memory' AS name, (SELECT count(*) FROM memory) AS before, (SELECT count(*) FROM memory WHERE NOT ephemeral) AS after, -(SELECT count(*) FROM memory WHERE ephemeral) AS change")
+def _(g):
+    return I.snapshot_delta({"memory": g.memory}, {"memory": M.purge_ephemeral(g.memory)[0]})
+
+
+@query("x_lbl_framework_label", "SELECT id, CASE WHEN starts_with(x, 'iso-') THEN 'ISO' WHEN starts_with(x, 'sp800') THEN 'NIST' ELSE split_part(x, '.', 1) END AS label FROM (SELECT id, ['iso-27001.4', 'sp800-53r5.AC-1', 'cobit.apo', 'plain'][id % 4 + 1] AS x FROM control)")
+def _(g):
+    x = F.element_at(F.array(*[F.lit(v) for v in ("iso-27001.4", "sp800-53r5.AC-1", "cobit.apo", "plain")]), (F.col("id") % 4 + 1).cast("int"))
+    return g.control.select("id", X.framework_label(x, {"iso-": "ISO", "sp800": "NIST"}).alias("label"))
+
+
+@query("tx6_threat_candidates")
+def _(g):
+    return I.threat_candidates(signalled(g)).select("report", "id", "severity", "trend", F.array_join("techniques", ",").alias("techniques"))
+
+
+@query("w5_document_chunks")
+def _(g):
+    d = g.document.where("doc_id < 100").withColumn("body", F.regexp_replace("body", "\n", "\n## "))
+    return I.document_chunks(d)["has_next"]

@@ -296,3 +296,18 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
         q = ST.ingest(ST.event_stream(spark, src), out, str(tmp_path / f"c{i}")).trigger(availableNow=True).start()
         assert q.awaitTermination(60)
     assert sorted(r.fact.lower() for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_threats_from_reports(spark):
+    from graphloom.plans import ingest as I
+
+    body = "Attackers deployed ransomware across the whole network. Attackers deployed ransomware across the whole network. A phishing link was used against many staff members. Nothing here is of interest to anyone."
+    reports = spark.createDataFrame([("r1", body)], "doc_id string, body string")
+    known = spark.createDataFrame([("old", [1.0, 0.0])], "id string, embedding array<double>")
+    embed = lambda d: d.withColumn("embedding", F.when(F.col("text").contains("phishing"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.05))))
+    out = I.threats_from_reports(reports, known, embed, spark.createDataFrame([("T1486",), ("T1566",)], "id string"))
+    assert out["threats"].count() == 1
+    ident = {r.dst for r in out["identifies"].collect()}
+    assert "old" in ident and len(ident) == 2
+    assert {r.dst for r in out["techniques"].collect()} == {"T1486", "T1566"}
+    assert out["quarantine"].count() == 0
