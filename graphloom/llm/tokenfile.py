@@ -30,9 +30,10 @@ from .common import stored, table, text_input
 from .tokens import tokenizer_path, word_encoder
 
 MAGIC, END_ID = b"GLR1", 2
-ALPHABET, HASH_BITS, BLOCK_IDS, LANE_IDS = 49_408, 20, 1 << 21, 256
+ALPHABET, HASH_BITS, BLOCK_IDS, LANE_IDS = 49_408, 18, 1 << 21, 256
 ROW_IDS = 1 << 21
-_TOP, _LOW32 = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
+#: An interval is kept above 2**40, so that the rarest id's share of the smallest part of it is never empty.
+_TOP, _LEAST, _LOW32 = np.uint64(1 << 48), np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
 _U16, _U48 = np.uint64(16), np.uint64(48)
 
 
@@ -41,8 +42,8 @@ class _Models:
 
     def __init__(self, lanes: int, alphabet: int, hash_bits: int):
         self.alphabet, self.mask = alphabet, (1 << hash_bits) - 1
-        self.two, self.two_n = np.zeros(1 << hash_bits, np.int32), np.zeros(1 << hash_bits, np.int8)
-        self.one, self.one_n = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
+        # An entry is an id and, in its low four bits, the confidence in it.
+        self.two, self.one = np.zeros(1 << hash_bits, np.int32), np.zeros(alphabet, np.int32)
         cell = np.arange(512)
         self.seen = np.stack([1 + 2 * ((cell >> 4) & 15), 1 + 2 * (cell & 15), np.full(512, 8)], 1).astype(np.float64)
         self.seen[256:, 1] = 0.01
@@ -60,23 +61,28 @@ class _Models:
         self.cum = np.zeros(self.alphabet + 1, np.uint64)
         np.cumsum(self.count, out=self.cum[1:], dtype=np.uint64)
         self.total = self.cum[-1]
+        self.cum32 = self.cum[1:].astype(np.uint32)
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose part of the order-0 table holds each value."""
+        return np.searchsorted(self.cum32, v.astype(np.uint32), side="right")
 
     def predict(self, n: int):
         """For the first n lanes: the predicted ids and the shares of the interval."""
         self.h = (self.a[:n] * 0x9E5 + self.b[:n] * 0x1F35B) & self.mask
-        self.c2, self.n2 = self.two[self.h], self.two_n[self.h]
-        self.c1, self.n1 = self.one[self.b[:n]], self.one_n[self.b[:n]]
-        self.cell = (self.n2.astype(np.int64) << 4) + self.n1 + ((self.c1 == self.c2).astype(np.int64) << 8)
-        return self.c2, self.c1, self.w2[self.cell], self.w1[self.cell]
+        self.g2, self.g1 = self.two[self.h], self.one[self.b[:n]]
+        self.n2, self.n1 = self.g2 & 15, self.g1 & 15
+        c2, c1 = self.g2 >> 4, self.g1 >> 4
+        self.cell = ((self.n2 << 4) + self.n1 + ((c1 == c2) * np.int32(256))).astype(np.int64)
+        return c2, c1, self.w2[self.cell], self.w1[self.cell]
 
     def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
         n = len(ids)
         self.seen += np.bincount(self.cell * 3 + kind, minlength=1536).reshape(512, 3)
-        for at, guess, sure, names, counts in ((self.h, self.c2, self.n2, self.two, self.two_n), (self.b[:n], self.c1, self.n1, self.one, self.one_n)):
-            hit = guess == ids
-            weak = ~hit & (sure == 0)
-            counts[at] = np.where(hit, np.minimum(sure + 1, 15), np.maximum(sure - 2, 0))
-            names[at[weak]] = ids[weak]
+        fresh = ids.astype(np.int32) << 4
+        for at, was, sure, entries in ((self.h, self.g2, self.n2, self.two), (self.b[:n], self.g1, self.n1, self.one)):
+            wrong = np.where(sure == 0, fresh, was - np.minimum(sure, 2))
+            entries[at] = np.where(was - sure == fresh, was + (sure < 15), wrong)
         self.a[:n], self.b[:n] = self.b[:n], ids
         self.waiting.append(ids[kind == 2])
         self.step += 1
@@ -110,37 +116,36 @@ def encode_block(ids: np.ndarray, alphabet: int = ALPHABET, hash_bits: int = HAS
         """Gives out the settled top words, of all lanes or of those named."""
         lo, sp = (low, span) if at is None else (low[at], span[at])
         settled = (lo ^ (lo + sp)) < _TOP
-        go = np.flatnonzero(settled | (sp <= _LOW32))
+        go = np.flatnonzero(settled | (sp <= _LEAST))
         while len(go):
             who = go if at is None else at[go]
             lo, sp, fine = lo[go], sp[go], settled[go]
-            sp = np.where(fine, sp, (~lo + np.uint64(1)) & _LOW32)
+            sp = np.where(fine, sp, (~lo + np.uint64(1)) & _LEAST)
             out_lane.append(who.astype(np.uint16 if lanes <= 65536 else np.uint32))
             out_word.append((lo >> _U48).astype(np.uint16))
             lo, sp = lo << _U16, sp << _U16
             low[who], span[who] = lo, sp
             settled = (lo ^ (lo + sp)) < _TOP
-            go, at = np.flatnonzero(settled | (sp <= _LOW32)), who
+            go, at = np.flatnonzero(settled | (sp <= _LEAST)), who
 
     for t in range(steps):
-        k = lanes if t * 1 < steps and (lanes - 1) * steps + t < n else -(-(n - t) // steps)
+        k = lanes if (lanes - 1) * steps + t < n else -(-(n - t) // steps)
         x = grid[t, :k]
         c2, c1, w2, w1 = m.predict(k)
-        hit2 = c2 == x
-        kind = np.where(hit2, 0, np.where(c1 == x, 1, 2))
-        start = np.where(kind == 0, np.uint64(0), np.where(kind == 1, w2, w2 + w1))
-        size = np.where(kind == 0, w2, np.where(kind == 1, w1, np.uint64(65536) - w2 - w1))
+        kind = np.where(c2 == x, 0, np.where(c1 == x, 1, 2))
         r = span[:k] >> _U16
-        low[:k] += start * r
-        span[:k] = size * r
-        renorm(None if k == lanes else np.arange(k))
+        edge2, edge1 = w2 * r, (w2 + w1) * r
+        start, size = np.where(kind == 0, np.uint64(0), edge2), np.where(kind == 0, edge2, edge1 - edge2)
         miss = np.flatnonzero(kind == 2)
         if len(miss):
-            y = x[miss]
-            r = span[miss] // m.total
-            low[miss] += m.cum[y] * r
-            span[miss] = (m.cum[y + 1] - m.cum[y]) * r
-            renorm(miss)
+            y, e = x[miss], edge1[miss]
+            r0 = ((r[miss] << _U16) - e) // m.total
+            c = m.cum[y]
+            start[miss] = e + c * r0
+            size[miss] = (m.cum[y + 1] - c) * r0
+        low[:k] += start
+        span[:k] = size
+        renorm(None if k == lanes else np.arange(k))
         m.update(x, kind)
     for shift in (48, 32):  # a value whose low half is zero lies in every interval of 2**32 or more
         if shift == 48:
@@ -183,42 +188,40 @@ def decode_block(data: bytes, at: int = 0, alphabet: int = ALPHABET, hash_bits:
     def renorm(at=None):
         lo, sp = (low, span) if at is None else (low[at], span[at])
         settled = (lo ^ (lo + sp)) < _TOP
-        go = np.flatnonzero(settled | (sp <= _LOW32))
+        go = np.flatnonzero(settled | (sp <= _LEAST))
         while len(go):
             who = go if at is None else at[go]
             lo, sp, fine = lo[go], sp[go], settled[go]
-            sp = np.where(fine, sp, (~lo + np.uint64(1)) & _LOW32)
+            sp = np.where(fine, sp, (~lo + np.uint64(1)) & _LEAST)
             p = place[who]
             code[who] = (code[who] << _U16) | np.where(p < stop[who], word[np.minimum(p, len(word) - 1)], np.uint64(0))
             place[who] = p + 1
             lo, sp = lo << _U16, sp << _U16
             low[who], span[who] = lo, sp
             settled = (lo ^ (lo + sp)) < _TOP
-            go, at = np.flatnonzero(settled | (sp <= _LOW32)), who
+            go, at = np.flatnonzero(settled | (sp <= _LEAST)), who
 
     for t in range(steps):
         k = lanes if (lanes - 1) * steps + t < n else -(-(n - t) // steps)
         c2, c1, w2, w1 = m.predict(k)
-        r = span[:k] >> _U16
-        v = np.minimum((code[:k] - low[:k]) // r, np.uint64(65535))
-        kind = np.where(v < w2, 0, np.where(v < w2 + w1, 1, 2))
-        start = np.where(kind == 0, np.uint64(0), np.where(kind == 1, w2, w2 + w1))
-        size = np.where(kind == 0, w2, np.where(kind == 1, w1, np.uint64(65536) - w2 - w1))
-        x = np.where(kind == 0, c2, c1)
-        low[:k] += start * r
-        span[:k] = size * r
-        renorm(None if k == lanes else np.arange(k))
-        miss = np.flatnonzero(kind == 2)
+        r, v = span[:k] >> _U16, code[:k] - low[:k]
+        edge2, edge1 = w2 * r, (w2 + w1) * r
+        first = v < edge2
+        x = np.where(first, c2, c1)
+        start, size = np.where(first, np.uint64(0), edge2), np.where(first, edge2, edge1 - edge2)
+        miss = np.flatnonzero(v >= edge1)
         if len(miss):
-            r = span[miss] // m.total
-            v = np.minimum((code[miss] - low[miss]) // r, m.total - np.uint64(1))
-            y = np.searchsorted(m.cum, v, side="right") - 1
+            e = edge1[miss]
+            r0 = ((r[miss] << _U16) - e) // m.total
+            y = m.find(np.minimum((v[miss] - e) // r0, m.total - np.uint64(1)))
+            c = m.cum[y]
             x[miss] = y
-            low[miss] += m.cum[y] * r
-            span[miss] = (m.cum[y + 1] - m.cum[y]) * r
-            renorm(miss)
-        kind2 = np.where(c2 == x, 0, np.where(c1 == x, 1, 2))  # as the encoder names it
-        m.update(x, kind2)
+            start[miss] = e + c * r0
+            size[miss] = (m.cum[y + 1] - c) * r0
+        low[:k] += start
+        span[:k] = size
+        renorm(None if k == lanes else np.arange(k))
+        m.update(x, np.where(c2 == x, 0, np.where(c1 == x, 1, 2)))
         grid[t, :k] = x
     ids = np.ascontiguousarray(grid.T).ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
