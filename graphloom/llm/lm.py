@@ -7,7 +7,7 @@ shape (a hash of its last letters), so an unknown word has a class too.
 P(class | context) is log-bilinear (Mnih, Hinton 2007): the context vectors of the three classes before
 and of the text's running mean are summed and multiplied with the class vectors.  Training is
 noise-contrastive (Gutmann, Hyvarinen 2010; Mnih, Teh 2012) against the class frequencies, in numpy, one model a partition,
-averaged over partitions with a grouped sum.  Scoring takes batched matrix products over all classes, so its
+averaged over partitions with a grouped sum; every training text takes part, in groups of bounded size.  Scoring takes batched matrix products over all classes, so its
 probabilities are normalised.  P(word | class) is the word's discounted count; the mass discounted
 is the probability of the class's unknown word.
 
@@ -33,8 +33,8 @@ FOLDS, HELD_OUT = 7, 2
 TOP, SHAPES, DIM, ORDER = 64, 64, 12, 3
 #: Words looked up in memory by each task, by count; all others are joined.
 HEAD = 60_000
-#: One in so many training texts trains the vectors; counts take every text.
-SAMPLE_EVERY, NOISE, EPOCHS, BATCH, RATE = 48, 12, 3, 512, 0.5
+#: Every training text trains the vectors, in one pass.
+NOISE, EPOCHS, BATCH, RATE = 12, 1, 512, 0.5
 DISCOUNT = 0.6
 END = b""
 CHUNK = 1024
@@ -68,6 +68,11 @@ def initial(seed: int = 3) -> np.ndarray:
     return np.concatenate([rng.normal(0, 0.1, n * DIM * (2 + ORDER)), np.zeros(n)]).astype(np.float32)
 
 
+def squares() -> np.ndarray:
+    """AdaGrad's sums before any step."""
+    return np.full((TOP + SHAPES) * (DIM * (2 + ORDER) + 1), 1e-2, np.float32)
+
+
 def split(params: np.ndarray):
     n = TOP + SHAPES
     k = n * DIM
@@ -110,12 +115,17 @@ def class_log_probabilities(params: np.ndarray, classes: np.ndarray, starts: np.
     return out
 
 
-def train(params: np.ndarray, classes: np.ndarray, starts: np.ndarray, noise: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> np.ndarray:
-    """Noise-contrastive estimation by minibatches with AdaGrad steps; noise: the class frequencies (sum 1)."""
-    params = params.astype(np.float64).copy()
+def train(params: np.ndarray, classes: np.ndarray, starts: np.ndarray, noise: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11, total: np.ndarray | None = None) -> np.ndarray:
+    """Noise-contrastive estimation by minibatches with AdaGrad steps; noise: the class frequencies (sum 1).
+
+    total: the squared gradients so far, which are added to in place, for training that goes on with further texts.
+    """
+    params = params.astype(np.float32)
     n, rng = len(classes), np.random.default_rng(seed)
-    total = np.full(len(params), 1e-2)
-    log_noise = np.log(NOISE * noise)
+    total = squares() if total is None else total
+    log_noise = np.log(NOISE * noise).astype(np.float32)
+    one, names = np.float32(1), np.arange(len(noise), dtype=classes.dtype)[:, None]
+    picked = lambda c: (names == c).astype(np.float32)  # noqa: E731  A product with it sums rows by class.
     cum = np.cumsum(noise)
     for epoch in range(epochs):
         for a in rng.permutation(np.arange(0, n, BATCH)):
@@ -125,35 +135,35 @@ def train(params: np.ndarray, classes: np.ndarray, starts: np.ndarray, noise: np
             own, first = classes[sl], np.maximum(starts[sl], lo)  # the mean's gradient looks back 64 tokens at most
             at = np.arange(sl.start, sl.stop)
             before = [np.where(at - i >= starts[sl], classes[np.maximum(at - i, 0)], 0) for i in range(1, ORDER + 1)]
-            run = np.concatenate([np.zeros((1, DIM)), np.cumsum(mean[classes[lo : sl.stop]], axis=0)])
-            share = 1 / (at - first + 8)
+            run = np.concatenate([np.zeros((1, DIM), np.float32), np.cumsum(mean[classes[lo : sl.stop]], axis=0)])
+            share = (1 / (at - first + 8)).astype(np.float32)
             h = (run[at - lo] - run[first - lo]) * share[:, None]
             for i in range(ORDER):
                 h = h + places[i][before[i]]
             other = np.searchsorted(cum, rng.random(NOISE * 8) * cum[-1]).clip(0, len(noise) - 1)  # shared by the batch
-            k = len(other) / NOISE
+            k = np.float32(len(other) / NOISE)
             d_own = (h * target[own]).sum(1) + bias[own] - log_noise[own]
             d_other = h @ target[other].T + bias[other] - log_noise[other]
-            g_own = 1 / (1 + np.exp(-np.clip(d_own, -30, 30))) - 1
-            g_other = 1 / (1 + np.exp(-np.clip(d_other, -30, 30))) / k
+            g_own = one / (1 + np.exp(-np.clip(d_own, -30, 30))) - one
+            g_other = one / (1 + np.exp(-np.clip(d_other, -30, 30))) / k
             grad = np.zeros_like(params)
             gt, gp, gm, gb = split(grad)
-            np.add.at(gt, own, g_own[:, None] * h)
-            np.add.at(gt, other, g_other.T @ h)
-            np.add.at(gb, own, g_own)
-            np.add.at(gb, other, g_other.sum(0))
+            of_own, of_other = picked(own), picked(other)
+            gt += of_own @ (g_own[:, None] * h) + of_other @ (g_other.T @ h)
+            gb += of_own @ g_own + of_other @ g_other.sum(0)
             gh = g_own[:, None] * target[own] + g_other @ target[other]
             for i in range(ORDER):
-                np.add.at(gp[i], before[i], gh)
+                gp[i] += picked(before[i]) @ gh
             spread = gh * share[:, None]
-            back = np.zeros((sl.stop - lo + 1, DIM))
-            np.add.at(back, first - lo, spread)
-            np.add.at(back, at - lo, -spread)
-            np.add.at(gm, classes[lo : sl.stop], np.cumsum(back, axis=0)[:-1])
-            grad /= len(own)
+            back = np.zeros((sl.stop - lo + 1, DIM), np.float32)
+            begins = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])  # the texts in the batch
+            back[first[begins] - lo] += np.add.reduceat(spread, begins, axis=0)
+            back[at - lo] -= spread
+            gm += picked(classes[lo : sl.stop]) @ np.cumsum(back, axis=0)[:-1]
+            grad /= np.float32(len(own))
             total += grad * grad
             params -= rate * grad / np.sqrt(total)
-    return params.astype(np.float32)
+    return params
 
 
 def _laid_out(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -164,6 +174,11 @@ def _laid_out(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndar
     return flat, starts, words
 
 
+def training(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """The texts that the model is made from: all that are not held out."""
+    return text_input(docs).where(fold("doc_id", folds) != held_out)
+
+
 def word_counts(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """word (bytes; the end is empty), c: counts over all training texts, summed by task before the shuffle."""
 
@@ -182,8 +197,7 @@ def word_counts(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -
                 yield out()
         yield out()
 
-    source = text_input(docs).where(fold("doc_id", folds) != held_out)
-    return source.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return training(docs, folds, held_out).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def _groups(batches, limit: int = 2_000_000):
@@ -240,17 +254,16 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -
     split(start)[3][:] = np.log(noise)
 
     def fit(batches):
-        own = Classes(alone)
-        parts = [(c, s, len(c)) for c, s, _ in (_laid_out([t for _, t in rows], own) for rows in _groups(batches))]
-        if parts:
-            flat = np.concatenate([c for c, _, _ in parts])
-            shift = np.concatenate([[0], np.cumsum([n for _, _, n in parts])[:-1]])
-            starts = np.concatenate([s + d for (_, s, _), d in zip(parts, shift)])
-            p = train(start, flat, starts, noise).astype(np.float64) * len(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1), pa.int32()), pa.array(np.append(p, float(len(flat))), pa.float64())], names=["i", "x"])
-
-    sample = text_input(docs).where((fold("doc_id", folds) != held_out) & (F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0))
-    learned = sorted(sample.mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect())  # as many rows as parameters
+        own, p, seen, total_ = Classes(alone), start, 0, squares()
+        for i, rows in enumerate(_groups(batches)):
+            flat, starts, _ = _laid_out([t for _, t in rows], own)
+            p = train(p, flat, starts, noise, seed=11 + i, total=total_)
+            seen += len(flat)
+        if seen:
+            x = np.append(p.astype(np.float64) * seen, float(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)), pa.int32()), pa.array(x, pa.float64())], names=["i", "x"])
+
+    learned = sorted(training(docs, folds, held_out).mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect())  # as many rows as parameters
     params = (np.array([x for _, x in learned[:-1]]) / learned[-1][1]).astype(np.float32) if learned else start
 
     denominator = math.log10(total + known + 1)

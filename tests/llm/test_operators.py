@@ -427,6 +427,14 @@ def test_language_model(labelled, docs, none):
     assert rows(lm.score_texts(none)) == []
 
 
+def test_every_training_text_trains(spark):
+    """Texts whose order can be learned, with ids that a sample of one in 48 by hash leaves out."""
+    text = " ".join(["one", "two", "three", "four"] * 100)
+    few = spark.range(60).where("pmod(xxhash64(id), 48) <> 0").selectExpr("id AS doc_id", f"'{text}' AS text").coalesce(1)
+    got = rows(lm.score_texts(few))
+    assert sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got) > math.log10(0.35)  # by counts alone: 0.25
+
+
 def test_classes_are_normalised():
     p = lm.initial()
     own = lm.Classes({lm.END: 0})
