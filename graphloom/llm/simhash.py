@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import stored, table, text_input
+from .common import maybe_broadcast, stored, table, text_input
 
 SHINGLE, SEED, BITS, DISTANCE, SEGMENTS, PAIRWISE = 3, 42, 64, 2, 5, 24
 
@@ -144,8 +145,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, the bits of a segment, and how alike texts must be.
-WIDE, SEGMENT_BITS, ALIKE = 24, 20, 0.8
+#: Wide fingerprints' words of 64 bits (a measure for tests; no stage decides by it), and how alike texts must be.
+WIDE, ALIKE = 24, 0.8
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5, words: int = WIDE) -> np.ndarray:
@@ -179,51 +180,169 @@ def most_bits(similarity: float, words: int = WIDE, slack: float = 1.0) -> int:
     return int(64 * words * p + slack * math.sqrt(64 * words * p * (1 - p)))
 
 
-def alike_documents(docs: DataFrame, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, segment: int = SEGMENT_BITS) -> DataFrame:
-    """doc_id, fid, component_id of every row, for texts whose shingles' Jaccard similarity reaches `similarity`.
+#: Shingles in `COMMON_LEAST` or more of a sample of 1 in `COMMON_SAMPLE` texts come last in the order of prefixes, the `COMMON` commonest of them at most.  Results do not depend on it.
+COMMON, COMMON_SAMPLE, COMMON_LEAST = 50_000, 16, 3
+#: Most members of a crowded key that one side of a task compares.
+BLOCK = 1024
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
-    At such distances no short segment need be equal, so the chain's start is probable, not certain: of 76 segments of 20 bits at
-    least one is equal for 95 % of pairs at 0.8, 99 % at 0.85 and over 99.9 % at 0.9.  Then the
-    whole distance is checked.  Segments that many fingerprints share are linked to their smallest and
-    their largest member, not in pairs.
-    """
-    count, limit = 64 * WIDE // segment, most_bits(similarity)
 
-    def run(batches):
-        for b in batches:
-            wide = np.array([wide_fingerprint((t.as_py() or "").encode(), shingle) for t in b.column(1)], np.uint64).reshape(-1, WIDE)
-            import xxhash
+class WordHashes(dict):
+    """Words to hashes, kept up to a bound."""
 
-            fid = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in wide], np.uint64).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(wide.view(np.int64).ravel()), WIDE).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fid, pa.int64()), lists], names=["doc_id", "fid", "wide"])
+    def __missing__(self, word):
+        import xxhash
 
-    fps = stored(text_input(docs).mapInArrow(run, "doc_id long, fid long, wide array<long>"))
-    nodes = stored(fps.groupBy("fid").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")))
+        h = xxhash.xxh64_intdigest(word, SEED)
+        if len(self) < 60_000:
+            self[word] = h
+        return h
 
-    def keys(batches):
-        weights = np.uint64(1) << np.arange(segment, dtype=np.uint64)
-        for b in batches:
-            w = np.array(b.column(1).to_pylist(), np.int64).reshape(-1, WIDE)
-            bits = np.unpackbits(w.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")[:, : count * segment]
-            k = bits.reshape(len(w), count, segment).astype(np.uint64) @ weights + (np.arange(count, dtype=np.uint64) << np.uint64(segment))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array(k.astype(np.int64).ravel())], names=["fid", "key"])
-
-    keyed = stored(nodes.select("fid", "wide").mapInArrow(keys, "fid long, key long"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("lo"), F.max("fid").alias("hi")).where("n > 1")
-    few = keyed.join(shared.where(F.col("n") <= pairwise).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("fid")).alias("f"))  # at most `pairwise` each
-    pairs = few.select("key", "f", F.posexplode("f").alias("i", "a")).select("key", "a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
-    many = keyed.join(shared.where(F.col("n") > pairwise), "key")
-    stars = many.select("key", F.least("lo", "fid").alias("a"), F.greatest("lo", "fid").alias("b")).unionByName(many.select("key", F.least("hi", "fid").alias("a"), F.greatest("hi", "fid").alias("b")))
-    found = pairs.unionByName(stars).where("a <> b").groupBy("a", "b").agg(F.min("key").alias("key"))
-    w = nodes.select("fid", "wide")
-    met = found.join(w.select(F.col("fid").alias("a"), F.col("wide").alias("wa")), "a").join(w.select(F.col("fid").alias("b"), F.col("wide").alias("wb")), "b")
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    links = met.where(apart <= limit).select("a", "b")
-    roots = components(links)
-    grouped = nodes.join(roots, nodes.fid == roots.node, "left").select("fid", "least", F.coalesce("root", "fid").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "fid").join(grouped.join(smallest, "root").select("fid", "component_id"), "fid").select("doc_id", "fid", "component_id")
+
+def shingle_hashes(text: bytes, shingle: int, hashes: WordHashes) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted.  Fewer words than a shingle's are one shingle, and so are none."""
+    w = words_of(text)
+    h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+    k = min(shingle, len(w))
+    out = np.full(max(1, len(w) - k + 1) if k else 1, k, np.uint64)
+    for i in range(k):
+        out = out * ODD + h[i : len(w) - k + 1 + i]
+        out ^= out >> np.uint64(31)
+    return np.unique(out.view(np.int64))
+
+
+def pieces(batches, rows: int = 512):
+    """Batches of fewer rows, as long lists are made of each."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def least_shared(similarity: float, a, b):
+    """Shingles that sets of these sizes must share to be alike."""
+    return (a + b) * (similarity / (1 + similarity)) - 1e-6
+
+
+def feasible(t: pa.Table, similarity: float, i=slice(None)) -> np.ndarray:
+    """Which members of a crowded key (rows `i` by all) may be alike with this shingle as their first common one, and are not joined yet: by sizes, places and roots."""
+    fid, size, at, root, own = (t.column(c).to_numpy() for c in ("fid", "size", "at", "root", "own"))
+    a = (lambda v: v[i, None]) if isinstance(i, slice) else (lambda v: v[i])
+    out = (a(root) != root) & (np.minimum(a(size - at), size - at) >= least_shared(similarity, a(size), size))
+    if t.column("x")[0].as_py() != t.column("y")[0].as_py():
+        out &= a(own) != own
+    return out
+
+
+def block_members(similarity: float):
+    """The members of a crowded key, of one block or of two, that have a feasible partner."""
+    return lambda t: t.filter(pa.array(feasible(t, similarity).any(axis=1)))
+
+
+def block_links(similarity: float):
+    """For the same members, with their shingles: links that join all that are alike and not joined yet."""
+
+    def run(t: pa.Table) -> pa.Table:
+        fid, size = (t.column(c).to_numpy() for c in ("fid", "size"))
+        _, flat = np.unique(np.concatenate([np.asarray(g.values) for g in t.column("grams")]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        _, group = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        mark, a, b = np.zeros(flat.max() + 1, bool), [], []
+        for i in range(len(fid)):
+            open_ = feasible(t, similarity, i) & (group != group[i]) & (np.arange(len(fid)) > i)
+            if open_.any():
+                part = flat[starts[i] : starts[i] + size[i]]
+                mark[part] = True
+                shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+                mark[part] = False
+                for j in np.flatnonzero(open_ & (shared >= least_shared(similarity, size, size[i]))):
+                    if group[j] != group[i]:
+                        a.append(fid[i])
+                        b.append(fid[j])
+                        group[group == group[j]] = group[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
+    """doc_id, fid, root and the columns in `keep` of every row: rows have one root if a chain of texts whose shingles' Jaccard similarity reaches `similarity` joins them.
+
+    Exact.  Two sets alike from t on share one of the first n - ceil(t * n) + 1 shingles of each in any order common to all; those are the
+    keys here, with shingles known to be common last.  A fid stands for a set of shingles, so exact copies are one.  Keys of at most `pairwise` fids
+    give their pairs, less those that sizes and places exclude; of larger ones all members meet the smallest and the largest fid first.
+    Then the members that have not been joined and that sizes and places allow are compared whole, block by block, which gives links and no pairs.
+    """
+    source = text_input(docs, *keep)
+    kept = source.schema.fields[2:]
+
+    def run(batches):
+        import xxhash
+
+        hashes = WordHashes()
+        for b in pieces(batches):
+            grams = [shingle_hashes((t.as_py() or "").encode(), shingle, hashes) for t in b.column(1)]
+            fid = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in grams], np.uint64).view(np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fid), lists, *b.columns[2:]], names=["doc_id", "fid", "grams", *keep])
+
+    fps = stored(source.mapInArrow(run, StructType([StructField("doc_id", LongType()), StructField("fid", LongType()), StructField("grams", ArrayType(LongType())), *kept])))
+    often = fps.where(F.pmod("fid", F.lit(COMMON_SAMPLE)) == 0).select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= COMMON_LEAST)
+    common = np.sort(np.array([r.g for r in often.orderBy(F.desc("count"), "g").limit(COMMON).collect()], np.int64))  # bounded by COMMON
+
+    def prefixes(batches):
+        for b in pieces(batches):
+            keys, sizes, lengths = [], [], []
+            for g in b.column(1):
+                g = np.asarray(g.values)
+                if len(common):
+                    last = common[np.searchsorted(common, g).clip(0, len(common) - 1)] == g
+                    g = np.concatenate([g[~last], g[last]])
+                keys.append(g[: len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1])
+                sizes.append(len(g))
+                lengths.append(len(keys[-1]))
+            at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])
+            columns = (np.concatenate([np.zeros(0, np.int64), *keys]), np.repeat(b.column(0).to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths).astype(np.int32), at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fid", "size", "at"])
+
+    keyed = fps.select("fid", "grams").mapInArrow(prefixes, "key long, fid long, size int, at int").repartition("key").groupBy("key", "fid").agg(F.min("size").alias("size"), F.min("at").alias("at"))
+    of_key = Window.partitionBy("key")
+    shared = stored(keyed.select("*", F.count("*").over(of_key).alias("n"), F.min(F.struct("fid", "size", "at")).over(of_key).alias("lo"), F.max(F.struct("fid", "size", "at")).over(of_key).alias("hi")).where("n > 1"))
+    few = shared.where(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fid", "size", "at"))).alias("f"))  # at most `pairwise` each
+    pairs = few.select("f", F.posexplode("f").alias("i", "a")).select("a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
+    many = shared.where(F.col("n") > pairwise)
+    stars = many.select(F.explode(F.array("lo", "hi")).alias("a"), F.struct("fid", "size", "at").alias("b")).where("a.fid <> b.fid")
+    # A pair's first common shingle is followed by all the others.
+    most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    pairs = pairs.unionByName(stars).where(most >= least_shared(similarity, F.col("a.size"), F.col("b.size"))).select(F.least("a.fid", "b.fid").alias("a"), F.greatest("a.fid", "b.fid").alias("b"))
+    found = stored(pairs.distinct())
+
+    def with_grams(df: DataFrame, fid: str, name: str) -> DataFrame:
+        wanted = maybe_broadcast(stored(df.select(F.col(fid).alias("fid")).distinct()), 16)
+        return df.join(fps.select("fid", "grams").join(wanted, "fid", "left_semi").dropDuplicates(["fid"]).select(F.col("fid").alias(fid), F.col("grams").alias(name)), fid)
+
+    met = with_grams(with_grams(found, "a", "ga"), "b", "gb")
+    links = met.where(F.size(F.array_intersect("ga", "gb")) >= least_shared(similarity, F.size("ga"), F.size("gb"))).select("a", "b")
+    roots = stored(components(links))
+    crowded = many.drop("lo", "hi").join(roots, F.col("fid") == F.col("node"), "left").select("key", "fid", "size", "at", "n", F.coalesce("root", "fid").alias("root"))
+    apart = crowded.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
+    rest = stored(crowded.join(apart, "key"))
+    if not rest.isEmpty():
+        blocks = F.ceil(F.col("n") / block)
+        own = rest.withColumn("own", F.pmod(F.xxhash64("fid"), blocks))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        dealt = dealt.drop("other", "n")
+        able = stored(dealt.groupBy("key", "x", "y").applyInArrow(block_members(similarity), dealt.schema))
+        more = with_grams(able, "fid", "grams").groupBy("key", "x", "y").applyInArrow(block_links(similarity), "a long, b long")
+        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    return fps.join(roots, fps.fid == roots.node, "left").select("doc_id", "fid", F.coalesce("root", "fid").alias("root"), *keep)
+
+
+def alike_documents(docs: DataFrame, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
+    """doc_id, fid, component_id (the smallest doc_id) of every row, by alike_groups."""
+    found = stored(alike_groups(docs, shingle=shingle, similarity=similarity, pairwise=pairwise, block=block))
+    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(smallest, "root").select("doc_id", "fid", "component_id")
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,32 @@ def test_alike_documents(spark, docs, none):
     assert rows(simhash.alike_documents(none)) == []
 
 
+def brute_alike(texts):
+    """The components of texts by exact similarity of five-word shingles."""
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for x in sorted(texts):
+        for y in sorted(texts):
+            if x < y and root[x] != root[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                low, high = sorted((root[x], root[y]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_alike_documents_at_the_limit(spark):
+    """Pairs of similarities from about 0.75 to 0.88: those at 0.8 and more are linked, the others are not."""
+    texts = {}
+    for i in range(120):
+        w = [f"p{i}w{k}" for k in range(104)]
+        texts[2 * i] = " ".join(w)
+        edge = 6 + i % 9  # this many of 100 shingles go at one end, and as many come
+        texts[2 * i + 1] = " ".join(w[edge:] + [f"q{i}w{k}" for k in range(edge)])
+    want = brute_alike(texts)
+    assert 0 < sum(want[i] != i for i in texts) < 120
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.alike_documents(spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")))}
+    assert got == want
+
+
 # --- decontamination, licences --------------------------------------------------------------------
 
 
