@@ -332,6 +332,24 @@ def test_alike_documents_at_the_limit(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("pairwise,block", [(24, 1024), (3, 16), (1, 7)])
+def test_crowded_keys_lose_nothing(spark, pairwise, block):
+    """Texts of one source share most of their words and are not alike; each has a true near copy."""
+    rng, texts = np.random.default_rng(10), {}
+    shared = [f"b{k}" for k in range(160)]
+    for i in range(60):
+        own = [f"p{i}w{k}" for k in range(40)]
+        texts[2 * i] = " ".join(shared + own)
+        near = shared + own
+        for at in rng.integers(5, 45, 3) + [0, 50, 100]:  # similarity 0.86
+            near[at] = f"changed{i}"
+        texts[2 * i + 1] = " ".join(near)
+    want = brute_alike(texts)
+    assert len(set(want.values())) == 60
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.alike_documents(spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string"), pairwise=pairwise, block=block))}
+    assert got == want
+
+
 # --- decontamination, licences --------------------------------------------------------------------
 
 
