@@ -351,12 +351,15 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest doc_id; of several rows with that id, all whose text is the smallest of theirs count as one.
+    """One row of each near-duplicate group: the one of the smallest doc_id (null comes last), then of the smallest hash of its text, then of all its columns.
 
+    Ids need be neither unique nor known: rows of different groups stay, whatever their ids.
     Word shingles here take five words and texts are alike from a similarity of 0.8 on, as stages on shingles do.
     """
-    columns = docs.columns
-    found = alike_documents(docs)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.select(*columns).dropDuplicates(["doc_id"])
+    hashed = docs.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"), F.col("_hash").alias("row"))
+    found = alike_groups(hashed.withColumn("_rank", rank), "_rank")
+    kept = found.groupBy("root").agg(F.min("_rank").alias("r")).select(F.col("r.doc_id").alias("_kept"), F.col("r.row").alias("_row"))
+    out = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_row")), "left_semi")
+    # What is left more than once are rows alike in every column.
+    return out.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)

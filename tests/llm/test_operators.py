@@ -350,6 +350,16 @@ def test_crowded_keys_lose_nothing(spark, pairwise, block):
     assert got == want
 
 
+def test_each_group_keeps_one_row(spark, docs):
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(40))
+    some = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (8, text("d")), (9, text("c")), (None, text("d"))]
+    for order in (some, some[::-1]):
+        got = rows(simhash.keep_one_of_each(spark, spark.createDataFrame(order, "doc_id long, text string"), ""))
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d"))])
+    assert simhash.keep_one_of_each(spark, docs, "").columns == docs.columns
+    assert Counter(r["doc_id"] for r in rows(simhash.keep_one_of_each(spark, docs, ""))) == Counter([1, 2, 4, 5, None, 7, 8, 10])
+
+
 # --- decontamination, licences --------------------------------------------------------------------
 
 
