@@ -15,13 +15,15 @@ group's size.  Exact copies are one fingerprint throughout.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import maybe_broadcast, stored, table, text_input
+from .common import discard, maybe_broadcast, small_enough, stored, table, text_input, unused
 
 SHINGLE, SEED, BITS, DISTANCE, SEGMENTS, PAIRWISE = 3, 42, 64, 2, 5, 24
 
@@ -121,7 +123,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small)
+        before, edges = edges, stored(small)
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -145,46 +148,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints' words of 64 bits (a measure for tests; no stage decides by it), and how alike texts must be.
-WIDE, ALIKE = 24, 0.8
-
-
-def wide_fingerprint(text: bytes, shingle: int = 5, words: int = WIDE) -> np.ndarray:
-    """`words` times 64 bits of one SimHash; further words come from each shingle's hash, mixed with an odd constant."""
-    import xxhash
-
-    w = words_of(text)
-    if not w:
-        return np.zeros(words, np.uint64)
-    h = xxhash.xxh64_intdigest
-    grams = map(b" ".join, zip(*[w[i:] for i in range(shingle)])) if len(w) > shingle else [b" ".join(w)]
-    hashes = np.fromiter((h(g, SEED) for g in grams), np.uint64)
-    out = np.empty(words, np.uint64)
-    for j in range(words):
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), 65536):
-            x = hashes[at : at + 65536]
-            if j:
-                x = (x ^ (x >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF)
-                x = x ^ (x >> np.uint64(32))
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[j] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def most_bits(similarity: float, words: int = WIDE, slack: float = 1.0) -> int:
-    """The bits in which two wide fingerprints of texts of this Jaccard similarity differ, and `slack` standard deviations."""
-    import math
-
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(64 * words * p + slack * math.sqrt(64 * words * p * (1 - p)))
-
-
+#: Bits of the prints that near copies are pruned by, segments of their ring, how alike texts must be, and how many standard deviations the prints of such texts may differ beyond the mean.
+PRINT_BITS, RING, ALIKE, SLACK = 128, 8, 0.8, 5.0
+#: Texts of fewer shingles go to the exact check without the ring: few shingles make a coarse print.
+SURE = 64
 #: Shingles in `COMMON_LEAST` or more of a sample of 1 in `COMMON_SAMPLE` texts come last in the order of prefixes, the `COMMON` commonest of them at most.  Results do not depend on it.
 COMMON, COMMON_SAMPLE, COMMON_LEAST = 50_000, 16, 3
-#: Most members of a crowded key that one side of a task compares.
-BLOCK = 1024
-ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Most members, and shingles, of a crowded key that one side of a task compares.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordHashes(dict):
@@ -211,6 +183,47 @@ def shingle_hashes(text: bytes, shingle: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def wide_print(grams: np.ndarray, bits: int = PRINT_BITS) -> np.ndarray:
+    """The SimHash of a set of shingle hashes, `bits` bits in words of 64: a bit is set if over half of the hashes, mixed anew for each word, have it."""
+    out = np.empty(bits // 64, np.uint64)
+    x = grams.view(np.uint64)
+    for j in range(len(out)):
+        x = (x ^ (x >> np.uint64(30))) * MIX + ODD
+        x ^= x >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(x), 65536):
+            ones += np.unpackbits(x[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[j] = np.packbits(2 * ones > len(x), bitorder="little").view(np.uint64)[0]
+    return out.view(np.int64)
+
+
+def most_bits(similarity: float, bits: int = PRINT_BITS, slack: float = SLACK) -> int:
+    """The bits in which the prints of two texts of this Jaccard similarity differ on average, and `slack` standard deviations."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def on_ring(differences: list, limit: int, both=lambda x, y: x & y, either=lambda x, y: x | y):
+    """Whether some chain of consecutive segments stays within i * limit / m at each length i up to the whole ring (the full Hamming check).  `differences`: by segment, numbers, arrays or columns."""
+    m, found = len(differences), None
+    for start in range(m):
+        total, chain = 0, None
+        for i in range(m):
+            total = total + differences[(start + i) % m]
+            within = total <= (i + 1) * limit // m
+            chain = within if chain is None else both(chain, within)
+        found = chain if found is None else either(found, chain)
+    return found
+
+
+def ring_column(a: list[Column], b: list[Column], limit: int, segments: int = RING) -> Column:
+    """on_ring of two prints given as columns of 64 bits."""
+    each, width = segments // len(a), 64 * len(a) // segments
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    masks = [signed(((1 << width) - 1) << (width * i)) for i in range(each)]
+    return on_ring([F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(k))) for x, y in zip(a, b) for k in masks], limit)
+
+
 def pieces(batches, rows: int = 512):
     """Batches of fewer rows, as long lists are made of each."""
     for b in batches:
@@ -223,22 +236,28 @@ def least_shared(similarity: float, a, b):
     return (a + b) * (similarity / (1 + similarity)) - 1e-6
 
 
-def feasible(t: pa.Table, similarity: float, i=slice(None)) -> np.ndarray:
-    """Which members of a crowded key (rows `i` by all) may be alike with this shingle as their first common one, and are not joined yet: by sizes, places and roots."""
-    fid, size, at, root, own = (t.column(c).to_numpy() for c in ("fid", "size", "at", "root", "own"))
+def feasible(t: pa.Table, similarity: float, limit: int, i=slice(None)) -> np.ndarray:
+    """Which members of a crowded key (rows `i` by all) may be alike with this shingle as their first common one, and are not joined yet: by sizes, places, roots, and chains of their prints' segments."""
+    size, at, root, own, p0, p1 = (t.column(c).to_numpy() for c in ("size", "at", "root", "own", "p0", "p1"))
     a = (lambda v: v[i, None]) if isinstance(i, slice) else (lambda v: v[i])
     out = (a(root) != root) & (np.minimum(a(size - at), size - at) >= least_shared(similarity, a(size), size))
     if t.column("x")[0].as_py() != t.column("y")[0].as_py():
         out &= a(own) != own
+    if isinstance(i, slice):
+        y, x = np.nonzero(out)
+        each, width = RING * 64 // PRINT_BITS, PRINT_BITS // RING
+        part = lambda v: [((v[y] ^ v[x]) >> np.uint64(width * j)) & np.uint64((1 << width) - 1) for j in range(each)]
+        differences = [np.bitwise_count(d).astype(np.int16) for d in (*part(p0.view(np.uint64)), *part(p1.view(np.uint64)))]
+        out[y, x] = (np.minimum(size[y], size[x]) < SURE) | on_ring(differences, limit) if len(y) else False
     return out
 
 
-def block_members(similarity: float):
+def block_members(similarity: float, limit: int):
     """The members of a crowded key, of one block or of two, that have a feasible partner."""
-    return lambda t: t.filter(pa.array(feasible(t, similarity).any(axis=1)))
+    return lambda t: t.filter(pa.array(feasible(t, similarity, limit).any(axis=1)))
 
 
-def block_links(similarity: float):
+def block_links(similarity: float, limit: int):
     """For the same members, with their shingles: links that join all that are alike and not joined yet."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -246,9 +265,9 @@ def block_links(similarity: float):
         _, flat = np.unique(np.concatenate([np.asarray(g.values) for g in t.column("grams")]), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         _, group = np.unique(t.column("root").to_numpy(), return_inverse=True)
-        mark, a, b = np.zeros(flat.max() + 1, bool), [], []
+        able, mark, a, b = feasible(t, similarity, limit), np.zeros(flat.max() + 1, bool), [], []
         for i in range(len(fid)):
-            open_ = feasible(t, similarity, i) & (group != group[i]) & (np.arange(len(fid)) > i)
+            open_ = able[i] & (group != group[i]) & (np.arange(len(fid)) > i)
             if open_.any():
                 part = flat[starts[i] : starts[i] + size[i]]
                 mark[part] = True
@@ -264,78 +283,126 @@ def block_links(similarity: float):
     return run
 
 
+def _fid(grams: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in arrays])]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles known to be common, sorted, from a sample of the texts by hash; they only order prefixes."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in pieces(batches):
+            g, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[shingle_hashes((t.as_py() or "").encode(), shingle, hashes) for t in b.column(0)]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n, pa.int64())], names=["g", "n"])
+
+    sample = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(COMMON_SAMPLE)) == 0)
+    often = sample.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    return np.sort(np.array([r.g for r in often.orderBy(F.desc("n"), "g").limit(COMMON).collect()], np.int64))  # bounded by COMMON
+
+
 def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
     """doc_id, fid, root and the columns in `keep` of every row: rows have one root if a chain of texts whose shingles' Jaccard similarity reaches `similarity` joins them.
 
-    Exact.  Two sets alike from t on share one of the first n - ceil(t * n) + 1 shingles of each in any order common to all; those are the
-    keys here, with shingles known to be common last.  A fid stands for a set of shingles, so exact copies are one.  Keys of at most `pairwise` fids
-    give their pairs, less those that sizes and places exclude; of larger ones all members meet the smallest and the largest fid first.
-    Then the members that have not been joined and that sizes and places allow are compared whole, block by block, which gives links and no pairs.
+    Two sets alike from t on share one of the first n - ceil(t * n) + 1 shingles of each in any order common to all; those are the
+    keys here, with shingles known to be common last.  A fid stands for a set of shingles, so exact copies are one.  Candidates of a key pass the sizes' and
+    places' bounds, then the pigeonring filter on wide prints (chains of segments within proportional budgets, then the whole distance), then the exact similarity.
+    The prints' limit lies SLACK standard deviations beyond the mean at `similarity`: about one pair in 10**6 just at the threshold goes missed, all others are certain.
+
+    First all members of a key meet its smallest and largest fid.  Of keys whose members that has not joined, those of up to `pairwise` fids
+    give their pairs; larger ones are compared block by block in tasks of bounded size, which give links and no pairs.
+    Null and empty texts are one set of shingles, and so one group.  Repeated rows share their group.  An empty table gives no rows.
     """
-    source = text_input(docs, *keep)
-    kept = source.schema.fields[2:]
+    limit = most_bits(similarity)
+    common = common_shingles(docs, shingle)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), *keep)
+    kept = source.schema.fields[3:]
 
     def run(batches):
-        import xxhash
-
         hashes = WordHashes()
         for b in pieces(batches):
             grams = [shingle_hashes((t.as_py() or "").encode(), shingle, hashes) for t in b.column(1)]
-            fid = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in grams], np.uint64).view(np.int64)
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fid), lists, *b.columns[2:]], names=["doc_id", "fid", "grams", *keep])
-
-    fps = stored(source.mapInArrow(run, StructType([StructField("doc_id", LongType()), StructField("fid", LongType()), StructField("grams", ArrayType(LongType())), *kept])))
-    often = fps.where(F.pmod("fid", F.lit(COMMON_SAMPLE)) == 0).select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= COMMON_LEAST)
-    common = np.sort(np.array([r.g for r in often.orderBy(F.desc("count"), "g").limit(COMMON).collect()], np.int64))  # bounded by COMMON
-
-    def prefixes(batches):
-        for b in pieces(batches):
-            keys, sizes, lengths = [], [], []
-            for g in b.column(1):
-                g = np.asarray(g.values)
+            fid, size = np.array([_fid(g) for g in grams], np.int64), np.array([len(g) for g in grams], np.int32)
+            prints = np.array([wide_print(g) for g in grams], np.int64).reshape(-1, PRINT_BITS // 64)
+            first = []
+            for g in grams:
                 if len(common):
                     last = common[np.searchsorted(common, g).clip(0, len(common) - 1)] == g
                     g = np.concatenate([g[~last], g[last]])
-                keys.append(g[: len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1])
-                sizes.append(len(g))
-                lengths.append(len(keys[-1]))
-            at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])
-            columns = (np.concatenate([np.zeros(0, np.int64), *keys]), np.repeat(b.column(0).to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths).astype(np.int32), at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fid", "size", "at"])
-
-    keyed = fps.select("fid", "grams").mapInArrow(prefixes, "key long, fid long, size int, at int").repartition("key").groupBy("key", "fid").agg(F.min("size").alias("size"), F.min("at").alias("at"))
-    of_key = Window.partitionBy("key")
-    shared = stored(keyed.select("*", F.count("*").over(of_key).alias("n"), F.min(F.struct("fid", "size", "at")).over(of_key).alias("lo"), F.max(F.struct("fid", "size", "at")).over(of_key).alias("hi")).where("n > 1"))
-    few = shared.where(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fid", "size", "at"))).alias("f"))  # at most `pairwise` each
-    pairs = few.select("f", F.posexplode("f").alias("i", "a")).select("a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
-    many = shared.where(F.col("n") > pairwise)
-    stars = many.select(F.explode(F.array("lo", "hi")).alias("a"), F.struct("fid", "size", "at").alias("b")).where("a.fid <> b.fid")
-    # A pair's first common shingle is followed by all the others.
-    most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    pairs = pairs.unionByName(stars).where(most >= least_shared(similarity, F.col("a.size"), F.col("b.size"))).select(F.least("a.fid", "b.fid").alias("a"), F.greatest("a.fid", "b.fid").alias("b"))
-    found = stored(pairs.distinct())
-
-    def with_grams(df: DataFrame, fid: str, name: str) -> DataFrame:
-        wanted = maybe_broadcast(stored(df.select(F.col(fid).alias("fid")).distinct()), 16)
-        return df.join(fps.select("fid", "grams").join(wanted, "fid", "left_semi").dropDuplicates(["fid"]).select(F.col("fid").alias(fid), F.col("grams").alias(name)), fid)
-
-    met = with_grams(with_grams(found, "a", "ga"), "b", "gb")
-    links = met.where(F.size(F.array_intersect("ga", "gb")) >= least_shared(similarity, F.size("ga"), F.size("gb"))).select("a", "b")
+                first.append(g[: len(g) - math.ceil(similarity * len(g) - 1e-6) + 1])
+            columns = [b.column(0), pa.array(fid), pa.array(size), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), b.column(2), _lists(first), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fid", "size", "p0", "p1", "th", "first", *keep])
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("fid", LongType()), StructField("size", IntegerType()), *[StructField(c, LongType()) for c in ("p0", "p1", "th")], StructField("first", ArrayType(LongType())), *kept])
+    rows = stored(source.mapInArrow(run, schema))
+    reps = stored(rows.select("fid", "size", "p0", "p1", "th", "first").dropDuplicates(["fid"]))
+    keyed = reps.select("fid", "size", F.posexplode("first").alias("at", "key"))
+    keys = stored(reps.select("fid", F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("lo"), F.max("fid").alias("hi")).where("n > 1"))
+    shared = stored(keyed.join(maybe_broadcast(keys, 40), "key"))
+    whole = F.col("size") - F.col("at")
+
+    def ring(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of fids, those whose prints pass the pigeonring filter."""
+        sides = [F.broadcast(x) if small else x for small in [small_enough(reps, 40)] for x in (reps.select(F.col("fid").alias(c), *[F.col(k).alias(c + k) for k in ("size", "p0", "p1")]) for c in "ab")]
+        met = pairs.join(sides[0], "a").join(sides[1], "b")
+        near = ring_column([F.col("ap0"), F.col("ap1")], [F.col("bp0"), F.col("bp1")], limit)
+        return met.where((F.least("asize", "bsize") < SURE) | near).select("a", "b")
+
+    def grams_of(fids: DataFrame) -> DataFrame:
+        """fid, grams of the given fids, read from their texts again."""
+
+        def again(batches):
+            hashes = WordHashes()
+            for b in pieces(batches):
+                grams = [shingle_hashes((t.as_py() or "").encode(), shingle, hashes) for t in b.column(1)]
+                same = pa.array([f == _fid(g) for f, g in zip(b.column(0).to_pylist(), grams)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(grams)], names=["fid", "grams"]).filter(same)
+
+        wanted = stored(reps.join(maybe_broadcast(fids, 16), "fid", "left_semi").select("fid", F.col("th").alias("_th")))
+        texts = source.select("text", "_th").join(maybe_broadcast(wanted, 24), "_th").groupBy("fid").agg(F.first("text").alias("text"))
+        return stored(texts.mapInArrow(again, "fid long, grams array<long>"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b), those that are alike."""
+        pairs = stored(ring(pairs))
+        grams = grams_of(pairs.select(F.col("a").alias("fid")).unionByName(pairs.select(F.col("b").alias("fid"))).distinct())
+        met = pairs.join(grams.select(F.col("fid").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("fid").alias("b"), F.col("grams").alias("gb")), "b")
+        return stored(met.where(F.size(F.array_intersect("ga", "gb")) >= least_shared(similarity, F.size("ga"), F.size("gb"))).select("a", "b"))
+
+    # The hubs' sizes and places come from their own rows.
+    hubs = shared.where("fid = lo or fid = hi").select("key", F.col("fid").alias("hub"), whole.alias("hub_rest"), F.col("size").alias("hub_size"))
+    stars = shared.join(maybe_broadcast(hubs, 40), "key").where("fid <> hub").where(F.least(whole, "hub_rest") >= least_shared(similarity, F.col("size"), F.col("hub_size")))
+    links = verified(stars.select(F.least("fid", "hub").alias("a"), F.greatest("fid", "hub").alias("b")).distinct())
     roots = stored(components(links))
-    crowded = many.drop("lo", "hi").join(roots, F.col("fid") == F.col("node"), "left").select("key", "fid", "size", "at", "n", F.coalesce("root", "fid").alias("root"))
-    apart = crowded.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
-    rest = stored(crowded.join(apart, "key"))
-    if not rest.isEmpty():
-        blocks = F.ceil(F.col("n") / block)
-        own = rest.withColumn("own", F.pmod(F.xxhash64("fid"), blocks))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        dealt = dealt.drop("other", "n")
-        able = stored(dealt.groupBy("key", "x", "y").applyInArrow(block_members(similarity), dealt.schema))
-        more = with_grams(able, "fid", "grams").groupBy("key", "x", "y").applyInArrow(block_links(similarity), "a long, b long")
-        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    return fps.join(roots, fps.fid == roots.node, "left").select("doc_id", "fid", F.coalesce("root", "fid").alias("root"), *keep)
+    rooted = shared.drop("lo", "hi").join(maybe_broadcast(roots, 24), F.col("fid") == F.col("node"), "left").select("key", "fid", "size", "at", "n", F.coalesce("root", "fid").alias("root"))
+    rooted = stored(rooted)
+    apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.sum("size").alias("_all")).where("_lo < _hi").select("key", "_all")
+    rest = stored(rooted.join(maybe_broadcast(stored(apart), 24), "key"))
+    few = rest.where(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fid", "size", "at", "root"))).alias("f"))  # at most `pairwise` each
+    pairs = few.select("f", F.posexplode("f").alias("i", "a")).select("a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b")).where("a.root <> b.root")
+    most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))  # a pair's first common shingle is followed by all the others
+    pairs = pairs.where(most >= least_shared(similarity, F.col("a.size"), F.col("b.size"))).select(F.col("a.fid").alias("a"), F.col("b.fid").alias("b")).distinct()
+    more = verified(pairs)
+    crowded = rest.where(F.col("n") > pairwise)
+    if not crowded.isEmpty():
+        blocks = F.ceil(F.greatest(F.col("n") / block, F.col("_all") / BLOCK_SHINGLES)).cast("long")
+        dealt = crowded.withColumn("own", F.pmod(F.xxhash64("fid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "n", "_all")
+        prints = reps.select("fid", "p0", "p1")
+        dealt = dealt.join(maybe_broadcast(stored(prints.join(maybe_broadcast(crowded.select("fid").distinct(), 16), "fid", "left_semi")), 32), "fid")
+        able = stored(dealt.groupBy("key", "x", "y").applyInArrow(block_members(similarity, limit), dealt.schema))
+        of = grams_of(able.select("fid").distinct())
+        more = more.unionByName(able.join(of, "fid").groupBy("key", "x", "y").applyInArrow(block_links(similarity, limit), "a long, b long"))
+    roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    out = rows.select("doc_id", "fid", *keep)
+    return out.join(maybe_broadcast(roots, 24), out.fid == roots.node, "left").select("doc_id", "fid", F.coalesce("root", "fid").alias("root"), *keep)
 
 
 def alike_documents(docs: DataFrame, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
@@ -356,10 +423,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Ids need be neither unique nor known: rows of different groups stay, whatever their ids.
     Word shingles here take five words and texts are alike from a similarity of 0.8 on, as stages on shingles do.
     """
-    hashed = docs.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"), F.col("_hash").alias("row"))
-    found = alike_groups(hashed.withColumn("_rank", rank), "_rank")
-    kept = found.groupBy("root").agg(F.min("_rank").alias("r")).select(F.col("r.doc_id").alias("_kept"), F.col("r.row").alias("_row"))
-    out = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_row")), "left_semi")
+    hash_, rank_, kept_, row_ = unused(docs, "_hash", "_rank", "_kept", "_row")
+    hashed = docs.withColumn(hash_, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"), F.col(hash_).alias("row"))
+    found = alike_groups(hashed.select("doc_id", "text", rank.alias(rank_)), rank_)
+    kept = found.groupBy("root").agg(F.min(rank_).alias("r")).select(F.col("r.doc_id").alias(kept_), F.col("r.row").alias(row_))
+    out = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_)) & (F.col(hash_) == F.col(row_)), "left_semi")
     # What is left more than once are rows alike in every column.
-    return out.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return out.dropDuplicates(["doc_id", hash_]).select(*[f"`{c}`" for c in docs.columns])
