@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import discard, maybe_broadcast, small_enough, stored, table, text_input, unused
+from .common import discard, fixed, maybe_broadcast, small_enough, stored, table, text_input, unused
 
 SHINGLE, SEED, BITS, DISTANCE, SEGMENTS, PAIRWISE = 3, 42, 64, 2, 5, 24
 
@@ -149,7 +149,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 #: Bits of the prints that near copies are pruned by, segments of their ring, how alike texts must be, and how many standard deviations the prints of such texts may differ beyond the mean.
-PRINT_BITS, RING, ALIKE, SLACK = 128, 8, 0.8, 5.0
+PRINT_BITS, RING, ALIKE, SLACK = 256, 16, 0.8, 5.0
+#: Longest chain of segments that is tested before the whole print.
+CHAIN = 4
 #: Texts of fewer shingles go to the exact check without the ring: few shingles make a coarse print.
 SURE = 64
 #: Shingles in `COMMON_LEAST` or more of a sample of 1 in `COMMON_SAMPLE` texts come last in the order of prefixes, the `COMMON` commonest of them at most.  Results do not depend on it.
@@ -203,25 +205,28 @@ def most_bits(similarity: float, bits: int = PRINT_BITS, slack: float = SLACK) -
     return math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def on_ring(differences: list, limit: int, both=lambda x, y: x & y, either=lambda x, y: x | y):
-    """Whether some chain of consecutive segments stays within i * limit / m at each length i up to the whole ring (the full Hamming check).  `differences`: by segment, numbers, arrays or columns."""
+def on_ring(differences: list, limit: int, longest: int = CHAIN):
+    """Whether some chain of consecutive segments stays within i * limit / m at each length i up to `longest`.  `differences`: by segment, numbers, arrays or columns."""
     m, found = len(differences), None
     for start in range(m):
         total, chain = 0, None
-        for i in range(m):
+        for i in range(longest):
             total = total + differences[(start + i) % m]
             within = total <= (i + 1) * limit // m
-            chain = within if chain is None else both(chain, within)
-        found = chain if found is None else either(found, chain)
+            chain = within if chain is None else chain & within
+        found = chain if found is None else found | chain
     return found
 
 
-def ring_column(a: list[Column], b: list[Column], limit: int, segments: int = RING) -> Column:
-    """on_ring of two prints given as columns of 64 bits."""
-    each, width = segments // len(a), 64 * len(a) // segments
+def near_prints(pairs: DataFrame, a: str, b: str, limit: int, bits: int = PRINT_BITS, segments: int = RING) -> DataFrame:
+    """Of pairs with their prints (arrays of 64 bits) those that pass the chains, and then the full Hamming check."""
+    each, width = segments * 64 // bits, bits // segments
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     masks = [signed(((1 << width) - 1) << (width * i)) for i in range(each)]
-    return on_ring([F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(k))) for x, y in zip(a, b) for k in masks], limit)
+    words = [F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i)) for i in range(bits // 64)]
+    met = fixed(pairs, "_ring", F.array(*[F.bit_count(w.bitwiseAND(F.lit(k))) for w in words for k in masks]))
+    met = met.where(on_ring([F.get(F.col("_ring"), i) for i in range(segments)], limit))
+    return met.where(F.aggregate("_ring", F.lit(0), lambda x, y: x + y) <= limit).drop("_ring")
 
 
 def pieces(batches, rows: int = 512):
@@ -238,7 +243,7 @@ def least_shared(similarity: float, a, b):
 
 def feasible(t: pa.Table, similarity: float, limit: int, i=slice(None)) -> np.ndarray:
     """Which members of a crowded key (rows `i` by all) may be alike with this shingle as their first common one, and are not joined yet: by sizes, places, roots, and chains of their prints' segments."""
-    size, at, root, own, p0, p1 = (t.column(c).to_numpy() for c in ("size", "at", "root", "own", "p0", "p1"))
+    size, at, root, own = (t.column(c).to_numpy() for c in ("size", "at", "root", "own"))
     a = (lambda v: v[i, None]) if isinstance(i, slice) else (lambda v: v[i])
     out = (a(root) != root) & (np.minimum(a(size - at), size - at) >= least_shared(similarity, a(size), size))
     if t.column("x")[0].as_py() != t.column("y")[0].as_py():
@@ -246,9 +251,10 @@ def feasible(t: pa.Table, similarity: float, limit: int, i=slice(None)) -> np.nd
     if isinstance(i, slice):
         y, x = np.nonzero(out)
         each, width = RING * 64 // PRINT_BITS, PRINT_BITS // RING
+        words = np.concatenate([np.asarray(p.values) for p in t.column("print")]).view(np.uint64).reshape(len(size), -1).T
         part = lambda v: [((v[y] ^ v[x]) >> np.uint64(width * j)) & np.uint64((1 << width) - 1) for j in range(each)]
-        differences = [np.bitwise_count(d).astype(np.int16) for d in (*part(p0.view(np.uint64)), *part(p1.view(np.uint64)))]
-        out[y, x] = (np.minimum(size[y], size[x]) < SURE) | on_ring(differences, limit) if len(y) else False
+        differences = [np.bitwise_count(d).astype(np.int16) for v in words for d in part(v)]
+        out[y, x] = (np.minimum(size[y], size[x]) < SURE) | (on_ring(differences, limit) & (sum(differences) <= limit)) if len(y) else False
     return out
 
 
@@ -330,30 +336,31 @@ def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: floa
         for b in pieces(batches):
             grams = [shingle_hashes((t.as_py() or "").encode(), shingle, hashes) for t in b.column(1)]
             fid, size = np.array([_fid(g) for g in grams], np.int64), np.array([len(g) for g in grams], np.int32)
-            prints = np.array([wide_print(g) for g in grams], np.int64).reshape(-1, PRINT_BITS // 64)
+            prints = [wide_print(g) for g in grams]
             first = []
             for g in grams:
                 if len(common):
                     last = common[np.searchsorted(common, g).clip(0, len(common) - 1)] == g
                     g = np.concatenate([g[~last], g[last]])
                 first.append(g[: len(g) - math.ceil(similarity * len(g) - 1e-6) + 1])
-            columns = [b.column(0), pa.array(fid), pa.array(size), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), b.column(2), _lists(first), *b.columns[3:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fid", "size", "p0", "p1", "th", "first", *keep])
+            columns = [b.column(0), pa.array(fid), pa.array(size), _lists(prints), b.column(2), _lists(first), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fid", "size", "print", "th", "first", *keep])
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("fid", LongType()), StructField("size", IntegerType()), *[StructField(c, LongType()) for c in ("p0", "p1", "th")], StructField("first", ArrayType(LongType())), *kept])
+    schema = StructType([StructField("doc_id", LongType()), StructField("fid", LongType()), StructField("size", IntegerType()), StructField("print", ArrayType(LongType())), StructField("th", LongType()), StructField("first", ArrayType(LongType())), *kept])
     rows = stored(source.mapInArrow(run, schema))
-    reps = stored(rows.select("fid", "size", "p0", "p1", "th", "first").dropDuplicates(["fid"]))
+    reps = stored(rows.select("fid", "size", "print", "th", "first").dropDuplicates(["fid"]))
     keyed = reps.select("fid", "size", F.posexplode("first").alias("at", "key"))
     keys = stored(reps.select("fid", F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("lo"), F.max("fid").alias("hi")).where("n > 1"))
     shared = stored(keyed.join(maybe_broadcast(keys, 40), "key"))
     whole = F.col("size") - F.col("at")
 
     def ring(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of fids, those whose prints pass the pigeonring filter."""
-        sides = [F.broadcast(x) if small else x for small in [small_enough(reps, 40)] for x in (reps.select(F.col("fid").alias(c), *[F.col(k).alias(c + k) for k in ("size", "p0", "p1")]) for c in "ab")]
+        """Of pairs (a, b) of fids, those whose prints pass the pigeonring filter, or are too short for it."""
+        pairs = stored(pairs)
+        sides = [F.broadcast(x) if small else x for small in [small_enough(reps, 64)] for x in (reps.select(F.col("fid").alias(c), *[F.col(k).alias(c + k) for k in ("size", "print")]) for c in "ab")]
         met = pairs.join(sides[0], "a").join(sides[1], "b")
-        near = ring_column([F.col("ap0"), F.col("ap1")], [F.col("bp0"), F.col("bp1")], limit)
-        return met.where((F.least("asize", "bsize") < SURE) | near).select("a", "b")
+        short = F.least("asize", "bsize") < SURE
+        return near_prints(met.where(~short), "aprint", "bprint", limit).select("a", "b").unionByName(met.where(short).select("a", "b"))
 
     def grams_of(fids: DataFrame) -> DataFrame:
         """fid, grams of the given fids, read from their texts again."""
@@ -374,7 +381,9 @@ def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: floa
         pairs = stored(ring(pairs))
         grams = grams_of(pairs.select(F.col("a").alias("fid")).unionByName(pairs.select(F.col("b").alias("fid"))).distinct())
         met = pairs.join(grams.select(F.col("fid").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("fid").alias("b"), F.col("grams").alias("gb")), "b")
-        return stored(met.where(F.size(F.array_intersect("ga", "gb")) >= least_shared(similarity, F.size("ga"), F.size("gb"))).select("a", "b"))
+        out = stored(met.where(F.size(F.array_intersect("ga", "gb")) >= least_shared(similarity, F.size("ga"), F.size("gb"))).select("a", "b"))
+        discard(grams)
+        return out
 
     # The hubs' sizes and places come from their own rows.
     hubs = shared.where("fid = lo or fid = hi").select("key", F.col("fid").alias("hub"), whole.alias("hub_rest"), F.col("size").alias("hub_size"))
@@ -383,6 +392,8 @@ def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: floa
     roots = stored(components(links))
     rooted = shared.drop("lo", "hi").join(maybe_broadcast(roots, 24), F.col("fid") == F.col("node"), "left").select("key", "fid", "size", "at", "n", F.coalesce("root", "fid").alias("root"))
     rooted = stored(rooted)
+    discard(shared)
+    discard(keys)
     apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.sum("size").alias("_all")).where("_lo < _hi").select("key", "_all")
     rest = stored(rooted.join(maybe_broadcast(stored(apart), 24), "key"))
     few = rest.where(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fid", "size", "at", "root"))).alias("f"))  # at most `pairwise` each
@@ -395,8 +406,8 @@ def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: floa
         blocks = F.ceil(F.greatest(F.col("n") / block, F.col("_all") / BLOCK_SHINGLES)).cast("long")
         dealt = crowded.withColumn("own", F.pmod(F.xxhash64("fid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "n", "_all")
-        prints = reps.select("fid", "p0", "p1")
-        dealt = dealt.join(maybe_broadcast(stored(prints.join(maybe_broadcast(crowded.select("fid").distinct(), 16), "fid", "left_semi")), 32), "fid")
+        prints = reps.select("fid", "print")
+        dealt = dealt.join(maybe_broadcast(stored(prints.join(maybe_broadcast(crowded.select("fid").distinct(), 16), "fid", "left_semi")), 64), "fid")
         able = stored(dealt.groupBy("key", "x", "y").applyInArrow(block_members(similarity, limit), dealt.schema))
         of = grams_of(able.select("fid").distinct())
         more = more.unionByName(able.join(of, "fid").groupBy("key", "x", "y").applyInArrow(block_links(similarity, limit), "a long, b long"))
