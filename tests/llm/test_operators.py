@@ -479,6 +479,13 @@ def test_language_model(labelled, docs, none):
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     assert rows(lm.score_texts(none)) == []
+    # The model tells held-out texts better than the base, by a margin.
+    held = [r for r in got if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.05
+    # How the table is stored changes nothing.
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"])
+    again = sorted(rows(lm.score_texts(both.repartition(7))), key=key)
+    assert [r["score"] for r in again] == pytest.approx([r["score"] for r in sorted(got, key=key)], rel=1e-4)
 
 
 def test_every_training_text_trains(spark):
@@ -489,15 +496,27 @@ def test_every_training_text_trains(spark):
     assert sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got) > math.log10(0.35)  # by counts alone: 0.25
 
 
-def test_classes_are_normalised():
-    p = lm.initial()
-    own = lm.Classes({lm.END: 0})
-    flat, starts, _ = lm._laid_out([b"a b c", b"", b"d"], own)
+def laid_out(texts, head):
+    flat, starts, _, _ = lm._laid_out(texts, lm.Ids({w: i for i, w in enumerate(head)}))
+    classes, places = lm.class_table(head)
+    return flat, classes[flat], places[flat], starts
+
+
+def test_probabilities_are_normalised():
+    """Over all words with vectors and all shapes they sum to 1, and so do the counts of a shape's words with its unknown word."""
+    head = [lm.END, *[f"w{i}".encode() for i in range(299)]]
+    counts = np.arange(301, 1, -1.0)
+    word_noise = lm.group_noise(counts)
+    class_of, place_of = lm.class_table(head)
+    noise = np.bincount(class_of[:300], counts, minlength=lm.CLASSES)
+    noise[lm.TOP + lm.GROUPS :] = 5
+    p = lm.initial(noise / noise.sum(), word_noise)
+    flat, classes, places, starts = laid_out([b"w1 w120 w7", b"", b"w3"], head)
     total = 0.0
-    for k in range(lm.TOP + lm.SHAPES):
-        x = flat.copy()
-        x[2] = k
-        total += math.exp(lm.class_log_probabilities(p, x, starts)[2])
+    for k in [*range(300), *range(-lm.SHAPES, 0)]:
+        ids, c = flat.copy(), classes.copy()
+        ids[2], c[2] = k, class_of[k]
+        total += math.exp(lm.log_probabilities(p, ids, c, places, starts, counts)[2])
     assert total == pytest.approx(1, abs=1e-4)
     assert starts.tolist() == [0, 0, 0, 0, 4, 5, 5]
 
@@ -505,11 +524,31 @@ def test_classes_are_normalised():
 def test_training_helps():
     rng = np.random.default_rng(0)
     texts = [b" ".join(rng.choice([b"le", b"la", b"du"] if i % 2 else [b"the", b"of", b"to"], 30).tolist()) for i in range(300)]
-    own = lm.Classes({lm.END: 0, **{w: i + 1 for i, w in enumerate([b"le", b"la", b"du", b"the", b"of", b"to"])}})
-    flat, starts, _ = lm._laid_out(texts, own)
-    noise = np.bincount(flat, minlength=lm.TOP + lm.SHAPES) + 1.0
+    head = [lm.END, b"le", b"la", b"du", b"the", b"of", b"to"]
+    args = laid_out(texts, head)
+    counts = np.bincount(args[0], minlength=7) + 1.0
+    noise = np.bincount(np.arange(7), counts, minlength=lm.CLASSES)
+    noise[lm.TOP + lm.GROUPS :] = 1
+    noise /= noise.sum()
+    t = lm.Trainer(lm.initial(noise, lm.group_noise(counts)), noise, lm.group_noise(counts))
+    before = lm.log_probabilities(t.params, *args, counts).mean()
+    t.fit(*args, epochs=4)
+    assert lm.log_probabilities(t.params, *args, counts).mean() > before + 0.2
+
+
+def test_training_gradient():
+    """Words of groups are learned too: which of two follows is told by the word before."""
+    rng = np.random.default_rng(0)
+    filler = [f"f{i}".encode() for i in range(lm.TOP - 1)]
+    head = [lm.END, *filler, *[f"g{i}".encode() for i in range(2 * lm.GROUPS)]]
+    a, b = head[lm.TOP], head[lm.TOP + lm.GROUPS]  # of one group
+    texts = [b" ".join(w for x in rng.integers(0, 2, 40) for w in ((filler[0], a) if x else (filler[1], b))) for _ in range(300)]
+    args = laid_out(texts, head)
+    counts = np.bincount(args[0], minlength=len(head)) + 1.0
+    noise = np.bincount(lm.class_table(head)[0][: len(head)], counts, minlength=lm.CLASSES)
+    noise[lm.TOP + lm.GROUPS :] = 1
     noise /= noise.sum()
-    p = lm.initial()
-    lm.split(p)[3][:] = np.log(noise)
-    before = lm.class_log_probabilities(p, flat, starts).mean()
-    assert lm.class_log_probabilities(lm.train(p, flat, starts, noise, epochs=4), flat, starts).mean() > before + 0.2
+    t = lm.Trainer(lm.initial(noise, lm.group_noise(counts)), noise, lm.group_noise(counts))
+    t.fit(*args, epochs=6)
+    grouped = np.isin(args[0], [lm.TOP, lm.TOP + lm.GROUPS])
+    assert lm.log_probabilities(t.params, *args, counts)[grouped].mean() > math.log(0.7)  # by counts alone: a half
