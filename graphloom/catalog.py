@@ -128,9 +128,9 @@ def _(g):
 
 @query("j10_edge_rediscovery", """
 WITH k AS (SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 12) DESC, dst) AS n FROM pairs)
-SELECT k.src, k.dst, round(similarity, 4) AS weight FROM k WHERE n <= 4 AND src <> dst AND 1 - similarity < 0.8 AND NOT EXISTS (SELECT 1 FROM related_to r WHERE r.src = k.src AND r.dst = k.dst)""")
+SELECT k.src, k.dst, round(similarity, 4) AS weight FROM k JOIN memory m ON m.id = k.src WHERE m.strength >= 0.3 AND n <= 4 AND src <> dst AND 1 - similarity < 0.8 AND NOT EXISTS (SELECT 1 FROM related_to r WHERE r.src = k.src AND r.dst = k.dst)""")
 def _(g):
-    return V.neighbour_links(g.memory.select("id", "embedding"), 4, 0.8, g.related_to).select("src", "dst", r4(F.col("weight"), "weight"))
+    return V.rediscovered(g.memory, g.related_to, k=4, most=0.8).select("src", "dst", r4(F.col("weight"), "weight"))
 
 
 @query("d5_similarity_edges", "SELECT src, dst, round(similarity, 4) AS similarity FROM pairs WHERE src % 3 = 0 AND dst % 3 = 1 AND similarity > 0.3")
@@ -195,7 +195,7 @@ def _(g):
 
 @query("d10_greedy_simulation")
 def _(g):
-    return S.greedy_canonicals(threats_with_tags(g).where("id < 400"), 0.72, 0.60)
+    return S.greedy_canonicals(threats_with_tags(g), 0.72, 0.60)
 
 
 @query("d13_merge_components", """
@@ -215,19 +215,19 @@ def _(g):
 
 
 @query("r1_threshold_wiring", """
-WITH k AS (SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 12) DESC, dst) AS n FROM pairs WHERE src < 20 AND dst >= 20)
+WITH k AS (SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 12) DESC, dst) AS n FROM pairs JOIN memory a ON a.id = src JOIN memory b ON b.id = dst WHERE a.strand < 5 AND b.strand >= 5)
 SELECT src, dst, round(similarity, 4) AS similarity FROM k WHERE n <= 20 AND similarity >= 0.25""")
 def _(g):
-    v = g.memory.select("id", "embedding")
-    return S.wired(v.where("id < 20"), v.where("id >= 20"), 20, 0.25).select("src", "dst", "similarity")
+    v = g.memory.select("id", "embedding", "strand")
+    return S.wired(v.where("strand < 5").drop("strand"), v.where("strand >= 5").drop("strand"), 20, 0.25).select("src", "dst", "similarity")
 
 
 @query("r2_leaf_wiring", """
-WITH k AS (SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 12) DESC, dst) AS n FROM pairs WHERE src < 20 AND dst >= 20)
-SELECT src, dst, round(similarity, 4) AS similarity FROM k WHERE n <= 10 AND dst % 2 = 0 AND similarity >= 0.2""")
+WITH k AS (SELECT src, dst, similarity, row_number() OVER (PARTITION BY src ORDER BY round(similarity, 12) DESC, dst) AS n FROM pairs JOIN memory a ON a.id = src JOIN memory b ON b.id = dst WHERE a.strand < 5 AND b.strand >= 5)
+SELECT k.src, k.dst, round(similarity, 4) AS similarity FROM k JOIN memory m ON m.id = k.dst WHERE n <= 10 AND m.importance >= 3 AND similarity >= 0.2""")
 def _(g):
-    v = g.memory.select("id", "embedding")
-    return S.wired(v.where("id < 20"), v.where("id >= 20"), 10, 0.2, keep=v.where("id % 2 = 0")).select("src", "dst", "similarity")
+    v = g.memory.select("id", "embedding", "strand")
+    return S.wired(v.where("strand < 5").drop("strand"), v.where("strand >= 5").drop("strand"), 10, 0.2, keep=g.memory.where("importance >= 3")).select("src", "dst", "similarity")
 
 
 # --- scans, filters, projections -----------------------------------------------------------
@@ -244,10 +244,10 @@ def _(g):
 
 
 @query("src12_words_to_lines", """
-WITH w AS (SELECT l_orderkey AS page, l_quantity AS x0, l_linenumber * 2.0::DOUBLE AS top, l_linenumber * 2.0 + 1 AS bottom, l_shipmode_ AS text FROM (SELECT *, l_returnflag || l_linenumber AS l_shipmode_ FROM lineitem) WHERE l_orderkey < 300)
+WITH w AS (SELECT l_orderkey AS page, l_quantity AS x0, l_linenumber * 2.0::DOUBLE AS top, l_linenumber * 2.0 + 1 AS bottom, l_shipmode_ AS text FROM (SELECT *, l_returnflag || l_linenumber AS l_shipmode_ FROM lineitem))
 SELECT page, round(((top + bottom) / 2) / 3) * 3 AS y, string_agg(text, ' ' ORDER BY x0, text) AS line FROM w GROUP BY ALL""")
 def _(g):
-    w = g.table("lineitem").where("l_orderkey < 300").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_linenumber") * 2.0).alias("top"), (F.col("l_linenumber") * 2.0 + 1).alias("bottom"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    w = g.table("lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_linenumber") * 2.0).alias("top"), (F.col("l_linenumber") * 2.0 + 1).alias("bottom"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
     return R.words_to_lines(w, 3.0, "page")
 
 
@@ -344,11 +344,12 @@ def _(g):
 
 
 @query("p6_rest_status", f"""
-WITH x AS (SELECT id, {DAYS.format(a=NOW, b='last_used_at')} AS d, CASE WHEN id % 4 <> 0 THEN {DAYS.format(a=NOW, b='created_at')} END AS e FROM memory)
-SELECT id, d > 7 AS short_overdue, coalesce(e, 'inf'::DOUBLE) > 30 AS long_overdue, round(d, 1) AS short_days_ago, round(e, 1) AS long_days_ago,
-CASE WHEN d > 7 AND coalesce(e, 'inf'::DOUBLE) > 30 THEN 'both' WHEN coalesce(e, 'inf'::DOUBLE) > 30 THEN 'long_rest' WHEN d > 7 THEN 'short_rest' ELSE 'none' END AS recommended_action FROM x""")
+WITH x AS (SELECT id, CASE WHEN id % 5 <> 0 THEN {DAYS.format(a=NOW, b='last_used_at')} END AS d, CASE WHEN id % 4 <> 0 THEN (id % 50) / 24.0::DOUBLE END AS e FROM memory)
+SELECT id, d IS NULL OR d > 7 AS short_overdue, e IS NULL OR e > 1 AS long_overdue, round(d, 1) AS short_days_ago, round(e, 1) AS long_days_ago,
+CASE WHEN e IS NULL THEN 'long_rest_never_ran' WHEN d IS NULL THEN 'short_rest_never_ran' WHEN d > 7 AND e > 1 THEN 'both' WHEN e > 1 THEN 'long_rest' WHEN d > 7 THEN 'short_rest' ELSE 'none' END AS recommended_action FROM x""")
 def _(g):
-    return g.memory.select("id", *Q.rest_status(g.now, "last_used_at", F.when(F.col("id") % 4 != 0, F.col("created_at"))))
+    recent = F.timestamp_micros(F.unix_micros(g.now) - (F.col("id") % 50) * F.lit(3_600_000_000))
+    return g.memory.select("id", *Q.rest_status(g.now, F.when(F.col("id") % 5 != 0, F.col("last_used_at")), F.when(F.col("id") % 4 != 0, recent)))
 
 
 # --- joins and traversals ------------------------------------------------------------------
@@ -386,9 +387,9 @@ def _(g):
 
 @query("j15_hydration", """
 WITH c AS (SELECT src, string_agg(DISTINCT dst || ':' || relationship_type, ',' ORDER BY dst || ':' || relationship_type) AS controls FROM about_control GROUP BY src)
-SELECT h.dst AS id, coalesce(c.controls, '') AS controls, h.src AS document FROM has_chunk h LEFT JOIN c ON c.src = h.dst WHERE h.src < 2000""")
+SELECT h.dst AS id, coalesce(c.controls, '') AS controls, h.src AS document FROM has_chunk h LEFT JOIN c ON c.src = h.dst""")
 def _(g):
-    m = g.has_chunk.where("src < 2000").select(F.col("dst").alias("id"), F.col("src").alias("document"))
+    m = g.has_chunk.select(F.col("dst").alias("id"), F.col("src").alias("document"))
     h = G.hydrate(m, g.about_control, g.has_chunk.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     text = F.array_join(F.array_sort(F.transform("controls", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["relationship_type"]))), ",")
     return h.select("id", F.coalesce(text, F.lit("")).alias("controls"), F.col("documents")[0].alias("document"))
@@ -404,18 +405,18 @@ def _(g):
 
 
 @query("g2_variable_hops", """
-WITH s AS (SELECT id AS start, id FROM memory WHERE id < 10), h1 AS (SELECT DISTINCT start, dst AS id FROM s JOIN related_to r ON r.src = s.id), h2 AS (SELECT DISTINCT start, dst AS id FROM h1 JOIN related_to r ON r.src = h1.id),
+WITH s AS (SELECT id AS start, id FROM memory), h1 AS (SELECT DISTINCT start, dst AS id FROM s JOIN related_to r ON r.src = s.id), h2 AS (SELECT DISTINCT start, dst AS id FROM h1 JOIN related_to r ON r.src = h1.id),
 h3 AS (SELECT DISTINCT start, dst AS id FROM h2 JOIN related_to r ON r.src = h2.id) SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3""")
 def _(g):
-    return G.reach(g.memory.where("id < 10"), g.related_to, 3)
+    return G.reach(g.memory.select("id"), g.related_to, 3)
 
 
 @query("g3_causes_and_effects", """
-WITH s AS (SELECT event_id AS id FROM events WHERE event_id % 97 = 0), f1 AS (SELECT id AS start, dst AS id FROM s JOIN leads_to ON src = s.id), f2 AS (SELECT start, dst AS id FROM f1 JOIN leads_to ON src = f1.id),
+WITH s AS (SELECT event_id AS id FROM events), f1 AS (SELECT id AS start, dst AS id FROM s JOIN leads_to ON src = s.id), f2 AS (SELECT start, dst AS id FROM f1 JOIN leads_to ON src = f1.id),
 b1 AS (SELECT id AS start, src AS id FROM s JOIN leads_to ON dst = s.id), b2 AS (SELECT start, src AS id FROM b1 JOIN leads_to ON dst = b1.id)
 SELECT 'effect' AS kind, start, id FROM (SELECT * FROM f1 UNION SELECT * FROM f2) UNION ALL SELECT 'cause', start, id FROM (SELECT * FROM b1 UNION SELECT * FROM b2)""")
 def _(g):
-    s = g.table("events").where("event_id % 97 = 0").select(F.col("event_id").alias("id"))
+    s = g.table("events").select(F.col("event_id").alias("id"))
     fw, bw = G.reach(s, g.leads_to, 2), G.reach(s, G.reversed_edges(g.leads_to), 2)
     return fw.select(F.lit("effect").alias("kind"), "start", "id").unionByName(bw.select(F.lit("cause").alias("kind"), "start", "id"))
 
@@ -608,7 +609,7 @@ def _(g):
 
 
 @query("o4_next_tasks", f"""
-WITH t AS (SELECT id, due_on, coalesce(({LEVEL.format(x='value')})::DOUBLE / ({LEVEL.format(x='effort')}), 1) * coalesce((length(project) % 4 + 1) / 2.0::DOUBLE, 1) AS s FROM task WHERE NOT is_template AND status NOT IN ('done', 'abandoned'))
+WITH t AS (SELECT id, due_on, coalesce(({LEVEL.format(x='value')})::DOUBLE / ({LEVEL.format(x='effort')}), 1) * coalesce((length(project) % 4 + 1) / 2.0::DOUBLE, 1) AS s FROM task WHERE (is_template IS NULL OR is_template = false) AND status IN ('open', 'active'))
 SELECT id, round(s, 4) AS effective_score FROM t ORDER BY s DESC, due_on ASC NULLS LAST, id LIMIT 25""")
 def _(g):
     p = g.task.select(F.col("project").alias("id")).where("id is not null").distinct().withColumn("weight", (F.length("id") % 4 + 1) / F.lit(2.0))
@@ -731,35 +732,35 @@ def _(g):
 
 
 @query("m14_recall", """
-WITH h AS (SELECT id FROM memory WHERE strand = 4) SELECT id, recall_count + CASE WHEN strand = 4 THEN 1 ELSE 0 END AS recall_count, round(CASE WHEN strand = 4 THEN least(1, strength + 0.05) ELSE strength END, 4) AS strength FROM memory""")
+WITH h AS (SELECT id FROM memory WHERE strand = 4) SELECT id, recall_count + CASE WHEN strand = 4 THEN 1 ELSE 0 END AS recall_count, round(CASE WHEN strand = 4 THEN least(1, coalesce(strength, importance / 5.0::DOUBLE) + 0.05) ELSE strength END, 4) AS strength FROM memory""")
 def _(g):
     n, _ = M.recalled(g.memory, g.related_to, g.memory.where("strand = 4"), g.now)
     return n.select("id", F.col("recall_count").cast("long").alias("recall_count"), r4(F.col("strength"), "strength"))
 
 
-@query("m15_reinforce", """SELECT id, reinforcement_count + CASE WHEN strand = 4 THEN 1 ELSE 0 END AS reinforcement_count, round(CASE WHEN strand = 4 THEN least(1, strength + 0.2) ELSE strength END, 4) AS strength, CASE WHEN strand = 4 AND reinforcement_count = 0 THEN 0.01::DOUBLE ELSE decay_rate END AS decay_rate FROM memory""")
+@query("m15_reinforce", """SELECT id, reinforcement_count + CASE WHEN strand = 4 THEN 1 ELSE 0 END AS reinforcement_count, round(CASE WHEN strand = 4 THEN least(1, coalesce(strength, importance / 5.0::DOUBLE) + 0.2) ELSE strength END, 4) AS strength, CASE WHEN strand = 4 AND reinforcement_count = 0 THEN 0.01::DOUBLE ELSE decay_rate END AS decay_rate FROM memory""")
 def _(g):
     n, _ = M.reinforced(g.memory, g.related_to, g.memory.where("strand = 4"), g.now)
     return n.select("id", F.col("reinforcement_count").cast("long").alias("reinforcement_count"), r4(F.col("strength"), "strength"), "decay_rate")
 
 
 @query("m15_hebbian_edges", """
-WITH h AS (SELECT id FROM memory WHERE strand IN (3, 4, 5)) SELECT src, dst, round(CASE WHEN src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h) THEN least(1, weight + 0.1) ELSE weight END, 4) AS weight,
+WITH h AS (SELECT id FROM memory WHERE strand IN (3, 4, 5)) SELECT src, dst, round(CASE WHEN src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h) THEN least(1, coalesce(weight, 0.5) + 0.1) ELSE weight END, 4) AS weight,
 activation_count + CASE WHEN src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h) THEN 1 ELSE 0 END AS activation_count FROM related_to""")
 def _(g):
     e = M.strengthened(g.related_to, g.memory.where("strand IN (3, 4, 5)"), g.now, P.EDGE_EXPLICIT_INCREMENT)
     return e.select("src", "dst", r4(F.col("weight"), "weight"), F.col("activation_count").cast("int").alias("activation_count"))
 
 
-DECAYED = f"greatest(min_strength, least(1, strength * exp(-decay_rate / greatest(least(1 + 0.5 * coalesce(w, 0), 10), 1e-9) * {DAYS.format(a=NOW, b='last_reinforced_at')})))"
+DECAYED = f"CASE WHEN strength IS NULL OR decay_rate IS NULL OR last_reinforced_at IS NULL THEN strength ELSE greatest(min_strength, least(1, strength * exp(-decay_rate / greatest(least(1 + 0.5 * coalesce(w, 0), 10), 1e-9) * {DAYS.format(a=NOW, b='last_reinforced_at')}))) END"
 
 
-@query("m16_decay_nodes", f"WITH i AS (SELECT dst, sum(weight) AS w FROM related_to GROUP BY dst) SELECT id, round({DECAYED}, 6) AS strength FROM memory LEFT JOIN i ON i.dst = id")
+@query("m16_decay_nodes", f"WITH i AS (SELECT dst, sum(weight) AS w FROM related_to GROUP BY dst) SELECT id, round({DECAYED}, 6) AS strength, CASE WHEN strength IS NULL THEN last_reinforced_at ELSE {NOW} END::VARCHAR AS anchor FROM memory LEFT JOIN i ON i.dst = id")
 def _(g):
-    return M.decay_nodes(g.memory, g.related_to, g.now).select("id", F.round("strength", 6).alias("strength"))
+    return M.decay_nodes(g.memory, g.related_to, g.now).select("id", F.round("strength", 6).alias("strength"), F.date_format("last_reinforced_at", "yyyy-MM-dd HH:mm:ss").alias("anchor"))
 
 
-EDGE_DECAYED = f"CASE WHEN decay_rate IS NULL THEN weight ELSE greatest(0, least(1, weight * exp(-decay_rate * {DAYS.format(a=NOW, b='last_activated_at')}))) END"
+EDGE_DECAYED = f"CASE WHEN decay_rate IS NULL OR weight IS NULL THEN weight ELSE greatest(0, least(1, weight * exp(-decay_rate * {DAYS.format(a=NOW, b='last_activated_at')}))) END"
 
 
 @query("m16_decay_edges", f"SELECT src, dst, round({EDGE_DECAYED}, 6) AS weight FROM related_to")
@@ -774,7 +775,7 @@ def _(g):
 
 
 @query("m18_long_rest", f"""
-WITH e AS (SELECT {EDGE_DECAYED} AS weight, CASE WHEN decay_rate IS NULL THEN last_activated_at ELSE {NOW} END AS acted FROM related_to)
+WITH e AS (SELECT {EDGE_DECAYED} AS weight, CASE WHEN decay_rate IS NULL OR weight IS NULL THEN last_activated_at ELSE {NOW} END AS acted FROM related_to)
 SELECT count(*) AS prune_candidates, count(*) AS edges_pruned, count(*) AS pruned FROM e WHERE weight < 0.01 AND {DAYS.format(a=NOW, b='acted')} >= 90""")
 def _(g):
     return M.long_rest(g.memory, g.related_to, g.now)[2].select("prune_candidates", "edges_pruned", F.col("pruned").cast("long").alias("pruned"))
@@ -915,9 +916,11 @@ def _(g):
 
 
 @query("x5_ocr_noise", """
-SELECT doc_id, coalesce(length(t) > 0 AND (EXISTS (SELECT 1 FROM range(1, greatest(1, length(t) - 9) + 1) r(i) WHERE length(regexp_replace(substr(t, i::BIGINT, 10), '[^0-9]', '', 'g')) >= 3) OR (length(t) > 10 AND NOT regexp_matches(t, '[aeiouAEIOU]{2}'))), false) AS noise FROM (SELECT doc_id, left(body, 80) AS t FROM document)""")
+SELECT doc_id, line, coalesce(length(t) > 0 AND (regexp_matches(t, '""" + "|".join(f"[0-9].{{{a}}}[0-9].{{0,{7 - a}}}[0-9]" for a in range(8)) + """', 's') OR (length(t) > 10 AND NOT regexp_matches(t, '[aeiouAEIOU]{2}'))), false) AS noise
+FROM (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split(body, chr(10)) AS ls FROM document))""")
 def _(g):
-    return g.document.select("doc_id", F.substring("body", 1, 80).alias("t")).select("doc_id", T.ocr_noise("t").alias("noise"))
+    lines = g.document.select("doc_id", F.posexplode(F.split("body", "\n")).alias("line", "t"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), T.ocr_noise("t").alias("noise"))
 
 
 @query("x_ids", """SELECT DISTINCT p_size AS n, 'AC-' || p_size AS control, 'sp800-53r5.AC-' || p_size AS full_id FROM part""")
@@ -939,23 +942,29 @@ def _(g):
 
 @query("d15_near_text")
 def _(g):
-    d = g.document.select("doc_id", F.substring("body", 1, 120).alias("t"))
+    d = g.document.select("doc_id", F.col("body").alias("t"))
     p = d.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")).join(d.select((F.col("doc_id") - 1).alias("a"), F.col("t").alias("tb")), "a")
     return p.select("a", T.near_text("ta", "tb").alias("near"))
 
 
 @query("d16_section_compression")
 def _(g):
-    m = g.memory.where("id < 200").select("id", F.substring("fact", 1, 60).alias("fact"), "importance", (F.col("id") % 8).cast("string").alias("section"), F.col("id").alias("rank"))
+    m = g.memory.select("id", "fact", "importance", F.concat_ws("-", "strand", "type").alias("section"), F.col("id").alias("rank"))
     return S.compress_sections(m.where("fact is not null"))
 
 
 # --- composites, clusters ------------------------------------------------------------------
 
 
-@query("q1_wake_up")
+@query("q1_wake_up", f"""
+WITH m AS (SELECT * FROM memory WHERE {ACTIVE}), topic AS (SELECT id, distance FROM (SELECT m.*, {near()} AS distance FROM memory m ORDER BY distance, id LIMIT 5) WHERE {ACTIVE}),
+s AS (SELECT 1 AS part, 'core' AS section, row_number() OVER (ORDER BY importance DESC, strength DESC NULLS LAST, coalesce(reinforcement_count, 0) DESC, coalesce(recall_count, 0) DESC, created_at DESC, id) AS rank, id FROM m QUALIFY rank <= 4
+UNION ALL SELECT 2, 'topic', row_number() OVER (ORDER BY distance, id), id FROM topic
+UNION ALL SELECT 3, 'companion', row_number() OVER (ORDER BY importance DESC, coalesce(strength, 0) DESC, id) AS rank, id FROM m WHERE id IN (SELECT src FROM about WHERE dst = 'agent-1') QUALIFY rank <= 5
+UNION ALL SELECT 4, 'conversant', row_number() OVER (ORDER BY importance DESC, created_at DESC, id) AS rank, id FROM m WHERE id IN (SELECT src FROM about WHERE dst = 'person-4') QUALIFY rank <= 10)
+SELECT section, rank::INTEGER AS rank, id FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY part) = 1""")
 def _(g):
-    return Z.wake_up(g.memory, probe(g))
+    return Z.wake_up(g.memory, probe(g), g.about, "agent-1", "person-4")
 
 
 @query("q11_calibration_drift", None)
@@ -978,18 +987,17 @@ def _(g):
 @query("c4_communities")
 def _(g):
     e = g.contains.withColumn("weight", F.lit(1.0))
-    return C.communities(e.where("src LIKE 'r%' OR dst LIKE 's%'")).groupBy("community").agg(F.count("*").alias("size"))
+    return C.communities(e).groupBy("community").agg(F.count("*").alias("size"))
 
 
 @query("c5_betweenness")
 def _(g):
-    e = g.contains.where("src LIKE 'r%' OR dst LIKE 's%'")
-    return C.betweenness(e)
+    return C.betweenness(g.supply)
 
 
 @query("w7_practice_numbers")
 def _(g):
-    r = g.table("lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").cast("string").alias("practice"), F.col("l_linenumber").cast("long").alias("at"), F.when(F.col("l_quantity") > 40, F.col("l_quantity").cast("long")).alias("parsed"))
+    r = g.table("lineitem").select(F.col("l_orderkey").cast("string").alias("practice"), F.col("l_linenumber").cast("long").alias("at"), F.when(F.col("l_quantity") > 40, F.col("l_quantity").cast("long")).alias("parsed"))
     return C.practice_numbers(r)
 
 
@@ -1020,5 +1028,5 @@ def _(g):
 
 @query("w5_document_chunks")
 def _(g):
-    d = g.document.where("doc_id < 100").withColumn("body", F.regexp_replace("body", "\n", "\n## "))
+    d = g.document.withColumn("body", F.regexp_replace("body", "\n", "\n## "))
     return I.document_chunks(d)["has_next"]

@@ -97,15 +97,16 @@ def filled(df: DataFrame) -> DataFrame:
 
 
 def rest_status(now, last_short, last_long) -> list[Column]:
-    """Overdue flags, days since, and the action to take."""
+    """Overdue flags, days since, and the action to take.  A rest that never ran is overdue; a long rest covers a short one."""
     short, long_ = hours_since(now, last_short), hours_since(now, last_long)
-    over_s, over_l = short > 24 * P.SHORT_REST_DAYS, long_ > 24 * 30
+    over_s, over_l = short > 24 * P.SHORT_REST_DAYS, long_ > 24 * P.LONG_REST_DAYS
     ago = lambda h: F.when(h != float("inf"), F.round(h / 24, 1))
-    action = F.when(over_s & over_l, "both").when(over_l, "long_rest").when(over_s, "short_rest").otherwise("none")
+    never = F.when(c(last_long).isNull(), "long_rest_never_ran").when(c(last_short).isNull(), "short_rest_never_ran")
+    action = never.when(over_s & over_l, "both").when(over_l, "long_rest").when(over_s, "short_rest").otherwise("none")
     return [over_s.alias("short_overdue"), over_l.alias("long_overdue"), ago(short).alias("short_days_ago"), ago(long_).alias("long_days_ago"), action.alias("recommended_action")]
 
 
-def short_due(now, last, every: float = 8.0) -> Column:
+def short_due(now, last, every: float = 6.0) -> Column:
     return hours_since(now, last) >= every
 
 

@@ -138,11 +138,16 @@ def replace_links(edges: DataFrame, ids: DataFrame, new: DataFrame) -> DataFrame
     return edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_anti").select(*edges.columns).unionByName(new.select(*edges.columns))
 
 
+def current_strength() -> Column:
+    """The strength, or a fifth of the importance where there is none yet; null without either."""
+    return F.coalesce(F.col("strength"), F.col("importance") / F.lit(5.0))
+
+
 def recalled(nodes: DataFrame, edges: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Recall: count and strength rise a little, and so do the edges inside the recalled set."""
     hit = nodes.join(ids.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "left")
     on = F.col("_hit").isNotNull()
-    out = hit.withColumn("recall_count", F.coalesce("recall_count", F.lit(0)) + F.when(on, 1).otherwise(0)).withColumn("strength", F.when(on, F.least(F.lit(1.0), F.col("strength") + P.RECALL_INCREMENT)).otherwise(F.col("strength")))
+    out = hit.withColumn("recall_count", F.coalesce("recall_count", F.lit(0)) + F.when(on, 1).otherwise(0)).withColumn("strength", F.when(on, F.least(F.lit(1.0), current_strength() + P.RECALL_INCREMENT)).otherwise(F.col("strength")))
     return out.drop("_hit"), strengthened(edges, ids, now, P.EDGE_RECALL_INCREMENT)
 
 
@@ -164,24 +169,25 @@ def reinforced(nodes: DataFrame, edges: DataFrame, ids: DataFrame, now: Column)
     on = F.col("_hit").isNotNull()
     n = F.coalesce("reinforcement_count", F.lit(0))
     out = hit.withColumn("decay_rate", F.when(on & (n == 0), F.lit(P.CONSOLIDATED_DECAY_RATE)).otherwise(F.col("decay_rate")))
-    out = out.withColumn("reinforcement_count", n + F.when(on, 1).otherwise(0)).withColumn("strength", F.when(on, F.least(F.lit(1.0), F.col("strength") + P.EXPLICIT_INCREMENT)).otherwise(F.col("strength")))
+    out = out.withColumn("reinforcement_count", n + F.when(on, 1).otherwise(0)).withColumn("strength", F.when(on, F.least(F.lit(1.0), current_strength() + P.EXPLICIT_INCREMENT)).otherwise(F.col("strength")))
     if "last_reinforced_at" in nodes.columns:
         out = out.withColumn("last_reinforced_at", F.when(on, now).otherwise(F.col("last_reinforced_at")))
     return out.drop("_hit"), strengthened(edges, ids, now, P.EDGE_EXPLICIT_INCREMENT)
 
 
 def decay_nodes(nodes: DataFrame, edges: DataFrame, now: Column, anchor: str = "last_reinforced_at", floor: str = "min_strength") -> DataFrame:
-    """Strength decayed since its anchor, slowed by incoming edges.  Rows without a rate or a readable anchor stay."""
+    """Strength decayed since its anchor, which is then set to now, slowed by incoming edges.  Rows without a strength, a rate or an anchor stay."""
+    on = F.col("strength").isNotNull() & F.col("decay_rate").isNotNull() & F.col(anchor).isNotNull()
     w = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("_in"))
     out = nodes.join(w, "id", "left")
     new = decayed("strength", "decay_rate", days_between(now, anchor), F.coalesce(F.col(floor), F.lit(0.0)), F.coalesce("_in", F.lit(0.0)))
-    return out.withColumn("strength", F.when(F.col("decay_rate").isNotNull() & F.col(anchor).isNotNull(), new).otherwise(F.col("strength"))).drop("_in")
+    return out.withColumns({"strength": F.when(on, new).otherwise(F.col("strength")), anchor: F.when(on, now).otherwise(F.col(anchor))}).drop("_in")
 
 
 def decay_edges(edges: DataFrame, now: Column) -> DataFrame:
-    """Weight decayed since the last activation, which is then set to now.  Edges without a rate never decay."""
-    on = F.col("decay_rate").isNotNull() & F.col("last_activated_at").isNotNull()
-    new = decayed(F.coalesce("weight", F.lit(P.DEFAULT_EDGE_WEIGHT)), "decay_rate", days_between(now, "last_activated_at"), F.lit(0.0))
+    """Weight decayed since the last activation, which is then set to now.  Edges without a weight or a rate never decay."""
+    on = F.col("weight").isNotNull() & F.col("decay_rate").isNotNull() & F.col("last_activated_at").isNotNull()
+    new = decayed("weight", "decay_rate", days_between(now, "last_activated_at"), F.lit(0.0))
     return edges.withColumn("weight", F.when(on, new).otherwise(F.col("weight"))).withColumn("last_activated_at", F.when(on, now).otherwise(F.col("last_activated_at")))
 
 

@@ -15,7 +15,12 @@ from .vector import similar_pairs
 
 
 def shared_folder(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/graphloom"
+    """A new folder under spark.checkpoint.dir; only where that is unset and all runs in one process (as in tests), under /tmp."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file:///tmp/checkpoints/graphloom"
     return f"{at.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
@@ -154,25 +159,35 @@ def greedy_merges(pairs: DataFrame, nodes: DataFrame, rounds: int = 1000) -> Dat
 
 
 def greedy_canonicals(threats: DataFrame, most: float, baseline: float) -> DataFrame:
-    """(threshold, merged): how many threats, taken in order of creation, lie within the threshold of an earlier one that was kept.  One ordered scan of a calibration sample."""
-    import numpy as np
-    import pandas as pd
+    """(threshold, merged): how many threats, taken in order of creation, lie within the threshold of an earlier one that was kept."""
+    v, out = threats.select("id", "embedding"), None
+    place = lambda side: threats.select(F.col("id").alias(side), F.struct("created_at", "id").alias(f"_{side}"))
+    for t in (most, baseline):
+        near = similar_pairs(v, v, 1 - t - 1e-12).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - F.col("similarity")).alias("distance"))
+        earlier = near.join(place("a"), "a").join(place("b"), "b").where("_a < _b").select("a", "b", "distance")
+        n = first_of_kind(earlier).agg(F.count("*").alias("merged")).select(F.lit(float(t)).alias("threshold"), "merged")
+        out = n if out is None else out.unionByName(n)
+    return out
 
-    def scan(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "id"])
-        v = np.array(pdf["embedding"].tolist(), float)
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-        kept, merged = [], 0
-        for row in v:
-            if kept and (1 - np.array(kept) @ row).min() <= key[0]:
-                merged += 1
-            else:
-                kept.append(row)
-        return pd.DataFrame({"threshold": [key[0]], "merged": [merged]})
 
-    both = threats.select(F.explode(F.array(F.lit(float(most)), F.lit(float(baseline)))).alias("threshold"), "id", "created_at", "embedding")
-    return both.groupBy("threshold").applyInPandas(scan, "threshold double, merged long")
+def first_of_kind(pairs: DataFrame, near: str = "distance") -> DataFrame:
+    """(id, canonical): of pairs (a, b, distance) in which a comes before b, each b that lies near to a canonical a, with the nearest one.
+
+    As if the nodes were taken in order and each became canonical unless one that is canonical already lies near: a node is absorbed
+    once an earlier canonical one is known, and canonical once all its earlier neighbours are absorbed.  Rounds go on until all is decided.
+    """
+    p = written(pairs.select("a", "b", near))
+    left, absorbed = p, None
+    while True:
+        canonical = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        hit = left.join(canonical, "a", "left_semi").select("b").distinct()
+        absorbed = written(hit if absorbed is None else absorbed.unionByName(hit))
+        gone = absorbed.select(F.col("b").alias("_g"))
+        left = written(left.join(gone, F.col("b") == F.col("_g"), "left_anti").join(gone, F.col("a") == F.col("_g"), "left_anti"))
+        if left.isEmpty():
+            break
+    kept = p.join(absorbed.select(F.col("b").alias("_g")), F.col("a") == F.col("_g"), "left_anti")
+    return kept.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.round(near, 12).alias("d"), "a")).alias("m")).select("id", F.col("m.a").alias("canonical"))
 
 
 def sample_pairs(distances: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -189,16 +204,18 @@ def compress_sections(rows: DataFrame, section: str = "section") -> DataFrame:
         import re
         from difflib import SequenceMatcher
 
-        norm = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (t or "").lower())).strip()
+        norm = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", (t or "").lower())).strip()
+        alike = lambda m: m.real_quick_ratio() >= 0.9 and m.quick_ratio() >= 0.9 and m.ratio() >= 0.9  # noqa: E731  the first two bound the third
+        known = lambda n: 0 if pd.isna(n) else n
         out: list[dict] = []
         for r in pdf.sort_values("rank").itertuples():
             t = norm(r.fact)
-            hit = next((o for o in out if o["norm"] == t or SequenceMatcher(None, o["norm"], t).ratio() >= 0.9), None)
+            hit = next((o for o in out if t and o["norm"] and (o["norm"] == t or alike(SequenceMatcher(None, o["norm"], t)))), None)
             if hit is None:
                 out.append({"norm": t, "fact": r.fact, "importance": r.importance, "ids": [str(r.id)]})
             else:
                 hit["ids"].append(str(r.id))
-                if r.importance > hit["importance"]:
+                if known(r.importance) > known(hit["importance"]):
                     hit.update(fact=r.fact, importance=r.importance, norm=t)
         return pd.DataFrame({"section": [key[0]] * len(out), "rank": range(1, len(out) + 1), "fact": [o["fact"] for o in out], "importance": [o["importance"] for o in out], "ids": [",".join(o["ids"]) for o in out]})
 

@@ -107,6 +107,13 @@ def neighbour_links(nodes: DataFrame, k: int = P.AUTO_LINK_K, most: float = P.AU
     return out if existing is None else out.join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def rediscovered(nodes: DataFrame, existing: DataFrame, strength: float = P.REDISCOVERY_STRENGTH, k: int = P.AUTO_LINK_K, most: float = P.AUTO_LINK_DISTANCE) -> DataFrame:
+    """(src, dst, weight): edges that nodes of at least this strength lack to their nearest among all nodes."""
+    strong = nodes.where((F.col("strength") >= strength) & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("id", "embedding")
+    near = similar_pairs(strong, nodes.select("id", "embedding"), -2.0, k=k).where("src <> dst").where((1 - F.col("similarity")) < most)
+    return near.select("src", "dst", F.col("similarity").alias("weight")).join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
 def supports_links(chunks: DataFrame, controls: DataFrame, k: int = P.AUTO_SUPPORTS_K, most: float = P.AUTO_SUPPORTS_DISTANCE) -> DataFrame:
     """(src, dst, confidence): each chunk's k nearest controls within the distance."""
     near = similar_pairs(chunks, controls, -2.0, k=k).where((1 - F.col("similarity")) < most)

@@ -17,7 +17,7 @@ from ..operators.filters import active, any_of
 
 
 def core_order():
-    return [F.desc("importance"), F.desc_nulls_last("strength"), F.desc("reinforcement_count"), F.desc("recall_count"), F.desc("created_at"), F.asc("id")]
+    return [F.desc("importance"), F.desc_nulls_last("strength"), F.desc(F.coalesce("reinforcement_count", F.lit(0))), F.desc(F.coalesce("recall_count", F.lit(0))), F.desc("created_at"), F.asc("id")]
 
 
 def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:
@@ -26,15 +26,25 @@ def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("id", "rank")
 
 
-def wake_up(memories: DataFrame, topic=None, core: int = 4, topics: int = 5, companion: int = P.COMPANION_LIMIT, conversant: int = P.CONVERSANT_LIMIT) -> DataFrame:
-    """(section, rank, id): core memories, topic recall, companion and conversant anchors; an id stays in the first section that has it."""
+def about(memories: DataFrame, edges: DataFrame, node) -> DataFrame:
+    """Memories with an ABOUT edge to the node, each once."""
+    return memories.join(edges.where(F.col("dst") == F.lit(node)).select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+
+
+def wake_up(memories: DataFrame, topic=None, about_edges: DataFrame | None = None, agent=None, person=None, core: int = 4, topics: int = 5, companion: int = P.COMPANION_LIMIT, conversant: int = P.CONVERSANT_LIMIT) -> DataFrame:
+    """(section, rank, id): core memories, topic recall, and the anchors: memories about the calling agent (companion) and about the person addressed (conversant), each only where one is named.
+
+    An id stays in the first section that has it.
+    """
     m = memories.where(active())
     sections = [("core", ranked(m, core_order(), core))]
     if topic is not None:
         hits = V.top_k(memories, topic, topics).where(active()).select("id", "distance")
         sections.append(("topic", hits.withColumn("rank", F.row_number().over(W.orderBy("distance", "id"))).select("id", "rank")))
-    sections.append(("companion", ranked(m.where("type = 'insight'"), [F.desc("importance"), F.desc_nulls_last("strength"), F.asc("id")], companion)))
-    sections.append(("conversant", ranked(m.where("type = 'event'"), [F.desc("importance"), F.desc("created_at"), F.asc("id")], conversant)))
+    if agent is not None:
+        sections.append(("companion", ranked(about(m, about_edges, agent), [F.desc("importance"), F.desc(F.coalesce("strength", F.lit(0.0))), F.asc("id")], companion)))
+    if person is not None:
+        sections.append(("conversant", ranked(about(m, about_edges, person), [F.desc("importance"), F.desc("created_at"), F.asc("id")], conversant)))
     return G.first_seen(sections).select("section", "rank", "id")
 
 
@@ -60,8 +70,8 @@ def by_file(memories: DataFrame, condition, limit: int) -> DataFrame:
 
 
 def next_tasks(tasks: DataFrame, projects: DataFrame, limit: int) -> DataFrame:
-    """Open tasks by priority times the project's weight, then by due date, those without one last."""
-    t = tasks.where(~F.col("is_template") & ~F.col("status").isin("done", "abandoned")).withColumn("priority_score", priority_score("value", "effort"))
+    """Open and active tasks that are no templates (one that doesn't say isn't) by priority times the project's weight, then by due date, those without one last."""
+    t = tasks.where(~F.coalesce("is_template", F.lit(False)) & F.col("status").isin("open", "active")).withColumn("priority_score", priority_score("value", "effort"))
     out = t.join(projects.select(F.col("id").alias("project"), F.col("weight").alias("_w")), "project", "left")
     out = out.withColumn("effective_score", F.coalesce("priority_score", F.lit(1.0)) * F.coalesce("_w", F.lit(1.0))).drop("_w")
     return out.orderBy(F.desc("effective_score"), F.asc_nulls_last("due_on"), "id").limit(limit)

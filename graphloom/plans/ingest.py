@@ -14,6 +14,7 @@ from ..functions.scalar import threat_id
 from ..operators import aggregates as A
 from ..operators.graph import sequence_chain
 from ..operators.mutations import create_only, with_ends
+from ..operators.similarity import first_of_kind
 from ..operators.vector import similar_pairs
 
 
@@ -29,12 +30,20 @@ def threat_candidates(reports: DataFrame) -> DataFrame:
 def threats_from_reports(reports: DataFrame, threats: DataFrame, embed: Callable[[DataFrame], DataFrame], techniques: DataFrame, most: float = P.THREAT_DISTANCE) -> dict[str, DataFrame]:
     """New threats, IDENTIFIES and technique edges, and the quarantined sentences.
 
-    embed adds an `embedding` column to rows of (id, text).  A candidate nearer than the threshold to a known threat is that threat; edges to unknown
+    embed adds an `embedding` column to rows of (id, text).  A candidate nearer than the threshold to a known threat is that threat, and so with threats made of
+    earlier candidates of the same run; edges to unknown
     techniques are dropped.
     """
     clean, bad = T.guard(threat_candidates(reports), "text")
     vec = embed(clean.select("id", "text").dropDuplicates(["id"]))
     near = similar_pairs(vec, threats, 1 - most, k=1).select(F.col("src").alias("id"), F.col("dst").alias("known"))
+    # Those far from all known threats meet among themselves, in order of report and id.
+    order = clean.groupBy("id").agg(F.min("report").alias("report"))
+    alone = vec.join(near.select("id"), "id", "left_anti")
+    place = lambda side: order.select(F.col("id").alias(side), F.struct("report", "id").alias(f"_{side}"))
+    met = similar_pairs(alone, alone, 1 - most).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - F.col("similarity")).alias("distance"))
+    earlier = met.join(place("a"), "a").join(place("b"), "b").where("_a < _b").select("a", "b", "distance")
+    near = near.unionByName(first_of_kind(earlier).select("id", F.col("canonical").alias("known")))
     named = clean.join(near, "id", "left").withColumn("threat", F.coalesce("known", "id"))
     fresh = vec.join(near.select("id"), "id", "left_anti")
     first = W.partitionBy("report", "threat").orderBy("id")

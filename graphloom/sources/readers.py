@@ -122,12 +122,13 @@ OSCAL = "catalog STRUCT<groups: ARRAY<STRUCT<id: STRING, title: STRING, controls
 
 
 def oscal_controls(spark: SparkSession, path: str, cap: int = 2000) -> DataFrame:
-    """id, title, group, body of base controls: the prose of statements and of their parts, joined and cut."""
+    """id, title, group, body of base controls: the prose of the first statement that has any, with that of its parts, joined and cut.  Controls without an id or a title go."""
     g = spark.read.schema(OSCAL).json(path, multiLine=True).select(F.explode("catalog.groups").alias("g"))
     ctl = g.select(F.col("g.id").alias("group"), F.explode("g.controls").alias("c"))
     stmt = F.filter("c.parts", lambda p: p["name"] == "statement")
-    prose = F.flatten(F.transform(stmt, lambda p: F.concat(F.array(p["prose"]), F.coalesce(F.transform(p["parts"], lambda q: q["prose"]), F.array().cast("array<string>")))))
-    return ctl.select(control_id("c.id").alias("id"), F.col("c.title").alias("title"), "group", F.substring(F.array_join(F.array_compact(prose), " "), 1, cap).alias("body"))
+    texts = F.transform(stmt, lambda p: F.array_join(F.filter(F.concat(F.array(p["prose"]), F.coalesce(F.transform(p["parts"], lambda q: q["prose"]), F.array().cast("array<string>"))), lambda t: F.coalesce(t, F.lit("")) != ""), " "))
+    ctl = ctl.where((F.coalesce("c.id", F.lit("")) != "") & (F.coalesce("c.title", F.lit("")) != ""))
+    return ctl.select(control_id("c.id").alias("id"), F.col("c.title").alias("title"), "group", F.substring(F.coalesce(F.get(F.filter(texts, lambda t: t != ""), 0), F.lit("")), 1, cap).alias("body"))
 
 
 def csf_elements(spark: SparkSession, path: str, root: str) -> DataFrame:

@@ -40,7 +40,7 @@ class Graph:
             v.alias("id"), "fact", "embedding", F.col("label").alias("strand"), importance.alias("importance"), F.array("lang", "source").alias("tags"),
             F.element_at(F.array(*[F.lit(t) for t in ("fact", "decision", "insight", "todo", "event", "observation")]), (v % 6 + 1).cast("int")).alias("type"),
             F.when(v % 17 == 0, "archived").otherwise("active").alias("status"), (v % 23 == 0).alias("ephemeral"),
-            (F.lit(0.4) * importance / 5).alias("strength"), (F.lit(0.3) * importance / 5).alias("min_strength"), F.lit(0.07).alias("decay_rate"),
+            F.when(v % 29 != 0, F.lit(0.4) * importance / 5).alias("strength"), (F.lit(0.3) * importance / 5).alias("min_strength"), F.lit(0.07).alias("decay_rate"),
             (v % 4).cast("int").alias("recall_count"), (v % 3).cast("int").alias("reinforcement_count"),
             at(v % 1400).alias("created_at"), at(v % 1400).alias("last_used_at"), at(v % 1400 + 5).alias("last_reinforced_at"),
             F.array(F.concat(F.lit("src/f"), (v % 13).cast("string"))).alias("files_modified"), F.array(F.concat(F.lit("src/f"), (v % 7).cast("string"))).alias("files_read"),
@@ -55,11 +55,19 @@ class Graph:
         k = e.crossJoin(F.broadcast(n)).select("vec_id", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
         i, k_ = F.col("vec_id"), F.col("k")
         out = k.select(
-            i.alias("src"), ((i * (2 * k_ + 1) + 7 * k_) % F.col("n")).alias("dst"), (((i * 3 + k_) % 20) / F.lit(20.0)).alias("weight"), ((i + k_) % 5).cast("int").alias("activation_count"),
+            i.alias("src"), ((i * (2 * k_ + 1) + 7 * k_) % F.col("n")).alias("dst"), F.when((i + k_) % 31 != 0, ((i * 3 + k_) % 20) / F.lit(20.0)).alias("weight"), ((i + k_) % 5).cast("int").alias("activation_count"),
             F.timestamp_micros(F.unix_micros(F.lit(EPOCH).cast("timestamp")) - ((i + k_) % 120) * F.lit(86_400_000_000)).alias("last_activated_at"), F.when((i + k_) % 3 != 0, F.lit(0.005)).alias("decay_rate"),
         )
         return out.where("src <> dst")
 
+    @functools.cached_property
+    def about(self) -> DataFrame:
+        """ABOUT edges of memories: each to a person, some also to an agent."""
+        v = F.col("vec_id")
+        e = self.table("embeddings")
+        people = e.select(v.alias("src"), F.concat(F.lit("person-"), (v % 7).cast("string")).alias("dst"))
+        return people.unionByName(e.where(v % 3 == 0).select(v.alias("src"), F.concat(F.lit("agent-"), (v % 2).cast("string")).alias("dst")))
+
     @functools.cached_property
     def leads_to(self) -> DataFrame:
         """Consecutive events of one user."""
@@ -80,6 +88,13 @@ class Graph:
             .unionByName(c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst")))
         )
 
+    @functools.cached_property
+    def supply(self) -> DataFrame:
+        """region over nation over supplier: the part of the hierarchy that has no customers."""
+        n, s = self.table("nation"), self.table("supplier")
+        name = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+        return n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst")).unionByName(s.select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst")))
+
     @functools.cached_property
     def control(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("framework_id"), F.col("p_size").alias("size"))
@@ -125,7 +140,7 @@ class Graph:
         k = F.col("o_orderkey")
         return o.join(c, "o_custkey", "left").select(
             k.alias("id"), status.alias("status"), lv("o_orderpriority", ("1", "23", "4")).alias("value"), F.when(k % 3 == 0, "H").when(k % 3 == 1, "M").otherwise("L").alias("effort"),
-            "project", F.to_date("o_orderdate").alias("due_on"), (k % 11 == 0).alias("is_template"), (k % 2 == 0).alias("committed"), (k % 6 == 0).alias("untouched"), F.col("o_totalprice").alias("price"),
+            "project", F.to_date("o_orderdate").alias("due_on"), F.when(k % 13 != 0, k % 11 == 0).alias("is_template"), (k % 2 == 0).alias("committed"), (k % 6 == 0).alias("untouched"), F.col("o_totalprice").alias("price"),
         )
 
     @functools.cached_property
@@ -138,15 +153,16 @@ SQL = {
     "memory": f"""SELECT vec_id AS id, d.text AS fact, e.embedding::DOUBLE[] AS embedding, label AS strand, (1 + vec_id % 5)::INTEGER AS importance, [d.lang, d.source] AS tags,
         ['fact', 'decision', 'insight', 'todo', 'event', 'observation'][vec_id % 6 + 1] AS type,
         CASE WHEN vec_id % 17 = 0 THEN 'archived' ELSE 'active' END AS status, vec_id % 23 = 0 AS ephemeral,
-        0.4::DOUBLE * (1 + vec_id % 5) / 5 AS strength, 0.3::DOUBLE * (1 + vec_id % 5) / 5 AS min_strength, 0.07::DOUBLE AS decay_rate,
+        CASE WHEN vec_id % 29 <> 0 THEN 0.4::DOUBLE * (1 + vec_id % 5) / 5 END AS strength, 0.3::DOUBLE * (1 + vec_id % 5) / 5 AS min_strength, 0.07::DOUBLE AS decay_rate,
         vec_id % 4 AS recall_count, vec_id % 3 AS reinforcement_count, {_AT.format(h='vec_id % 1400')} AS created_at, {_AT.format(h='vec_id % 1400')} AS last_used_at, {_AT.format(h='vec_id % 1400 + 5')} AS last_reinforced_at,
         ['src/f' || (vec_id % 13)] AS files_modified, ['src/f' || (vec_id % 7)] AS files_read, vec_id % 7 AS person, vec_id % 4 AS project
         FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id""",
-    "related_to": """SELECT * FROM (SELECT vec_id AS src, (vec_id * (2 * k + 1) + 7 * k) % n AS dst, ((vec_id * 3 + k) % 20) / 20.0::DOUBLE AS weight, ((vec_id + k) % 5)::INTEGER AS activation_count,
+    "related_to": """SELECT * FROM (SELECT vec_id AS src, (vec_id * (2 * k + 1) + 7 * k) % n AS dst, CASE WHEN (vec_id + k) % 31 <> 0 THEN ((vec_id * 3 + k) % 20) / 20.0::DOUBLE END AS weight, ((vec_id + k) % 5)::INTEGER AS activation_count,
         TIMESTAMP '2024-01-01 00:00:00' - to_days(((vec_id + k) % 120)::INTEGER) AS last_activated_at, CASE WHEN (vec_id + k) % 3 <> 0 THEN 0.005::DOUBLE END AS decay_rate
         FROM embeddings, (SELECT count(*) AS n FROM embeddings), (VALUES (1), (2), (3)) ks(k)) WHERE src <> dst""",
     "leads_to": "SELECT src, dst, 0.5::DOUBLE AS weight FROM (SELECT lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, event_id AS dst FROM events) WHERE src IS NOT NULL",
     "contains_": """SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer""",
+    "about": "SELECT vec_id AS src, 'person-' || (vec_id % 7) AS dst FROM embeddings UNION ALL SELECT vec_id, 'agent-' || (vec_id % 2) FROM embeddings WHERE vec_id % 3 = 0",
     "control": "SELECT p_partkey AS id, p_name AS name, p_brand AS framework_id, p_size AS size FROM part",
     "supports": "SELECT l_orderkey * 10 + l_linenumber AS src, l_partkey AS dst, l_discount AS confidence FROM lineitem WHERE l_quantity > 45",
     "has_chunk": "SELECT l_orderkey AS src, l_orderkey * 10 + l_linenumber AS dst FROM lineitem",
@@ -158,7 +174,7 @@ SQL = {
     "task": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'active' END AS status,
         CASE WHEN left(o_orderpriority, 1) = '1' THEN 'H' WHEN left(o_orderpriority, 1) IN ('2', '3') THEN 'M' WHEN left(o_orderpriority, 1) = '4' THEN 'L' END AS value,
         CASE o_orderkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'M' ELSE 'L' END AS effort, c_mktsegment AS project, o_orderdate::DATE AS due_on,
-        o_orderkey % 11 = 0 AS is_template, o_orderkey % 2 = 0 AS committed, o_orderkey % 6 = 0 AS untouched, o_totalprice AS price FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+        CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 11 = 0 END AS is_template, o_orderkey % 2 = 0 AS committed, o_orderkey % 6 = 0 AS untouched, o_totalprice AS price FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "document": "SELECT doc_id, text AS body, lang, source FROM documents",
     "active_memory": "SELECT * FROM memory WHERE coalesce(status, 'active') = 'active' AND NOT coalesce(ephemeral, false)",
     "vecs": "SELECT id, embedding FROM memory",

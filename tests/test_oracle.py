@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from graphloom import catalog
@@ -22,7 +23,9 @@ def duck():
 
 def canonical(df):
     def cell(v):
-        if v is None or v != v:
+        if isinstance(v, (list, dict)) or hasattr(v, "__len__") and not isinstance(v, str):
+            return str(v)
+        if pd.isna(v):
             return "null"
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return f"{float(v):.7g}" if not math.isinf(float(v)) else str(v)
