@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fixed, maybe_broadcast, stored, table
+from .common import fixed, maybe_broadcast, stored, table, unused
 
 SPAN, GRAM = 10, 5
 
@@ -126,5 +126,6 @@ def op7_decontamination_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs in which no window of a benchmark item occurs, unchanged."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    return docs.join(maybe_broadcast(found, 24), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    d, t = unused(docs, "_d", "_t")
+    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    return docs.join(maybe_broadcast(found, 24), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left_anti")

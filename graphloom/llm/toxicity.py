@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import fold, table, text_input
+from .common import fold, table, unused
 from .quality import labelled_sample
 
 SAMPLE = 16_000
@@ -200,7 +201,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.evidence(t.as_py().encode())[0] for t in b.column(1)], pa.float64())], names=["y", "x"])
 
-    points = sample.mapInArrow(weigh, "y int, x double").limit(2 * bound).toArrow()
+    points = sample.mapInArrow(weigh, "y int, x double").toArrow()  # a row an id: `bound` at most
     x, y = points["x"].to_numpy(), points["y"].to_numpy().astype(float)
     order = np.lexsort((y, x))
     model.weight, model.bias = fit_curve(x[order], y[order])
@@ -222,26 +223,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, *keep: str) -> DataFrame:
-    """doc_id (and the columns named) with score, n_passages and the passages' token spans.  A null text scores as an empty one."""
+def score_toxicity(docs: DataFrame, model: ToxicModel, *keep: str, score: str = "score", passages: str = "passages") -> DataFrame:
+    """doc_id (and the columns named) with score and the passages' token spans, under the names given.
+
+    A null text scores as an empty one; equal texts score alike; repeated rows and null ids stay as they are; an empty table gives no rows.  Other columns are not read.
+    """
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
         for b in batches:
-            kept = [i for i, n in enumerate(b.schema.names) if n == "doc_id" or n in keep]
-            score, spans = [], []
-            for t in b.column(1):
+            scores, spans = [], []
+            for t in b.column(0):
                 x, segments, n = model.evidence((t.as_py() or "").encode())
-                score.append(model.probability(x))
+                scores.append(model.probability(x))
                 spans.append([{"start": a, "end": e, "score": s} for a, e, s in segments if model.start * n * math.exp(-model.decay * s) < SIGNIFICANT])
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in kept], pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))],
-                names=[*[b.schema.names[i] for i in kept], "score", "passages"],
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*b.schema.names[1:], score, passages])
 
-    source = text_input(docs, *[c for c in keep if c not in ("doc_id", "text")])
-    kinds = dict(source.dtypes)
-    names = [n for n in kinds if n == "doc_id" or n in keep]
-    return source.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", score double, passages array<struct<start:int,end:int,score:double>>")
+    kept = docs.select(*[f"`{c}`" for c in keep]) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    (text,) = unused(kept, "_text")
+    source = docs.select(F.col("text").cast("string").alias(text), *([f"`{c}`" for c in keep] or [F.col("doc_id").cast("long").alias("doc_id")]))
+    span = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
+    return source.mapInArrow(run, StructType([*source.schema.fields[1:], StructField(score, DoubleType()), StructField(passages, span)]))
 
 
 def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,5 +256,5 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that are not predicted toxic, unchanged."""
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return score_toxicity(docs, model, *columns).where(F.col("score") < CUT).select(*columns)
+    score, passages = unused(docs, "_score", "_passages")
+    return score_toxicity(docs, model, *docs.columns, score=score, passages=passages).where(F.col(score) < CUT).drop(score, passages)

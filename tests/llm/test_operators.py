@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, licenses, lm, media, packing, quality, sharding, simhash, tokenfile, tokens, toxicity
-from graphloom.llm.common import fold, stored
+from graphloom.llm.common import fold, stored, table
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 BENCH = "the quick brown fox jumps over the lazy dog again and again until it rests"
@@ -360,6 +361,22 @@ def test_each_group_keeps_one_row(spark, docs):
     assert Counter(r["doc_id"] for r in rows(simhash.keep_one_of_each(spark, docs, ""))) == Counter([1, 2, 4, 5, None, 7, 8, 10])
 
 
+def test_stages_keep_clashing_columns(spark, labelled, tmp_path):
+    """Columns named like those the stages use, repeated and null ids: whatever is kept is kept as it came."""
+    d, l = labelled
+    names = ["score", "passages", "_hash", "_rank", "_kept", "_row", "_d", "_t", "fid", "root", "features"]
+    odd = d.limit(60).unionByName(d.limit(5)).unionByName(d.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).withColumns({n: F.concat(F.lit(n), F.col("text")) for n in names})
+    odd = stored(odd)
+    for n, t in (("documents", d), ("labels", l), ("benchmark", table(spark, "/root/testdata/sf0.001", "benchmark"))):
+        t.write.parquet(f"{tmp_path}/{n}.parquet")
+    before = Counter(map(tuple, odd.collect()))
+    for stage in (quality.keep_quality, toxicity.keep_clean, simhash.keep_one_of_each, decontamination.drop_contaminated):
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns
+        got = Counter(map(tuple, out.collect()))
+        assert got and not got - before
+
+
 # --- decontamination, licences --------------------------------------------------------------------
 
 
@@ -391,10 +408,41 @@ def test_contamination(spark, docs, none, bench):
 
 def test_licenses(docs, none):
     got = rows(licenses.license_hits(docs))
-    assert [(r["doc_id"], r["line"], r["license"], r["dice"]) for r in got] == [(10, 0, "MIT", 1.0)]
+    assert {(r["doc_id"], r["kind"], r["license"], r["dice"]) for r in got} == {(10, "line", "MIT", 1.0), (10, "sentence", "MIT", 1.0)}
     assert rows(licenses.license_hits(none)) == []
 
 
+def brute_dice(a, b):
+    grams = lambda t: {tuple(w) for ws in [re.findall("[a-z0-9]+", t.lower())] for w in zip(ws, ws[1:])}
+    a, b = grams(a), grams(b)
+    return round(2 * len(a & b) / (len(a) + len(b)), 6)
+
+
+def test_licenses_wrapped_and_altered(spark):
+    """Whole paragraphs wrapped over lines, notices within longer lines, and alterations that leave Dice from below to above 0.8."""
+    rng, texts, want = np.random.default_rng(4), {}, {}
+    grant = next(t for n, t in licenses.TEMPLATES if n == "ISC")
+    words_ = grant.split()
+    for i in range(24):
+        w = list(words_)
+        for at in rng.choice(len(w), i // 3, replace=False):
+            w[at] = f"changed{at}"
+        cuts = [" ".join(w[k : k + 9]) for k in range(0, len(w), 9)]
+        texts[i] = "Some title\n\n" + "\n".join(cuts) + "\n\nan end"
+        best = brute_dice(" ".join(w), grant)
+        if best >= 0.8:
+            want[i] = best
+    assert 5 < len(want) < 24 and min(want.values()) < 0.85 < 0.95 < max(want.values())
+    texts[100] = "We like it. Released under the MIT License. See the file for details."
+    want[100] = 1.0
+    got = rows(licenses.license_hits(spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")))
+    best: dict = {}
+    for r in got:
+        if r["license"] in ("ISC", "MIT"):
+            best[r["doc_id"]] = max(r["dice"], best.get(r["doc_id"], 0))
+    assert best == want
+
+
 # --- learned operators -------------------------------------------------------------------------
 
 
