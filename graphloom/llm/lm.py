@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ FOLDS, HELD_OUT = 7, 2
 TOP, GROUPS, WORDS, SHAPES, DIM, ORDER, WINDOW = 40, 40, 2000, 48, 16, 2, 64
 CLASSES, PLACES = TOP + GROUPS + SHAPES, WORDS + SHAPES
 #: Words looked up in memory by each task, by count; all others are joined.
-HEAD = 60_000
+HEAD = 120_000
 #: Every training text trains the vectors, in one pass; tokens of a bucket.
-NOISE, EPOCHS, BATCH, RATE, INSIDE, BUCKET = 8, 1, 4096, 0.3, 2, 4_000_000
+NOISE, EPOCHS, BATCH, RATE, INSIDE, BUCKET = 6, 1, 4096, 0.3, 2, 4_000_000
 #: AdaGrad's sums before any step.
 FLAT = 1e-5
 DISCOUNT = 0.6
@@ -64,7 +65,7 @@ class Ids(dict):
 
     def __missing__(self, word):
         i = -1 - shape(word)
-        if len(self) < 250_000:
+        if len(self) < 350_000:
             self[word] = i
         return i
 
@@ -249,7 +250,7 @@ def _laid_out(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.
     """Ids of texts laid end to end, where each token's text begins, the texts' sizes, and their words."""
     words = [tokens(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((i for w in words for i in map(ids.__getitem__, w)), np.int64, int(sizes.sum()))
+    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
     starts = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(sizes) else np.zeros(0, np.int64)
     return flat, starts, sizes, words
 
@@ -338,7 +339,7 @@ def train_vectors(texts: DataFrame, tokens_: int, head: list[bytes], class_noise
 
     key = F.xxhash64("doc_id", "text")
     dealt = texts.select(F.pmod(key, F.lit(buckets)).cast("int").alias("bucket"), "text", F.xxhash64(key, F.lit(1)).alias("k"))
-    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "k", "text").select("bucket", "text")
+    dealt = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "k", "text").select("bucket", "text")
     learned = sorted(dealt.mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect())  # as many rows as parameters
     return (np.array([x for _, x in learned[:-1]]) / learned[-1][1]).astype(np.float32) if learned else start
 
@@ -396,11 +397,11 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -
             places = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             logs = log_probabilities(params, flat, class_of[flat], place_of[flat], starts, head_counts + 1) / math.log(10) + inside_of[flat]
             sums, base, hits = (np.add.reduceat(x, places) for x in (logs, base_of[flat], seen[flat].astype(np.int64)))
-            rest = [Counter() for _ in words]
-            ends = places + sizes
-            for i in np.flatnonzero(flat < 0):
-                d = int(np.searchsorted(ends, i, side="right"))
-                rest[d][words[d][i - places[d]]] += 1
+            rest: list[Counter] = [Counter() for _ in words]
+            beyond_head = np.flatnonzero(flat < 0)
+            texts = np.searchsorted(places + sizes, beyond_head, side="right")
+            for d, i in zip(texts.tolist(), (beyond_head - places[texts]).tolist()):
+                rest[d][words[d][i]] += 1
             columns = ([d for d, _ in group], list(range(serial, serial + len(group))), sizes, hits, base, sums, [list(r) for r in rest], [list(r.values()) for r in rest])
             serial += len(group)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
