@@ -352,13 +352,11 @@ def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: floa
     keyed = reps.select("fid", "size", F.posexplode("first").alias("at", "key"))
     keys = stored(reps.select("fid", F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("lo"), F.max("fid").alias("hi")).where("n > 1"))
     shared = stored(keyed.join(maybe_broadcast(keys, 40), "key"))
-    whole = F.col("size") - F.col("at")
-
     def ring(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of fids, those whose prints pass the pigeonring filter, or are too short for it."""
         pairs = stored(pairs)
         sides = [F.broadcast(x) if small else x for small in [small_enough(reps, 64)] for x in (reps.select(F.col("fid").alias(c), *[F.col(k).alias(c + k) for k in ("size", "print")]) for c in "ab")]
-        met = pairs.join(sides[0], "a").join(sides[1], "b")
+        met = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-6)
         short = F.least("asize", "bsize") < SURE
         return near_prints(met.where(~short), "aprint", "bprint", limit).select("a", "b").unionByName(met.where(short).select("a", "b"))
 
@@ -385,9 +383,7 @@ def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: floa
         discard(grams)
         return out
 
-    # The hubs' sizes and places come from their own rows.
-    hubs = shared.where("fid = lo or fid = hi").select("key", F.col("fid").alias("hub"), whole.alias("hub_rest"), F.col("size").alias("hub_size"))
-    stars = shared.join(maybe_broadcast(hubs, 40), "key").where("fid <> hub").where(F.least(whole, "hub_rest") >= least_shared(similarity, F.col("size"), F.col("hub_size")))
+    stars = shared.select("fid", F.explode(F.array("lo", "hi")).alias("hub")).where("fid <> hub")
     links = verified(stars.select(F.least("fid", "hub").alias("a"), F.greatest("fid", "hub").alias("b")).distinct())
     roots = stored(components(links))
     rooted = shared.drop("lo", "hi").join(maybe_broadcast(roots, 24), F.col("fid") == F.col("node"), "left").select("key", "fid", "size", "at", "n", F.coalesce("root", "fid").alias("root"))
