@@ -157,7 +157,7 @@ SURE = 64
 #: Shingles in `COMMON_LEAST` or more of a sample of 1 in `COMMON_SAMPLE` texts come last in the order of prefixes, the `COMMON` commonest of them at most.  Results do not depend on it.
 COMMON, COMMON_SAMPLE, COMMON_LEAST = 50_000, 16, 3
 #: Most members, and shingles, of a crowded key that one side of a task compares.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -241,26 +241,38 @@ def least_shared(similarity: float, a, b):
     return (a + b) * (similarity / (1 + similarity)) - 1e-6
 
 
-def feasible(t: pa.Table, similarity: float, limit: int, i=slice(None)) -> np.ndarray:
-    """Which members of a crowded key (rows `i` by all) may be alike with this shingle as their first common one, and are not joined yet: by sizes, places, roots, and chains of their prints' segments."""
+def print_words(t: pa.Table) -> np.ndarray:
+    """The prints of a table's rows, one row of the result a word of 64 bits."""
+    return np.concatenate([np.asarray(p.values) for p in t.column("print")]).view(np.uint64).reshape(t.num_rows, -1).T
+
+
+def feasible(t: pa.Table, similarity: float, limit: int, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which members of a crowded key (`rows` by all) may be alike with this shingle as their first common one, and are not joined yet: by sizes, places, roots, and chains of their prints' segments."""
     size, at, root, own = (t.column(c).to_numpy() for c in ("size", "at", "root", "own"))
-    a = (lambda v: v[i, None]) if isinstance(i, slice) else (lambda v: v[i])
+    a = lambda v: v[rows, None]
     out = (a(root) != root) & (np.minimum(a(size - at), size - at) >= least_shared(similarity, a(size), size))
     if t.column("x")[0].as_py() != t.column("y")[0].as_py():
         out &= a(own) != own
-    if isinstance(i, slice):
-        y, x = np.nonzero(out)
+    y, x = np.nonzero(out)
+    if len(y):
         each, width = RING * 64 // PRINT_BITS, PRINT_BITS // RING
-        words = np.concatenate([np.asarray(p.values) for p in t.column("print")]).view(np.uint64).reshape(len(size), -1).T
-        part = lambda v: [((v[y] ^ v[x]) >> np.uint64(width * j)) & np.uint64((1 << width) - 1) for j in range(each)]
+        part = lambda v: [((v[rows[y]] ^ v[x]) >> np.uint64(width * j)) & np.uint64((1 << width) - 1) for j in range(each)]
         differences = [np.bitwise_count(d).astype(np.int16) for v in words for d in part(v)]
-        out[y, x] = (np.minimum(size[y], size[x]) < SURE) | (on_ring(differences, limit) & (sum(differences) <= limit)) if len(y) else False
+        out[y, x] = (np.minimum(size[rows[y]], size[x]) < SURE) | (on_ring(differences, limit) & (sum(differences) <= limit))
     return out
 
 
+def feasible_rows(t: pa.Table, similarity: float, limit: int, rows: int = 32):
+    """(members, their rows of `feasible`), few at a time, so that memory grows with the block and not with its square."""
+    words = print_words(t)
+    for i in range(0, t.num_rows, rows):
+        some = np.arange(i, min(i + rows, t.num_rows))
+        yield some, feasible(t, similarity, limit, some, words)
+
+
 def block_members(similarity: float, limit: int):
     """The members of a crowded key, of one block or of two, that have a feasible partner."""
-    return lambda t: t.filter(pa.array(feasible(t, similarity, limit).any(axis=1)))
+    return lambda t: t.filter(pa.array(np.concatenate([able.any(axis=1) for _, able in feasible_rows(t, similarity, limit)])))
 
 
 def block_links(similarity: float, limit: int):
@@ -271,9 +283,9 @@ def block_links(similarity: float, limit: int):
         _, flat = np.unique(np.concatenate([np.asarray(g.values) for g in t.column("grams")]), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         _, group = np.unique(t.column("root").to_numpy(), return_inverse=True)
-        able, mark, a, b = feasible(t, similarity, limit), np.zeros(flat.max() + 1, bool), [], []
-        for i in range(len(fid)):
-            open_ = able[i] & (group != group[i]) & (np.arange(len(fid)) > i)
+        mark, a, b = np.zeros(flat.max() + 1, bool), [], []
+        for i, able in ((i, row) for some, part in feasible_rows(t, similarity, limit) for i, row in zip(some, part)):
+            open_ = able & (group != group[i]) & (np.arange(len(fid)) > i)
             if open_.any():
                 part = flat[starts[i] : starts[i] + size[i]]
                 mark[part] = True
