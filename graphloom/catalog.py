@@ -17,6 +17,7 @@ from .operators import cluster as C
 from .operators import filters as Q
 from .operators import graph as G
 from .operators import mutations as M
+from .operators import records as D
 from .operators import similarity as S
 from .operators import vector as V
 from .plans import composites as Z
@@ -1030,3 +1031,130 @@ def _(g):
 def _(g):
     d = g.document.withColumn("body", F.regexp_replace("body", "\n", "\n## "))
     return I.document_chunks(d)["has_next"]
+
+
+# --- records -------------------------------------------------------------------------------
+
+
+@query("o8_listing", "SELECT id, framework_id, CASE WHEN id % 10 <> 0 THEN name END AS name FROM control WHERE id % 10 <> 0")
+def _(g):
+    """Also F15: nodes without a name are hidden."""
+    named = g.control.select("id", "framework_id", F.when(F.col("id") % 10 != 0, F.col("name")).alias("name"))
+    return D.listing(named, "framework_id", "name", "id", name="name")
+
+
+@query("o9_chunks_by_confidence", "SELECT src, dst, confidence FROM supports ORDER BY confidence DESC, src, dst")
+def _(g):
+    return D.chunks_by_confidence(g.supports)
+
+
+@query("a21_collected", "SELECT src AS id, string_agg(DISTINCT dst, ',' ORDER BY dst) AS ends, min(dst) AS first FROM about GROUP BY src")
+def _(g):
+    return D.collected(g.about).select("id", F.array_join("ends", ",").alias("ends"), "first")
+
+
+@query("p9_operation_log", """
+SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'unknown' END || '  ' || event_type || '  ' || user_id ||
+CASE WHEN event_id % 3 = 0 THEN '  fields_updated: fact' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN '  target_id: ' || (event_id + 1) ELSE '' END AS line FROM events""")
+def _(g):
+    k = F.col("event_id")
+    log = g.table("events").select(
+        "event_id", F.when(k % 5 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ran_at"), F.col("event_type").alias("operation"), F.col("user_id").alias("memory_id"),
+        F.when(k % 3 == 0, "fact").otherwise("").alias("fields_updated"), F.when(k % 4 == 0, (k + 1).cast("string")).alias("target_id"),
+    )
+    return log.orderBy(F.desc("event_id")).select("event_id", D.operation_line().alias("line"))
+
+
+@query("p9_maintenance_log", """
+SELECT o_orderkey AS id, '  ' || strftime(o_orderdate, '%Y-%m-%d') || '  long-rest' || CASE WHEN o_orderkey % 4 = 0 THEN ' (dry-run)' ELSE '' END || ': ' || CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey END || ' nodes, ' || o_orderkey || ' edges decayed' ||
+CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ', ' || (o_orderkey % 3) || ' edges discovered' END || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ', ' || (o_orderkey % 5) || ' edges pruned' END AS line FROM orders""")
+def _(g):
+    k = F.col("o_orderkey")
+    log = g.table("orders").select(
+        k.alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ran_at"), F.lit("long_rest").alias("operation"), F.when(k % 2 == 0, k % 4 == 0).alias("dry_run"),
+        F.when(k % 7 != 0, F.col("o_custkey")).alias("nodes_affected"), k.alias("edges_affected"), (k % 3).alias("edges_discovered"), (k % 5).alias("edges_pruned"),
+    )
+    return log.orderBy(F.desc("ran_at"), F.desc("id")).select("id", D.maintenance_line().alias("line"))
+
+
+@query("j12_crosswalk", """
+WITH n AS (SELECT 'csf-' || lower('N' || p_partkey) AS id, 'N' || p_partkey AS key FROM part WHERE p_size % 2 = 0)
+SELECT 's' || ps AS src, n.id AS dst FROM (SELECT l_suppkey AS ps, 'N' || l_partkey AS key FROM lineitem WHERE l_linenumber % 3 <> 0) JOIN n USING (key)""")
+def _(g):
+    p = g.table("part")
+    nodes = p.select(F.concat(F.lit("csf-n"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_size") % 2 == 0, "subcategory").otherwise("category").alias("level"))
+    third = F.col("l_linenumber") % 3 == 0
+    records = g.table("lineitem").select("l_suppkey", F.when(third, " ").otherwise(F.concat(F.lit(" N"), F.col("l_partkey").cast("string"), F.lit(" "))).alias("key"))
+    return D.crosswalk(records, nodes, "csf-", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
+
+
+@query("j13_static_crosswalk", """
+SELECT src, dst FROM (VALUES ('s1', 's2'), ('s3', 's4'), ('s3', 'none')) v(src, dst) WHERE src IN (SELECT 's' || s_suppkey FROM supplier) AND dst IN (SELECT 's' || s_suppkey FROM supplier)""")
+def _(g):
+    s = g.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    return D.static_crosswalk(s, [("s1", "s2"), ("s3", "s4"), ("s3", "s4"), ("s3", "none")])
+
+
+@query("d14_semantic_groups", """
+WITH RECURSIVE x AS (SELECT id FROM memory WHERE id % 9 = 0), e AS (SELECT src, dst FROM pairs WHERE src <> dst AND similarity >= 0.35 AND src NOT IN (SELECT id FROM x) AND dst NOT IN (SELECT id FROM x)),
+walk(s, id) AS (SELECT src, src FROM e UNION SELECT w.s, e.dst FROM walk w JOIN e ON e.src = w.id), comp AS (SELECT s AS id, min(id) AS root FROM walk GROUP BY s)
+SELECT c.id, first_value(c.id) OVER (PARTITION BY c.root ORDER BY m.created_at, m.importance DESC, c.id) AS canonical FROM comp c JOIN memory m ON m.id = c.id""")
+def _(g):
+    pairs = S.close_pairs(g.memory.select("id", "embedding"), 0.65)
+    return D.semantic_groups(g.memory, pairs, g.memory.where("id % 9 = 0").select("id"))
+
+
+@query("m9_patch", f"""
+SELECT id, CASE WHEN id % 4 = 0 THEN 5 ELSE importance END AS importance, CASE WHEN id % 8 = 0 THEN 'todo' ELSE type END AS type, CASE WHEN id % 4 = 0 THEN {NOW} ELSE created_at END AS updated_at FROM memory""")
+def _(g):
+    m = g.memory.select("id", "importance", "type", F.col("created_at").alias("updated_at"))
+    patches = m.where("id % 4 = 0").select("id", F.lit(5).alias("importance"), F.when(F.col("id") % 8 == 0, "todo").alias("type"))
+    return D.patched(m, patches, g.now)
+
+
+@query("m9_patched_links", """
+SELECT src, dst FROM about WHERE src % 5 <> 0 UNION ALL SELECT vec_id, 'person-1' FROM embeddings WHERE vec_id % 5 = 0""")
+def _(g):
+    ids = g.about.where("src % 5 = 0").select(F.col("src").alias("id")).distinct()
+    new = ids.select(F.col("id").alias("src"), F.explode(F.array(F.lit("person-1"), F.lit("nobody"))).alias("dst"))
+    return D.patched_links(g.about, ids, new, g.about.select(F.col("dst").alias("id")))
+
+
+@query("m22_updated_tasks", """
+SELECT id, CASE WHEN id % 4 = 0 THEN 'H' ELSE value END AS value, effort, CASE WHEN id % 4 = 0 THEN 3.0::DOUBLE / CASE effort WHEN 'H' THEN 3 WHEN 'M' THEN 2 ELSE 1 END ELSE 1.0 END AS priority_score, id % 2 = 0 AS dated FROM task""")
+def _(g):
+    t = g.task.select("id", "value", "effort", "status", F.lit(1.0).alias("priority_score"), F.lit(None).cast("timestamp").alias("updated_at"))
+    patches = t.where("id % 2 = 0").select("id", F.lit("active").alias("status"), F.when(F.col("id") % 4 == 0, "H").alias("value"))
+    return D.updated_tasks(t, patches, g.now).select("id", "value", "effort", "priority_score", F.col("updated_at").isNotNull().alias("dated"))
+
+
+@query("m22_task_links", """
+SELECT o_orderkey AS src, o_orderkey + 1 AS dst, 'BLOCKS' AS type FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)""")
+def _(g):
+    """Links between tasks that exist, and then some tasks deleted with theirs."""
+    new = g.task.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    none = new.limit(0).withColumn("type", F.lit(""))
+    links = D.linked_tasks(none, g.task, new, "BLOCKS")
+    return D.deleted_tasks(g.task, links, g.task.where("id % 10 = 0").select("id"))[1]
+
+
+@query("w11_even_sample", """
+WITH r AS (SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, greatest(1, count(*) OVER (PARTITION BY user_id) // 10) AS step FROM events)
+SELECT user_id, id FROM r WHERE place % step = 0 AND place // step < 10""")
+def _(g):
+    return D.even_sample(g.table("events").select("user_id", F.col("event_id").alias("id")), "user_id", "id")
+
+
+@query("ch3_length_stats", """
+SELECT lang, count(body) AS n, min(length(body)) AS least, max(length(body)) AS most, round(avg(length(body)), 4) AS mean, median(length(body)) AS p50,
+list_sort(list(length(body)))[floor(0.95::DOUBLE * count(body))::BIGINT + 1] AS p95 FROM document WHERE body IS NOT NULL GROUP BY lang""")
+def _(g):
+    return D.length_stats(g.document, "lang", "body").withColumn("mean", F.round("mean", 4))
+
+
+@query("tx11_page_words", """
+WITH w AS (SELECT l_orderkey AS page, l_linenumber AS place, l_quantity * 2 AS x0 FROM lineitem WHERE l_quantity * 2 >= 30)
+SELECT page, place, x0::DOUBLE AS x0, CASE WHEN first_value(x0) OVER (PARTITION BY page ORDER BY place, x0) < 55 THEN 'verso' ELSE 'recto' END AS kind FROM w""")
+def _(g):
+    words = g.table("lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("place"), (F.col("l_quantity") * 2).cast("double").alias("x0"))
+    return D.page_words(words, at="place").select("page", "place", "x0", "kind")

@@ -311,3 +311,31 @@ def test_threats_from_reports(spark):
     assert "old" in ident and len(ident) == 2
     assert {r.dst for r in out["techniques"].collect()} == {"T1486", "T1566"}
     assert out["quarantine"].count() == 0
+
+
+def test_log_lines(spark):
+    from graphloom.operators import records as D
+
+    ops = spark.createDataFrame([("t1", "merge", "m1", "fact", None), (None, "restore", "m2", "", "m3")], "ran_at string, operation string, memory_id string, fields_updated string, target_id string")
+    assert [r[0] for r in ops.select(D.operation_line()).collect()] == ["t1  merge  m1  fields_updated: fact", "unknown  restore  m2  target_id: m3"]
+    runs = spark.createDataFrame([("2024-01-02T03:04:05.678", "long_rest", True, 3, 4, 0, 2)], "ran_at string, operation string, dry_run boolean, nodes_affected int, edges_affected int, edges_discovered int, edges_pruned int")
+    assert runs.select(D.maintenance_line()).first()[0] == "  2024-01-02 03:04:05  long-rest (dry-run): 3 nodes, 4 edges decayed, 2 edges pruned"
+
+
+def test_length_stats_and_even_sample(spark):
+    from graphloom.operators import records as D
+
+    rows = spark.createDataFrame([("a", i, "x" * i) for i in range(1, 26)] + [("b", 1, None)], "g string, i int, text string")
+    assert [tuple(r) for r in D.length_stats(rows, "g").collect()] == [("a", 25, 1, 25, 13.0, 13.0, 24)]
+    assert sorted(r.i for r in D.even_sample(rows.where("g = 'a'"), "g", "i").collect()) == list(range(1, 21, 2))
+
+
+def test_semantic_groups_canonical(spark):
+    from graphloom.operators import records as D
+
+    nodes = spark.createDataFrame([(1, 5, 1), (2, 4, 2), (3, 4, None), (4, 1, 5)], "id long, created_at int, importance int")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
+    got = D.semantic_groups(nodes, pairs, nodes.where("id = 4").select("id"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3), (3, 3)]
+    with pytest.raises(ValueError):
+        D.linked_tasks(pairs, nodes, pairs, "LIKES")
