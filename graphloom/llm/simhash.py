@@ -15,6 +15,7 @@ group's size.  Exact copies are one fingerprint throughout.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -158,6 +159,8 @@ SURE = 64
 COMMON, COMMON_SAMPLE, COMMON_LEAST = 50_000, 16, 3
 #: Most members, and shingles, of a crowded key that one side of a task compares.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Most rows of an Arrow batch.
+BATCH_ROWS = 1000
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -326,7 +329,25 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.g for r in often.orderBy(F.desc("n"), "g").limit(COMMON).collect()], np.int64))  # bounded by COMMON
 
 
-def alike_groups(docs: DataFrame, *keep: str, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of at most `rows` rows for what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def alike_groups(docs: DataFrame, *keep: str, **options) -> DataFrame:
+    """grouped_alike(), whose Python steps all run before it returns, in batches of few rows, as texts and shingles are long."""
+    with small_batches(docs.sparkSession):
+        return grouped_alike(docs, *keep, **options)
+
+
+def grouped_alike(docs: DataFrame, *keep: str, shingle: int = 5, similarity: float = ALIKE, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
     """doc_id, fid, root and the columns in `keep` of every row: rows have one root if a chain of texts whose shingles' Jaccard similarity reaches `similarity` joins them.
 
     Two sets alike from t on share one of the first n - ceil(t * n) + 1 shingles of each in any order common to all; those are the
