@@ -1,9 +1,10 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Size, language, source and id are each quantised to `BITS` bits; rows are sorted by
+Size, language, source and id are each quantised to `BITS` bits, in order and with
+about equally many rows a level; rows are sorted by
 their index on the Hilbert curve through that grid and the sorted run is cut into
 shards whose row counts differ by one at most.  Neighbours on the curve are near in
-every dimension, so a filter on any of them prunes most shards.
+every dimension, so a filter on a value or a range of any of them prunes shards.
 
 The text is read once, for its size and checksum; what is shuffled is a digest of a
 few numbers a row.  Ranges are cut by (curve index, text hash, doc_id), so a hot cell or a hot
@@ -12,10 +13,10 @@ group of copies spreads over as many tasks as it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 SHARDS, BITS = 40, 4
 
@@ -54,29 +55,62 @@ def hilbert_index(dims: list[Column], bits: int) -> list[tuple[str, Column]]:
     return steps
 
 
+def number_cuts(df: DataFrame, names: list[str], levels: int) -> list[list]:
+    """For each numeric column at most levels - 1 values, its approximate quantiles; a mergeable sketch of bounded size gives them."""
+    shares = [i / levels for i in range(1, levels)]
+    found = df.agg(*[F.percentile_approx(c, shares).alias(c) for c in names]).first()
+    return [sorted(v or []) for v in found]
+
+
+def value_cuts(df: DataFrame, name: str, levels: int) -> list:
+    """At most levels - 1 values of a column, for each level from 1 on the first value that reaches it: as many parts of the rows, or more, come before.  Values that span several levels repeat.
+
+    Values are counted and ranked in ranges, with the totals of ranges added up on the driver; a value is never split, however many rows hold it.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+    counts = stored(counts.repartitionByRange(parts, name).sortWithinPartitions(name).withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    total, starts = 0, []
+    for part, n in sorted(counts.groupBy("_part").agg(F.sum("_n")).collect()):  # a row for each shuffle partition at most
+        starts.append((part, total))
+        total += n
+    begins = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = F.floor((F.col("_start") + earlier) * levels / max(1, total))
+    firsts = counts.join(F.broadcast(begins), "_part").select(name, level.alias("_level")).groupBy("_level").agg(F.min(name).alias("v"))
+    reached = sorted((r["_level"], r["v"]) for r in firsts.collect())  # a row for each level at most
+    discard(counts)
+    return [min(v for at, v in reached if at >= k) for k in range(1, levels) if reached and reached[-1][0] >= k]
+
+
+def level_of(value: Column, cuts: list) -> Column:
+    """How many of the cuts are not above the value; 0 for null."""
+    return sum((F.when(value >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("long")
+
+
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Every row with its shard and its slot there, by the law `rows`.
 
-    Null texts count as no bytes (size 16, checksum of nothing); null lang, source or doc_id form a level of their own.
-    Equal rows keep separate slots.  An empty table gives no rows; extra columns are not read.
+    Null texts count as no bytes (size 16, checksum of nothing); null lang, source or doc_id count as the lowest level.
+    Any ids of 64 bits will do.  Equal rows keep separate slots.  An empty table gives no rows; extra columns are not read.
     """
-    top = (1 << bits) - 1
+    levels = 1 << bits
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    level = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(top + 1))
-    digest = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (bytes_ + 16).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("_text"),
-        level("lang").alias("_d1"),
-        level("source").alias("_d2"),
+    digest = stored(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (bytes_ + 16).alias("size"),
+            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+            F.xxhash64("text").alias("_text"),
+            F.col("lang").cast("string").alias("_lang"),
+            F.col("source").cast("string").alias("_source"),
+        )
     )
-    digest = digest.withColumn("_d0", F.least(F.lit(top), F.greatest(F.lit(0), F.floor(F.log2(F.col("size").cast("double")) - 4))).cast("long"))
-    digest = stored(digest)
-    lo, span = digest.agg(F.min("doc_id"), F.max("doc_id") - F.min("doc_id") + 1).first()
-    d3 = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)).cast("double") * (top + 1) / F.lit(float(span or 1))), F.lit(0))
-    out = digest.withColumn("_d3", F.least(F.lit(top), F.greatest(F.lit(0), d3)).cast("long"))
-    for name, c in hilbert_index([F.col(f"_d{i}") for i in range(4)], bits):
+    sizes, ids = number_cuts(digest, ["size", "doc_id"], levels)
+    cuts = {"size": sizes, "_lang": value_cuts(digest, "_lang", levels), "_source": value_cuts(digest, "_source", levels), "doc_id": ids}
+    dims = [level_of(F.col(c), v) for c, v in cuts.items() if v]  # a column of one value, or of none, is no dimension
+    out = digest.withColumns({f"_d{i}": d for i, d in enumerate(dims)}) if dims else digest.withColumn("h", F.lit(0).cast("long"))
+    for name, c in hilbert_index([F.col(f"_d{i}") for i in range(len(dims))], bits) if dims else []:
         out = out.withColumn(name, c)
     keys = ["h", "_text", F.col("doc_id").asc_nulls_first()]
     out = out.select("doc_id", "size", "text_crc32", "h", "_text")

@@ -197,6 +197,37 @@ def test_shards(docs, none):
 # --- media ------------------------------------------------------------------------------------
 
 
+def test_shards_prune_every_dimension(spark):
+    n, shards = 8000, 40
+    held = [(i * 7919 % 100_003, "x" * (20 + (i * 31) % 4000), ["de", "en", "fr", "nl"][i * 13 % 4], "hot" if i % 3 == 0 else f"source_{i * 17 % 20:02d}") for i in range(n)]
+    made = spark.createDataFrame(held, "doc_id long, text string, lang string, source string")
+    placed = {r.doc_id: r.shard for r in sharding.hilbert_shards(made, shards).collect()}
+    assert len(placed) == n
+    touched = lambda keep: len({placed[d] for d, t, l, s in held if keep(d, t, l, s)})
+    assert touched(lambda d, t, l, s: d < 100_003 // 16) < shards * 0.75
+    assert touched(lambda d, t, l, s: len(t) < 270) < shards * 0.75
+    assert touched(lambda d, t, l, s: l == "fr") < shards * 0.75
+    assert touched(lambda d, t, l, s: s == "source_05") < shards * 0.75
+
+
+def test_cuts_are_even(spark):
+    values = ["hot"] * 500 + [f"v{i:03d}" for i in range(500)] + [None] * 7
+    made = spark.createDataFrame([(v,) for v in values], "v string").repartition(5)
+    cuts = sharding.value_cuts(made, "v", 16)
+    known = sorted(v for v in values if v is not None)
+    levels = {v: known.index(v) * 16 // len(known) for v in set(known)}
+    assert cuts == [min(v for v in levels if levels[v] >= k) for k in range(1, 16) if max(levels.values()) >= k]
+    got = {r.v: r.k for r in made.select("v", sharding.level_of(F.col("v"), cuts).alias("k")).distinct().collect()}
+    assert got == {None: 0, **levels}
+    assert sharding.value_cuts(made.where("v is null"), "v", 16) == []
+
+
+def test_shards_of_far_ids(spark):
+    ids = [-(1 << 63), -1, 0, 5, (1 << 63) - 1, None]
+    got = sharding.hilbert_shards(spark.createDataFrame([(i, "t", None, None) for i in ids], "doc_id long, text string, lang string, source string"), 3).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids) and Counter(r.shard for r in got) == {0: 2, 1: 2, 2: 2}
+
+
 @pytest.mark.parametrize("shape", [(5, 7), (4, 6, 3), (1, 1), (3, 2, 3)])
 def test_images_round_trip(shape):
     a = np.random.default_rng(0).integers(0, 256, shape).astype(np.uint8)
