@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op12_byte_bpe
 from .decontamination import op7_decontamination_winnowing
 from .licenses import ORACLE as LICENSE_SQL
 from .licenses import op4_license_scan
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_bradley_terry, op2_toxicity_segments, op3_token_files, op4_license_scan, op5_log_bilinear_nce,
-        op6_simhash_pigeonring, op7_decontamination_winnowing, op8_media_columns, op9_hierarchical_packing, op10_hilbert_sharding,
+        op6_simhash_pigeonring, op7_decontamination_winnowing, op8_media_columns, op9_hierarchical_packing, op10_hilbert_sharding, op12_byte_bpe,
     )
 }
 
