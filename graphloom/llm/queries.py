@@ -12,6 +12,7 @@ from .packing import op9_hierarchical_packing
 from .quality import op1_quality_bradley_terry
 from .sharding import op10_hilbert_sharding
 from .simhash import op6_simhash_pigeonring
+from .spelling import op11_spelling_variants
 from .tokenfile import op3_token_files
 from .toxicity import op2_toxicity_segments
 from .whitening import op13_embedding_whitening
@@ -20,7 +21,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_bradley_terry, op2_toxicity_segments, op3_token_files, op4_license_scan, op5_log_bilinear_nce,
-        op6_simhash_pigeonring, op7_decontamination_winnowing, op8_media_columns, op9_hierarchical_packing, op10_hilbert_sharding, op12_byte_bpe, op13_embedding_whitening,
+        op6_simhash_pigeonring, op7_decontamination_winnowing, op8_media_columns, op9_hierarchical_packing, op10_hilbert_sharding, op11_spelling_variants,
+        op12_byte_bpe, op13_embedding_whitening,
     )
 }
 
