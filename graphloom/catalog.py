@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import catalog_standards  # noqa: F401  (registers its queries)
 from . import params as P
 from .functions import scalar as X
 from .functions import text as T
@@ -24,26 +25,14 @@ from .plans import composites as Z
 from .plans import ingest as I
 from .sources import readers as R
 from .sources import sinks as K
-from .views import Graph, duck
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .views import Graph
 
 ACTIVE = "coalesce(status, 'active') = 'active' AND NOT coalesce(ephemeral, false)"
 NOW = "TIMESTAMP '2024-03-01 00:00:00'"
 DAYS = "((epoch_us({a}) - epoch_us({b})) / 86400000000.0::DOUBLE)"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
-        if sql:
-            ORACLES[name] = duck(sql)
-        return f
-
-    return add
-
-
 def probe(g: Graph, i: int = 3) -> list[float]:
     """The vector of one row, used as a query."""
     return g.table("embeddings").where(F.col("vec_id") == i).select("embedding").first()[0]

@@ -147,6 +147,37 @@ class Graph:
     def document(self) -> DataFrame:
         return self.table("documents").select("doc_id", F.col("text").alias("body"), "lang", "source")
 
+    @functools.cached_property
+    def standard_lines(self) -> DataFrame:
+        """Documents set as standards: their words, seven a line, under headings, list labels, notes and running heads by the line's number."""
+        words = F.filter(F.transform(F.split(F.lower("text"), "[ \\n\\t]+"), lambda w: F.regexp_replace(w, "[^a-zà-ÿ]", "")), lambda w: w != "")
+        d = self.table("documents").select("doc_id", F.explode(F.array(words)).alias("w")).where(F.size("w") > 0)
+        rows = d.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("w") - 1) / 7))).alias("i"))
+        t = rows.select("doc_id", "i", F.array_join(F.slice("w", (F.col("i") * 7 + 1).cast("int"), 7), " ").alias("t"))
+        return t.select("doc_id", "i", F.expr(STANDARD_LINE).alias("line"))
+
+    @functools.cached_property
+    def standard_words(self) -> DataFrame:
+        """The words of standard_lines on pages of 40 lines, with a licence mark left of every sixth line."""
+        page = F.floor(F.col("i") / 40)
+        tokens = F.concat(F.split("line", " "), F.when(F.col("i") % 6 == 0, F.array(F.lit("#copy"))).otherwise(F.array().cast("array<string>")))
+        w = self.standard_lines.select("doc_id", "i", page.alias("p"), F.posexplode(tokens).alias("j", "text"))
+        left = F.when(F.col("p") % 2 == 1, 40.0).otherwise(60.0)
+        top = (F.col("i") % 40) * 20.0
+        return w.select(
+            "doc_id", (F.col("doc_id") * 1_000_000 + F.col("p")).alias("page"), F.col("i").alias("at"), "text",
+            F.when(F.col("text") == "#copy", 10.0).otherwise(left + F.col("j") * 30).alias("x0"), top.alias("top"), (top + 10).alias("bottom"),
+        )
+
+
+_CAP = "upper(substring(t, 1, 1)) || substring(t, 2)"
+#: A line of standard_lines, for Spark and DuckDB alike.
+STANDARD_LINE = f"""CASE (i + doc_id) % 29
+    WHEN 0 THEN cast(cast(1 + floor(i / 29) AS BIGINT) AS STRING) || '.' || cast(i % 4 AS STRING) || ' ' || {_CAP}
+    WHEN 1 THEN {_CAP} WHEN 2 THEN t || ':' WHEN 3 THEN 'a) ' || t || ' include' WHEN 4 THEN '— ' || t || ';' WHEN 5 THEN t || '; and' WHEN 6 THEN '— ' || t || ' 12'
+    WHEN 7 THEN 'b) ' || {_CAP} || '; or' WHEN 8 THEN 'NOTE 1 ' || t WHEN 9 THEN {_CAP} WHEN 10 THEN '1) `' || t || ':' WHEN 11 THEN '2) ' || t || ' [3]' WHEN 12 THEN '- ' || t
+    WHEN 13 THEN {_CAP} || '.' WHEN 14 THEN t || ' shall:' WHEN 15 THEN 'c) ' || t || ' how to' WHEN 16 THEN 'd) ' || t WHEN 17 THEN '• ' || t || ',' WHEN 18 THEN 'Table A.1 ' || t WHEN 19 THEN '17'
+    WHEN 20 THEN 'NOTE ' || t WHEN 21 THEN t WHEN 22 THEN '3) ' || t || ' to' WHEN 23 THEN '4) a,' || t WHEN 24 THEN {_CAP} WHEN 25 THEN '— ' || {_CAP} || '.' ELSE t END"""
 
 _AT = "(TIMESTAMP '2024-01-01 00:00:00' + to_hours({h}))"
 SQL = {
@@ -175,6 +206,8 @@ SQL = {
         CASE WHEN left(o_orderpriority, 1) = '1' THEN 'H' WHEN left(o_orderpriority, 1) IN ('2', '3') THEN 'M' WHEN left(o_orderpriority, 1) = '4' THEN 'L' END AS value,
         CASE o_orderkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'M' ELSE 'L' END AS effort, c_mktsegment AS project, o_orderdate::DATE AS due_on,
         CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 11 = 0 END AS is_template, o_orderkey % 2 = 0 AS committed, o_orderkey % 6 = 0 AS untouched, o_totalprice AS price FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+    "standard_lines": f"""SELECT doc_id, i, {STANDARD_LINE} AS line FROM (SELECT doc_id, i, array_to_string(list_slice(w, 7 * i + 1, 7 * i + 7), ' ') AS t
+        FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 6) // 7)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '[ \\n\\t]+'), lambda x: regexp_replace(x, '[^a-zà-ÿ]', '', 'g')), lambda x: x <> '') AS w FROM documents)))""",
     "document": "SELECT doc_id, text AS body, lang, source FROM documents",
     "active_memory": "SELECT * FROM memory WHERE coalesce(status, 'active') = 'active' AND NOT coalesce(ephemeral, false)",
     "vecs": "SELECT id, embedding FROM memory",
