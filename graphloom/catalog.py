@@ -21,6 +21,7 @@ from .operators import mutations as M
 from .operators import records as D
 from .operators import similarity as S
 from .operators import vector as V
+from .operators.communities import louvain
 from .plans import composites as Z
 from .plans import ingest as I
 from .sources import readers as R
@@ -976,8 +977,7 @@ def _(g):
 
 @query("c4_communities")
 def _(g):
-    e = g.contains.withColumn("weight", F.lit(1.0))
-    return C.communities(e).groupBy("community").agg(F.count("*").alias("size"))
+    return louvain(g.contains).groupBy("community").agg(F.count("*").alias("size"))
 
 
 @query("c5_betweenness")

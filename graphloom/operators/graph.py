@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..storage import written
 
 
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -70,24 +71,24 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[x for x in edges.columns if x not in ("src", "dst")])
 
 
-def closure(starts: DataFrame, contains: DataFrame, most: int = 64, upward: bool = True) -> DataFrame:
+def closure(starts: DataFrame, contains: DataFrame, most: int | None = None, upward: bool = True) -> DataFrame:
     """(start, id, depth): every ancestor (or descendant) and the node itself, at its least depth.
 
-    A recursive query: each level joins only the last one's rows; a hierarchy deeper than `most` raises.
+    One round a level: the last level's nodes take a step, and what a start has seen before goes, so cycles end and
+    nodes with many paths to them cost one row each.  With `most` a hierarchy deeper than that raises.  Null ids reach nothing.
     """
-    spark = starts.sparkSession
-    edges = contains.select("src", "dst").distinct()
-    if upward:
-        edges = reversed_edges(edges)
-    edges.createOrReplaceTempView("_closure_edges")
-    starts.select("id").distinct().createOrReplaceTempView("_closure_starts")
-    walk = spark.sql(
-        f"""WITH RECURSIVE walk(start, id, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT id, id, 0 FROM _closure_starts
-              UNION ALL SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN _closure_edges e ON w.id = e.src)
-            SELECT start, id, min(depth) AS depth FROM walk GROUP BY start, id"""
-    )
-    return walk
+    edges = (reversed_edges(contains) if upward else contains).select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    front = seen = written(starts.where("id IS NOT NULL").select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while True:
+        depth += 1
+        step = front.join(edges, front.id == edges.src).select("start", F.col("dst").alias("id")).distinct()
+        front = written(step.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen
+        if most is not None and depth > most:
+            raise ValueError(f"the hierarchy is deeper than {most}")
+        seen = seen.unionByName(front)
 
 
 def trace_up(controls: DataFrame, contains: DataFrame, addresses: DataFrame, precepts: DataFrame, fulfils: DataFrame, attributes: DataFrame, requires: DataFrame) -> DataFrame:

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.scalar import cosine
+from ..storage import shared_folder, written  # noqa: F401
 from .graph import undirected
 from .vector import similar_pairs
 
 
-def shared_folder(spark) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset and all runs in one process (as in tests), under /tmp."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file:///tmp/checkpoints/graphloom"
-    return f"{at.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage between rounds and survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def near_duplicates(memories: DataFrame, related: DataFrame, least: float = P.NEAR_DUP_SIMILARITY, limit: int | None = P.NEAR_DUP_LIMIT) -> DataFrame:
     """Linked pairs (a < b, once each) of nodes whose cosine is `least` or more; similarity to four places."""
     v = memories.select("id", "embedding").where("embedding is not null")

@@ -13,6 +13,7 @@ from ..operators import cluster as C
 from ..operators import graph as G
 from ..operators import similarity as S
 from ..operators import vector as V
+from ..operators.communities import louvain
 from ..operators.filters import active, any_of
 
 
@@ -113,7 +114,7 @@ def cluster_analysis(nodes: DataFrame, edges: DataFrame, k: int | None = None) -
     """(id, cluster, community), zones."""
     v = C.normalised(nodes)
     k = k or C.silhouette_sweep(v)[0]
-    members = C.kmeans(v, k).join(C.communities(edges), "id", "left")
+    members = C.kmeans(v, k).join(louvain(edges), "id", "left")
     return members, A.zones(members)
 
 

@@ -192,7 +192,7 @@ def test_kmeans_and_sweep_of_two(spark):
 
 def test_communities_of_cliques(spark):
     e = [(f"{p}{i}", f"{p}{j}", 1.0) for p in "ab" for i in range(4) for j in range(4) if i < j] + [("a0", "b0", 0.1)]
-    c = {r.id: r.community for r in C.communities(spark.createDataFrame(e, "src string, dst string, weight double")).collect()}
+    c = {r.id: r.community for r in C.label_propagation(spark.createDataFrame(e, "src string, dst string, weight double")).collect()}
     assert {c[f"a{i}"] for i in range(4)} == {"a0"} and {c[f"b{i}"] for i in range(4)} == {"b0"}
 
 
@@ -225,6 +225,8 @@ def test_closure_and_reach(spark):
     e = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "c")], "src string, dst string")
     s = spark.createDataFrame([("c",)], "id string")
     assert {(r.id, r.depth) for r in G.closure(s, e).collect()} == {("c", 0), ("b", 1), ("a", 2), ("r", 3)}
+    with pytest.raises(ValueError):
+        G.closure(s, e, most=2)
     assert {r.id for r in G.reach(spark.createDataFrame([("r",)], "id string"), e, 2).collect()} == {"a", "b"}
 
 
@@ -339,3 +341,13 @@ def test_semantic_groups_canonical(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3), (3, 3)]
     with pytest.raises(ValueError):
         D.linked_tasks(pairs, nodes, pairs, "LIKES")
+
+
+def test_closure_of_a_cycle_and_of_diamonds(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(None, 1), (1, None)], "src long, dst long")
+    start = spark.createDataFrame([(0,), (None,), (9,)], "id long")
+    assert {(r.start, r.id, r.depth) for r in G.closure(start, ring, upward=False).collect()} == {(0, i, i) for i in range(5)} | {(9, 9, 0)}
+    # 2^30 paths from top to bottom.
+    steps = [(f"{i}{a}", f"{i + 1}{b}") for i in range(30) for a in "xy" for b in "xy"]
+    deep = G.closure(spark.createDataFrame([("0x",)], "id string"), spark.createDataFrame(steps, "src string, dst string"), upward=False)
+    assert deep.count() == 61 and deep.agg({"depth": "max"}).first()[0] == 30
