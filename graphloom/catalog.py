@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import catalog_governance, catalog_standards  # noqa: F401  (they register their queries)
+from . import catalog_governance, catalog_memory, catalog_standards  # noqa: F401  (they register their queries)
 from . import params as P
 from .functions import scalar as X
 from .functions import text as T
