@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import catalog_governance, catalog_memory, catalog_standards  # noqa: F401  (they register their queries)
 from . import params as P
 from .functions import scalar as X
+from .functions import tables as B
 from .functions import text as T
 from .operators import aggregates as A
 from .operators import cluster as C
@@ -836,10 +837,26 @@ def _(g):
     return c.select("doc_id", F.col("sequence").cast("long").alias("sequence"), F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
 
 
-@query("ch1_markdown_chunks")
+CHUNKED = """
+l AS (SELECT doc_id, i, string_split(body, chr(10))[i] AS line FROM (SELECT doc_id, body, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i FROM (SELECT doc_id, regexp_replace(body, '\\n', chr(10) || '## ', 'g') AS body FROM document))),
+p AS (SELECT *, sum(starts_with(line, '## ')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l),
+h AS (SELECT doc_id, part, nullif(trim(ltrim(max(line) FILTER (WHERE starts_with(line, '## ')), '# ')), '') AS heading, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT starts_with(line, '## ')), ''), '^\\s+|\\s+$', '', 'g') AS rest FROM p GROUP BY doc_id, part),
+c AS (SELECT doc_id, part, heading, regexp_replace(concat_ws(chr(10), heading, rest), '^\\s+|\\s+$', '', 'g') AS body FROM h),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS sequence, heading, body FROM c WHERE length(body) >= 50)"""
+
+
+@query("ch1_markdown_chunks", f"WITH {CHUNKED} SELECT doc_id, sequence, md5(heading) AS heading, md5(body) AS digest FROM chunks")
+def _(g):
+    md = g.document.withColumn("body", F.regexp_replace("body", "\n", "\n## "))
+    return T.markdown_chunks(md).select("doc_id", F.col("sequence").cast("long").alias("sequence"), F.md5("heading").alias("heading"), F.md5("body").alias("digest"))
+
+
+@query("udtf_markdown_chunks", f"WITH {CHUNKED} SELECT doc_id, sequence, md5(heading) AS heading, md5(body) AS digest FROM chunks")
 def _(g):
+    """CH1 once more, as a table function over ordered lines."""
     md = g.document.withColumn("body", F.regexp_replace("body", "\n", "\n## "))
-    return T.markdown_chunks(md).select("doc_id", "sequence", "heading", F.length("body").alias("chars"))
+    out = B.by_document("markdown_chunks", B.text_lines(md))
+    return out.select("doc_id", F.col("sequence").cast("long").alias("sequence"), F.md5("heading").alias("heading"), F.md5("body").alias("digest"))
 
 
 @query("tx1_sentences", """
