@@ -179,8 +179,9 @@ def _(g):
 @query("d9_threshold_recommendation", f"""
 WITH {TAGGED}, c AS ({PAIR_CLASS}), p AS (SELECT quantile_cont(distance, 0.9) FILTER (WHERE class = 'within') AS w, quantile_cont(distance, 0.1) FILTER (WHERE class = 'between') AS b FROM c),
 q AS (SELECT w, b, w < b AS gap, round((w + b) / 2, 2) AS mid FROM p)
-SELECT round(w, 4) AS within_p90, round(b, 4) AS between_p10, CASE WHEN gap AND mid BETWEEN 0.18 AND 0.32 THEN 'clean_gap' WHEN gap THEN 'clamped' ELSE 'no_gap_manual_required' END AS status,
-CASE WHEN gap THEN least(greatest(mid, 0.18::DOUBLE), 0.32::DOUBLE) END AS recommended FROM q""")
+SELECT CASE WHEN w IS NULL OR b IS NULL THEN 0.0 ELSE round(w, 4) END AS within_p90, CASE WHEN w IS NULL OR b IS NULL THEN 0.0 ELSE round(b, 4) END AS between_p10, CASE WHEN gap AND mid BETWEEN 0.18 AND 0.32 THEN 'clean_gap' WHEN gap THEN 'clamped' ELSE 'no_gap_manual_required' END AS status,
+CASE WHEN gap THEN least(greatest(mid, 0.18::DOUBLE), 0.32::DOUBLE) END AS recommended, CASE WHEN w IS NULL OR b IS NULL THEN 'insufficient data for recommendation' WHEN gap AND mid < 0.18 THEN 'clamped to lower bound 0.18' WHEN gap AND mid > 0.32 THEN 'clamped to upper bound 0.32'
+WHEN NOT gap THEN 'no clean gap; manual decision required' END AS warning FROM q""")
 def _(g):
     return S.recommend(S.pair_distances(threats_with_tags(g)))
 
@@ -285,9 +286,9 @@ def _(g):
     return g.task.withColumn("status", F.when(F.col("status") == "done", "deprecated").otherwise(F.col("status"))).where(Q.not_deprecated()).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("f11_templates_out", "SELECT count(*) AS n, count(*) FILTER (WHERE committed) AS committed FROM task WHERE NOT is_template")
+@query("f11_templates_out", "SELECT count(*) AS n, count(*) FILTER (WHERE committed) AS committed FROM task WHERE NOT coalesce(is_template, false)")
 def _(g):
-    return g.task.where("NOT is_template").agg(F.count("*").alias("n"), F.count_if("committed").alias("committed"))
+    return g.task.where("NOT coalesce(is_template, false)").agg(F.count("*").alias("n"), F.count_if("committed").alias("committed"))
 
 
 @query("f12_validation", "SELECT id, concat_ws(';', CASE WHEN type NOT IN ('fact', 'decision') THEN 'invalid type' END, CASE WHEN importance > 4 THEN 'importance out of range' END) AS errors FROM memory")
@@ -747,9 +748,17 @@ def _(g):
 DECAYED = f"CASE WHEN strength IS NULL OR decay_rate IS NULL OR last_reinforced_at IS NULL THEN strength ELSE greatest(min_strength, least(1, strength * exp(-decay_rate / greatest(least(1 + 0.5 * coalesce(w, 0), 10), 1e-9) * {DAYS.format(a=NOW, b='last_reinforced_at')}))) END"
 
 
-@query("m16_decay_nodes", f"WITH i AS (SELECT dst, sum(weight) AS w FROM related_to GROUP BY dst) SELECT id, round({DECAYED}, 6) AS strength, CASE WHEN strength IS NULL THEN last_reinforced_at ELSE {NOW} END::VARCHAR AS anchor FROM memory LEFT JOIN i ON i.dst = id")
+INCOMING = "i AS (SELECT dst, sum(weight) AS w FROM (SELECT dst, weight FROM related_to UNION ALL SELECT dst, weight FROM leads_to) GROUP BY dst)"
+
+
+def between_memories(g: Graph) -> DataFrame:
+    """RELATED_TO and LEADS_TO edges; the latter were never activated and have no rate."""
+    return g.related_to.unionByName(g.leads_to, allowMissingColumns=True)
+
+
+@query("m16_decay_nodes", f"WITH {INCOMING} SELECT id, round({DECAYED}, 6) AS strength, CASE WHEN strength IS NULL THEN last_reinforced_at ELSE {NOW} END::VARCHAR AS anchor FROM memory LEFT JOIN i ON i.dst = id")
 def _(g):
-    return M.decay_nodes(g.memory, g.related_to, g.now).select("id", F.round("strength", 6).alias("strength"), F.date_format("last_reinforced_at", "yyyy-MM-dd HH:mm:ss").alias("anchor"))
+    return M.decay_nodes(g.memory, between_memories(g), g.now).select("id", F.round("strength", 6).alias("strength"), F.date_format("last_reinforced_at", "yyyy-MM-dd HH:mm:ss").alias("anchor"))
 
 
 EDGE_DECAYED = f"CASE WHEN decay_rate IS NULL OR weight IS NULL THEN weight ELSE greatest(0, least(1, weight * exp(-decay_rate * {DAYS.format(a=NOW, b='last_activated_at')}))) END"
@@ -761,9 +770,19 @@ def _(g):
 
 
 @query("m17_short_rest", f"""
-WITH i AS (SELECT dst, sum(weight) AS w FROM related_to GROUP BY dst) SELECT id, round(CASE WHEN recall_count > 0 OR {DAYS.format(a=NOW, b='last_used_at')} <= 7 THEN {DECAYED} ELSE strength END, 6) AS strength FROM memory LEFT JOIN i ON i.dst = id""")
+WITH {INCOMING} SELECT id, round(CASE WHEN recall_count > 0 OR {DAYS.format(a=NOW, b='last_used_at')} <= 7 THEN {DECAYED} ELSE strength END, 6) AS strength FROM memory LEFT JOIN i ON i.dst = id""")
 def _(g):
-    return M.short_rest(g.memory, g.related_to, g.now)[0].select("id", F.round("strength", 6).alias("strength"))
+    return M.short_rest(g.memory, between_memories(g), g.now)[0].select("id", F.round("strength", 6).alias("strength"))
+
+
+@query("m17_short_rest_edges", f"""
+WITH s AS (SELECT id FROM memory WHERE strength IS NOT NULL AND decay_rate IS NOT NULL AND last_reinforced_at IS NOT NULL AND (recall_count > 0 OR {DAYS.format(a=NOW, b='last_used_at')} <= 7)),
+e AS (SELECT src, dst, weight, last_activated_at, decay_rate FROM related_to UNION ALL SELECT src, dst, weight, NULL, NULL FROM leads_to)
+SELECT src, dst, round(CASE WHEN src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s) THEN {EDGE_DECAYED} ELSE weight END, 6) AS weight,
+    CASE WHEN src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s) AND weight IS NOT NULL AND decay_rate IS NOT NULL THEN {NOW} ELSE last_activated_at END::VARCHAR AS activated FROM e""")
+def _(g):
+    e = M.short_rest(g.memory, between_memories(g), g.now)[1]
+    return e.select("src", "dst", F.round("weight", 6).alias("weight"), F.date_format("last_activated_at", "yyyy-MM-dd HH:mm:ss").alias("activated"))
 
 
 @query("m18_long_rest", f"""
@@ -1119,11 +1138,26 @@ def _(g):
 
 
 @query("m9_patched_links", """
-SELECT src, dst FROM about WHERE src % 5 <> 0 UNION ALL SELECT vec_id, 'person-1' FROM embeddings WHERE vec_id % 5 = 0""")
-def _(g):
-    ids = g.about.where("src % 5 = 0").select(F.col("src").alias("id")).distinct()
-    new = ids.select(F.col("id").alias("src"), F.explode(F.array(F.lit("person-1"), F.lit("nobody"))).alias("dst"))
-    return D.patched_links(g.about, ids, new, g.about.select(F.col("dst").alias("id")))
+WITH p AS (SELECT id FROM memory WHERE id % 5 = 0 AND coalesce(status, 'active') = 'active')
+SELECT src, dst FROM about WHERE NOT (src IN (SELECT id FROM p) AND starts_with(dst, 'person-')) UNION ALL SELECT id, unnest(['person-1', 'newcomer']) FROM p""")
+def _(g):
+    """Persons give way to the patch's, a new one is made, agents stay; archived memories are not patched."""
+    patches = g.memory.where("id % 5 = 0").select("id", F.array(F.lit("person-1"), F.lit("newcomer")).alias("person_ids"))
+    persons = g.about.where("dst LIKE 'person-%'").select(F.col("dst").alias("id")).distinct()
+    return D.patched_persons(g.about, patches, g.memory, persons)[0]
+
+
+@query("m9_patched_memories", """
+SELECT id, md5(CASE WHEN p AND id % 3 <> 1 THEN 'patched ' || id ELSE fact END) AS fact, CASE WHEN p AND id % 3 <> 0 THEN 'so ' || id ELSE CASE WHEN id % 2 = 0 THEN 'because' END END AS so_what,
+    md5(CASE WHEN p THEN concat_ws(' ', CASE WHEN id % 3 <> 1 THEN 'patched ' || id ELSE coalesce(fact, '') END, CASE WHEN id % 3 <> 0 THEN 'so ' || id WHEN id % 2 = 0 THEN 'because' END) ELSE 'old text' END) AS text, p AS dated, p AS embedded_anew
+FROM (SELECT *, id % 4 = 0 AND coalesce(status, 'active') = 'active' AS p FROM memory)""")
+def _(g):
+    i, text = F.col("id"), F.col("id").cast("string")
+    m = g.memory.select("id", "fact", "embedding", "status", F.when(i % 2 == 0, "because").alias("so_what"), F.lit("old text").alias("text"), F.lit(None).cast("timestamp").alias("updated_at"))
+    patches = m.where("id % 4 = 0").select("id", F.when(i % 3 != 1, F.concat(F.lit("patched "), text)).alias("fact"), F.when(i % 3 != 0, F.concat(F.lit("so "), text)).alias("so_what"))
+    embed = lambda df: df.withColumn("embedding", F.array(F.length("text").cast("double")))
+    out = D.patched_memories(m, patches, g.now, embed)
+    return out.select("id", F.md5("fact").alias("fact"), "so_what", F.md5("text").alias("text"), F.col("updated_at").isNotNull().alias("dated"), (F.size("embedding") == 1).alias("embedded_anew"))
 
 
 @query("m22_updated_tasks", """

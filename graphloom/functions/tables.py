@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 
 #: What ends a line.
-LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 class MarkdownChunks:

@@ -200,11 +200,12 @@ def weak_edges(edges: DataFrame, below: float = P.WEAK_EDGE, limit: int = 200) -
 
 
 def short_rest(nodes: DataFrame, edges: DataFrame, now: Column, days: int = P.SHORT_REST_DAYS) -> tuple[DataFrame, DataFrame]:
-    """Decay of what was recalled or used lately, and of edges inside that set; everything else stays."""
+    """Decay of what was recalled or used lately, and of edges inside that set; everything else stays, rows without a strength, a rate or an anchor among it."""
     lately = (F.coalesce("recall_count", F.lit(0)) > 0) | (days_between(now, "last_used_at") <= days)
+    lately = F.coalesce(lately & F.col("strength").isNotNull() & F.col("decay_rate").isNotNull() & F.col("last_reinforced_at").isNotNull(), F.lit(False))
     scope = nodes.where(lately).select("id")
     done = decay_nodes(nodes.where(lately), edges, now)
-    rest = nodes.where(~F.coalesce(lately, F.lit(False)))
+    rest = nodes.where(~lately)
     within = inside(edges, scope).select("src", "dst").distinct()
     e = decay_edges(edges.join(within, ["src", "dst"], "left_semi"), now).unionByName(edges.join(within, ["src", "dst"], "left_anti"))
     return done.unionByName(rest), e

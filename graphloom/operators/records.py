@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,6 +97,39 @@ def patched_links(edges: DataFrame, ids: DataFrame, new: DataFrame, targets: Dat
     return replace_links(edges, ids, new)
 
 
+def patched_persons(about: DataFrame, patches: DataFrame, memories: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ABOUT edges, persons): the links of patched active memories to persons give way to person_ids of the patches (id, person_ids; null patches nothing), other links stay, and persons that don't exist yet are made."""
+    live = memories.where("coalesce(status, 'active') = 'active'").select("id")
+    meant = patches.where("person_ids IS NOT NULL").join(live, "id", "left_semi")
+    new = meant.select(F.col("id").alias("src"), F.explode("person_ids").alias("dst")).where("dst IS NOT NULL")
+    old = meant.select(F.col("id").alias("src")).distinct().withColumn("_patched", F.lit(True))
+    person = persons.select(F.col("id").alias("dst")).distinct().withColumn("_person", F.lit(True))
+    kept = about.join(old, "src", "left").join(person, "dst", "left").where("_patched IS NULL OR _person IS NULL").select(*about.columns)
+    made = new.select(F.col("dst").alias("id")).distinct().join(persons, "id", "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True), persons.unionByName(made, allowMissingColumns=True)
+
+
+def patched_memories(memories: DataFrame, patches: DataFrame, now: Column, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Active memories with the patches' scalars; where fact or so_what is patched, text is put together and embedded anew.
+
+    embed gives `embedding` to rows of (id, text).  A patch of nothing, or of a memory that isn't active or known, changes nothing.
+    """
+    live = memories.where("coalesce(status, 'active') = 'active'").select("id")
+    columns = [c for c in patches.columns if c != "id"]
+    says = functools.reduce(operator.or_, [F.col(c).isNotNull() for c in columns], F.lit(False))
+    patches = patches.where(says).join(live, "id", "left_semi")
+    out = patched(memories, patches, now)
+    spoken = [c for c in ("fact", "so_what") if c in columns]
+    if not spoken:
+        return out
+    anew = patches.where(functools.reduce(operator.or_, [F.col(c).isNotNull() for c in spoken])).select("id")
+    text = F.concat_ws(" ", F.coalesce("fact", F.lit("")), F.nullif("so_what", F.lit("")))
+    texts = out.join(anew, "id", "left_semi").select("id", text.alias("text"))
+    fresh = embed(texts).select("id", F.col("text").alias("_text"), F.col("embedding").alias("_embedding"))
+    new = out.join(fresh, "id", "left")
+    return new.withColumns({"text": F.coalesce("_text", "text"), "embedding": F.coalesce("_embedding", F.col("embedding").cast("array<double>"))}).select(*out.columns)
+
+
 def updated_tasks(tasks: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     """Tasks patched as nodes are; where value or effort is patched and both are known, the priority is computed anew."""
     axes = [F.col(c).isNotNull() for c in ("value", "effort") if c in patches.columns]

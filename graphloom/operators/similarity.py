@@ -65,14 +65,17 @@ def pair_distances(threats: DataFrame, mode: str = "tag-overlap", dominant: tupl
 
 
 def recommend(distances: DataFrame, low: float = P.RECOMMEND_LOW, high: float = P.RECOMMEND_HIGH) -> DataFrame:
-    """p90 of distances within, p10 between, and a threshold halfway if they leave a gap, clamped."""
+    """p90 of distances within, p10 between, and a threshold halfway if they leave a gap, clamped, with a warning where a person should look; zeros where a class has no distances."""
     p = distances.agg(F.expr("percentile(distance, 0.9) FILTER (WHERE class = 'within')").alias("within_p90"), F.expr("percentile(distance, 0.1) FILTER (WHERE class = 'between')").alias("between_p10"))
     gap = F.col("within_p90") < F.col("between_p10")
     mid = F.round((F.col("within_p90") + F.col("between_p10")) / 2, 2)
     fixed = F.least(F.greatest(mid, F.lit(low)), F.lit(high))
+    few = F.col("within_p90").isNull() | F.col("between_p10").isNull()
+    shown = lambda c: F.round(F.when(few, 0.0).otherwise(F.col(c)), 4).alias(c)
+    warning = F.when(few, "insufficient data for recommendation").when(gap & (mid < low), f"clamped to lower bound {low}").when(gap & (mid > high), f"clamped to upper bound {high}").when(~gap, "no clean gap; manual decision required")
     return p.select(
-        F.round("within_p90", 4).alias("within_p90"), F.round("between_p10", 4).alias("between_p10"),
-        F.when(gap & (mid == fixed), "clean_gap").when(gap, "clamped").otherwise("no_gap_manual_required").alias("status"), F.when(gap, fixed).alias("recommended"),
+        shown("within_p90"), shown("between_p10"), F.when(gap & (mid == fixed), "clean_gap").when(gap, "clamped").otherwise("no_gap_manual_required").alias("status"),
+        F.when(gap, fixed).alias("recommended"), warning.alias("warning"),
     )
 
 

@@ -13,43 +13,43 @@ from ..functions import text as T
 from ..functions.scalar import threat_id
 from ..operators import aggregates as A
 from ..operators.graph import sequence_chain
+from ..operators.memory_ingest import resolved
 from ..operators.mutations import create_only, with_ends
-from ..operators.similarity import first_of_kind
-from ..operators.vector import similar_pairs
+from ..storage import written
 
 
 def threat_candidates(reports: DataFrame) -> DataFrame:
-    """(report, id, text, severity, trend, techniques) of the first occurrence of each sentence of a report (doc_id, body) that names a behaviour and a technique."""
+    """(report, pos, id, text, severity, trend, techniques) of the first occurrence of each sentence of a report (doc_id, body) that names a behaviour and a technique."""
     s = T.sentences(reports)
     first = s.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "sentence").orderBy("pos"))).where("_n = 1")
     hit = first.where(T.is_threat_candidate("sentence"))
     report = F.col("doc_id").cast("string")
-    return hit.select(report.alias("report"), threat_id(report, "sentence").alias("id"), F.col("sentence").alias("text"), T.severity("sentence").alias("severity"), T.trend("sentence").alias("trend"), F.transform(T.techniques("sentence"), lambda t: t["technique"]).alias("techniques"))
+    return hit.select(report.alias("report"), "pos", threat_id(report, "sentence").alias("id"), F.col("sentence").alias("text"), T.severity("sentence").alias("severity"), T.trend("sentence").alias("trend"), F.transform(T.techniques("sentence"), lambda t: t["technique"]).alias("techniques"))
 
 
 def threats_from_reports(reports: DataFrame, threats: DataFrame, embed: Callable[[DataFrame], DataFrame], techniques: DataFrame, most: float = P.THREAT_DISTANCE) -> dict[str, DataFrame]:
     """New threats, IDENTIFIES and technique edges, and the quarantined sentences.
 
-    embed adds an `embedding` column to rows of (id, text).  A candidate nearer than the threshold to a known threat is that threat, and so with threats made of
-    earlier candidates of the same run; edges to unknown
+    embed adds an `embedding` column to rows of (id, text).  Candidates come report by report and sentence by sentence; one whose nearest threat, known
+    or made before it, is nearer than the threshold is that threat.  A report's edge to a threat says what its last such sentence says; edges to unknown
     techniques are dropped.
     """
     clean, bad = T.guard(threat_candidates(reports), "text")
-    vec = embed(clean.select("id", "text").dropDuplicates(["id"]))
-    near = similar_pairs(vec, threats, 1 - most, k=1).select(F.col("src").alias("id"), F.col("dst").alias("known"))
-    # Those far from all known threats meet among themselves, in order of report and id.
-    order = clean.groupBy("id").agg(F.min("report").alias("report"))
-    alone = vec.join(near.select("id"), "id", "left_anti")
-    place = lambda side: order.select(F.col("id").alias(side), F.struct("report", "id").alias(f"_{side}"))
-    met = similar_pairs(alone, alone, 1 - most).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - F.col("similarity")).alias("distance"))
-    earlier = met.join(place("a"), "a").join(place("b"), "b").where("_a < _b").select("a", "b", "distance")
-    near = near.unionByName(first_of_kind(earlier).select("id", F.col("canonical").alias("known")))
-    named = clean.join(near, "id", "left").withColumn("threat", F.coalesce("known", "id"))
-    fresh = vec.join(near.select("id"), "id", "left_anti")
-    first = W.partitionBy("report", "threat").orderBy("id")
-    identifies = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("report").alias("src"), F.col("threat").alias("dst"), "severity", "trend", F.substring("text", 1, 200).alias("source_terminology"))
+    clean = written(clean)
+    vec = written(embed(clean.select("id", "text").dropDuplicates(["id"])))
+    seq = F.concat_ws("\x00", "report", F.lpad(F.col("pos").cast("string"), 12, "0"))
+    batch = clean.select(seq.alias("seq"), "id", F.col("text").alias("fact")).join(vec.select("id", "embedding"), "id")
+    # Sentences of one text have one vector; the known threats' texts play no part.
+    known = threats.select("id", F.lit(None).cast("string").alias("fact"), "embedding", F.lit("active").alias("status"), F.lit(False).alias("ephemeral"))
+    found = written(resolved(batch, known, most, strict=True, key=lambda c: F.sha2(c, 256)))
+    named = clean.join(found.select("id", F.col("target").alias("threat")), "id")
+    last = F.max_by(F.struct("severity", "trend", F.substring("text", 1, 200).alias("source_terminology")), "pos")
+    identifies = named.groupBy(F.col("report").alias("src"), F.col("threat").alias("dst")).agg(last.alias("e")).select("src", "dst", "e.*")
     maps = named.select(F.col("threat").alias("src"), F.explode("techniques").alias("dst")).distinct()
-    return {"threats": fresh, "identifies": identifies, "techniques": maps.join(techniques.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "quarantine": bad}
+    return {
+        "threats": vec.join(found.where("how = 'new'").select("id"), "id", "left_semi"), "identifies": identifies,
+        "techniques": maps.join(techniques.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "quarantine": bad,
+    }
 
 
 def document_chunks(docs: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
