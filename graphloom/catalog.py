@@ -999,13 +999,31 @@ def _(g):
     return Z.calibration(threats_with_tags(g))[2]
 
 
-@query("q12_dedup_plan")
+PLAN = """
+p AS MATERIALIZED (SELECT src, dst FROM pairs WHERE src <> dst AND 1 - similarity <= 0.62 AND src % 11 <> dst % 11),
+walk(s, id) AS (SELECT id, id FROM memory UNION SELECT w.s, p.dst FROM walk w JOIN p ON p.src = w.id),
+c AS (SELECT s AS id, min(id) AS root FROM walk GROUP BY s), r AS (SELECT c.id, root, count(*) OVER (PARTITION BY root) AS size, first_value(c.id) OVER (PARTITION BY root ORDER BY m.created_at, c.id) AS target FROM c JOIN memory m ON m.id = c.id),
+plan AS (SELECT id AS source, target FROM r WHERE size > 1 AND id <> target)"""
+
+
+@query("q12_dedup_plan", f"WITH RECURSIVE {PLAN} SELECT source, target FROM plan")
 def _(g):
     t = g.memory.select("id", "embedding", "created_at")
     e = g.memory.select((F.col("id") % 11).alias("src"), F.col("id").alias("dst"))
     return Z.dedup_plan(t, e, 0.62, force=True)
 
 
+@query("q12_dedup_applied", f"""
+WITH RECURSIVE {PLAN}, i AS (SELECT DISTINCT m.id % 11 AS src, coalesce(p.target, m.id) AS dst FROM memory m LEFT JOIN plan p ON p.source = m.id),
+t AS (SELECT DISTINCT coalesce(p.target, m.id) AS src, m.id % 23 AS dst FROM memory m LEFT JOIN plan p ON p.source = m.id)
+SELECT 'before' AS at, count(*) AS active_threats, 0 AS archived_threats, count(*) AS identifies_edges, count(*) AS technique_edges FROM memory
+UNION ALL SELECT 'after', (SELECT count(*) FROM memory) - (SELECT count(*) FROM plan), (SELECT count(*) FROM plan), (SELECT count(*) FROM i), (SELECT count(*) FROM t)""")
+def _(g):
+    t = g.memory.select("id", "embedding", "created_at")
+    e, k = t.select((F.col("id") % 11).alias("src"), F.col("id").alias("dst")), t.select(F.col("id").alias("src"), (F.col("id") % 23).alias("dst"))
+    return Z.dedup_applied(t, e, k, e.limit(0), g.now, 0.62, force=True)["counts"]
+
+
 @query("c2_kmeans")
 def _(g):
     return C.kmeans(C.normalised(g.memory), 10).groupBy("cluster").agg(F.count("*").alias("size"))
@@ -1047,7 +1065,15 @@ def _(g):
     return g.control.select("id", X.framework_label(x, {"iso-": "ISO", "sp800": "NIST"}).alias("label"))
 
 
-@query("tx6_threat_candidates")
+_LISTED = ", ".join(f"{{'k': '{k}', 't': '{t}'}}" for k, t in T.TECHNIQUES)
+_VERBS = ", ".join(f"'{b}'" for b in T.BEHAVIOURS)
+
+
+@query("tx6_threat_candidates", f"""
+WITH s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(body || {SOME}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM document),
+u AS (SELECT DISTINCT doc_id, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM s), x AS (SELECT doc_id, s, lower(s) AS l FROM u WHERE length(s) > 20),
+h AS (SELECT doc_id, s, list_transform(list_filter([{_LISTED}], lambda k: contains(l, k.k)), lambda k: k.t) AS hit FROM x WHERE len(list_filter([{_VERBS}], lambda b: contains(l, b))) > 0)
+SELECT doc_id::VARCHAR AS report, 'threat-' || doc_id || '-' || left(sha1(s), 8) AS id, {_first(T.SEVERITIES, 'high').replace('body', 's')} AS severity, {_first(T.TRENDS, 'stable').replace('body', 's')} AS trend, array_to_string(hit, ',') AS techniques FROM h WHERE len(hit) > 0""")
 def _(g):
     return I.threat_candidates(signalled(g)).select("report", "id", "severity", "trend", F.array_join("techniques", ",").alias("techniques"))
 

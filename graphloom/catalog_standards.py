@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import language as N
+from .functions import text as T
 from .operators import clauses as L
 from .registry import query
 
@@ -58,3 +60,23 @@ UNION ALL SELECT doc_id, clause, base, NULL, 'block-' || (block + 1)::BIGINT, up
 def _(g):
     out = L.statements(L.clause_lines(L.read_lines(g.standard_words)))
     return out.select("doc_id", "clause", "id", "parent", "label", "body", F.col("place.block").alias("block"), F.col("place.no").alias("no"))
+
+
+_GRAMS = "unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))"
+_LANGUAGE = f"""
+WITH parts AS (SELECT doc_id, unnest(range(0, length(body), 1800)) AS a, body FROM document WHERE length(body) > 0),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS sequence, b AS body FROM (SELECT doc_id, a, regexp_replace(substr(body, a + 1, 2000), '^\\s+|\\s+$', '', 'g') AS b FROM parts) WHERE length(b) >= 50),
+seen AS (SELECT lang, {_GRAMS} AS gram FROM (SELECT lang, unnest(string_split_regex(lower(body), '[^\\pL]+')) AS w FROM document WHERE doc_id % 5 <> 0 AND lang IS NOT NULL) WHERE w <> ''),
+profiles AS (SELECT lang, gram, ln(count(*) + 1) AS gain FROM seen GROUP BY lang, gram), floors AS (SELECT lang, -ln(count(*) + (SELECT count(DISTINCT gram) FROM seen)) AS floor FROM seen GROUP BY lang),
+grams AS (SELECT doc_id, sequence, gram, count(*) AS n FROM (SELECT doc_id, sequence, {_GRAMS} AS gram FROM (SELECT doc_id, sequence, unnest(string_split_regex(lower(body), '[^\\pL]+')) AS w FROM chunks) WHERE w <> '') GROUP BY ALL),
+gains AS (SELECT doc_id, sequence, lang, sum(n * gain) AS gain FROM grams JOIN profiles USING (gram) GROUP BY ALL), sizes AS (SELECT doc_id, sequence, sum(n) AS n FROM grams GROUP BY ALL),
+scored AS (SELECT s.doc_id, s.sequence, f.lang, round(coalesce(g.gain, 0) / s.n + f.floor, 9) AS score FROM sizes s CROSS JOIN floors f LEFT JOIN gains g ON g.doc_id = s.doc_id AND g.sequence = s.sequence AND g.lang = f.lang),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sequence ORDER BY score DESC, lang) AS k, lead(score) OVER (PARTITION BY doc_id, sequence ORDER BY score DESC, lang) AS second FROM scored)
+SELECT c.doc_id, c.sequence, p.lang, round(p.score - p.second, 5) AS margin FROM chunks c LEFT JOIN placed p ON p.doc_id = c.doc_id AND p.sequence = c.sequence AND p.k = 1"""
+
+
+@query("x7_languages", _LANGUAGE)
+def _(g):
+    profiles, floors = N.learned(g.document.where("doc_id % 5 <> 0"))
+    found = N.detected(T.sliding_chunks(g.document), profiles, floors, "body", "doc_id", "sequence")
+    return found.select("doc_id", F.col("sequence").cast("long").alias("sequence"), "lang", F.round("margin", 5).alias("margin"))

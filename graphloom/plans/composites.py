@@ -11,10 +11,12 @@ from ..functions.scalar import priority_score
 from ..operators import aggregates as A
 from ..operators import cluster as C
 from ..operators import graph as G
+from ..operators import mutations as M
 from ..operators import similarity as S
 from ..operators import vector as V
 from ..operators.communities import louvain
 from ..operators.filters import active, any_of
+from ..storage import written
 
 
 def core_order():
@@ -99,17 +101,55 @@ def calibration(threats: DataFrame, mode: str = "tag-overlap") -> tuple[DataFram
     return A.summary(d, "distance", "class"), rec, S.drift(rec)
 
 
-def dedup_plan(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE, force: bool = False) -> DataFrame:
-    """(source, target): cross-report pairs within the distance, behind the gate, merged by component into the most identified, oldest node."""
+def cross_report_pairs(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE) -> DataFrame:
+    """(a, b, distance) of threats within the distance that no report identifies both."""
     seen = A.reports_per_threat(identifies)
     p = S.close_pairs(threats, most)
     p = p.join(seen.select(F.col("id").alias("a"), F.col("reports").alias("sa")), "a", "left").join(seen.select(F.col("id").alias("b"), F.col("reports").alias("sb")), "b", "left")
     empty = F.array().cast("array<string>")
-    cross = p.where(~F.arrays_overlap(F.coalesce("sa", empty), F.coalesce("sb", empty))).select("a", "b", "distance")
+    return p.where(~F.arrays_overlap(F.coalesce("sa", empty), F.coalesce("sb", empty))).select("a", "b", "distance")
+
+
+def dedup_plan(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE, force: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """(source, target): cross-report pairs within the distance, behind the gate, merged by component into the most identified, oldest node."""
+    cross = cross_report_pairs(threats, identifies, most) if pairs is None else pairs
+    seen = A.reports_per_threat(identifies)
     nodes = threats.join(seen.select("id", "identifies"), "id", "left").na.fill(0, ["identifies"])
     return S.merge_plan(S.gate(cross, force=force), nodes, [F.desc("identifies"), F.asc("created_at"), F.asc("id")])
 
 
+def threat_counts(threats: DataFrame, identifies: DataFrame, techniques: DataFrame) -> DataFrame:
+    """One row: active_threats, archived_threats, identifies_edges, technique_edges."""
+    gone = F.coalesce("archived", F.lit(False)) if "archived" in threats.columns else F.lit(False)
+    t = threats.agg(F.count(F.when(~gone, 1)).alias("active_threats"), F.count(F.when(gone, 1)).alias("archived_threats"))
+    return t.crossJoin(F.broadcast(identifies.agg(F.count("*").alias("identifies_edges")))).crossJoin(F.broadcast(techniques.agg(F.count("*").alias("technique_edges"))))
+
+
+def dedup_applied(
+    threats: DataFrame, identifies: DataFrame, techniques: DataFrame, targets: DataFrame, now, most: float = P.THREAT_DISTANCE, force: bool = False, dry_run: bool = False,
+) -> dict[str, DataFrame]:
+    """The dedup plan carried out: threats, identifies and techniques after it, its merges, the counts before and after, and an entry for the log.
+
+    Threats that are archived or have no vector take no part.  TARGETS edges of threats would be left behind by a merge, so any such edge stops the job before
+    it begins, as more candidate pairs than the gate allows do.  A dry run has the plan and leaves the tables as they are, without an entry.
+    """
+    if not targets.join(threats.select(F.col("id").alias("src")), "src", "left_semi").isEmpty():
+        raise ValueError("threats have TARGETS edges, which merges don't move")
+    live = threats.where(F.col("embedding").isNotNull() & ~(F.coalesce("archived", F.lit(False)) if "archived" in threats.columns else F.lit(False)))
+    pairs = written(cross_report_pairs(live, identifies, most))
+    merges = written(dedup_plan(live, identifies, most, force, pairs))
+    before = threat_counts(threats, identifies, techniques).withColumn("at", F.lit("before"))
+    after = (threats, identifies, techniques) if dry_run else M.merge_threats(threats, merges, identifies, techniques, now)[:3]
+    after = [written(df) for df in after]
+    entry = merges.agg(F.count("*").alias("merges_attempted"), F.array_sort(F.collect_list(F.struct("source", "target"))).alias("m")).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("candidates_found"))))
+    entry = entry.select(
+        F.lit("auto_merge").alias("operation"), now.cast("string").alias("ran_at"), F.lit(most).alias("threshold"), "candidates_found", "merges_attempted", F.col("merges_attempted").alias("merges_succeeded"),
+        F.transform("m", lambda x: x["source"]).alias("source_ids"), F.transform("m", lambda x: x["target"]).alias("canonical_ids"),
+    )
+    counts = before.unionByName(threat_counts(*after).withColumn("at", F.lit("after")))
+    return {"threats": after[0], "identifies": after[1], "techniques": after[2], "merges": merges, "counts": counts, "log": entry.limit(0) if dry_run else entry}
+
+
 def cluster_analysis(nodes: DataFrame, edges: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, cluster, community), zones."""
     v = C.normalised(nodes)
