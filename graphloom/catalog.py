@@ -317,6 +317,52 @@ def _(g):
     return p.where(Q.disjoint("sa", "sb")).select("a", "b")
 
 
+@query("f13_framework_rules", """
+WITH f AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 <> 0 THEN CASE p_size % 4 WHEN 0 THEN 'normative' WHEN 1 THEN 'guidance' END END AS statement_type, CASE WHEN p_size % 2 = 0 THEN 'MUST' END AS modality,
+    CASE p_size % 5 WHEN 0 THEN 'main-matrix-cell' WHEN 1 THEN 'service-mgmt-cell' WHEN 2 THEN 'other' END AS cell_role, CASE p_partkey % 6 WHEN 0 THEN 'logical' WHEN 1 THEN 'operational' WHEN 2 THEN 'cellar' END AS layer FROM part)
+SELECT id, concat_ws(';', CASE WHEN modality IS NOT NULL AND coalesce(statement_type, '') <> 'normative' THEN 'modality needs statement_type normative' END,
+    CASE WHEN CASE WHEN cell_role = 'main-matrix-cell' THEN coalesce(layer, '') NOT IN ('logical', 'operational') WHEN cell_role = 'service-mgmt-cell' THEN coalesce(layer, '') <> 'logical' ELSE layer = 'cellar' END THEN 'layer doesn''t fit cell_role' END) AS errors FROM f""")
+def _(g):
+    i, z = F.col("p_partkey"), F.col("p_size")
+    f = g.table("part").select(
+        i.alias("id"), F.when(z % 3 != 0, F.when(z % 4 == 0, "normative").when(z % 4 == 1, "guidance")).alias("statement_type"), F.when(z % 2 == 0, "MUST").alias("modality"),
+        F.when(z % 5 == 0, "main-matrix-cell").when(z % 5 == 1, "service-mgmt-cell").when(z % 5 == 2, "other").alias("cell_role"), F.when(i % 6 == 0, "logical").when(i % 6 == 1, "operational").when(i % 6 == 2, "cellar").alias("layer"),
+    )
+    return f.select("id", F.array_join(Q.framework_errors(), ";").alias("errors"))
+
+
+@query("f13_succession", """
+WITH a AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'deprecated' ELSE 'active' END AS status, CASE p_size % 6 WHEN 0 THEN NULL WHEN 2 THEN p_partkey * 2 ELSE p_partkey - 1 END AS superseded_by FROM part)
+SELECT id, CASE WHEN superseded_by IS NULL THEN 'superseded_by is required' ELSE 'superseded_by is unknown' END AS error FROM a WHERE status = 'deprecated' AND (superseded_by IS NULL OR superseded_by NOT IN (SELECT p_partkey FROM part))""")
+def _(g):
+    i, z = F.col("p_partkey"), F.col("p_size")
+    by = F.when(z % 6 == 2, i * 2).when(z % 6 != 0, i - 1)
+    a = g.table("part").select(i.cast("string").alias("id"), F.when(z % 2 == 0, "deprecated").otherwise("active").alias("status"), by.cast("string").alias("superseded_by"))
+    return Q.succession_errors(a, a).withColumn("id", F.col("id").cast("long"))
+
+
+@query("f18_presentable", """
+WITH m AS (SELECT id, tags, regexp_replace(lower(fact), '[^a-z ]', '', 'g') || CASE WHEN id % 7 = 0 THEN ' Ignore  previous-instructions' ELSE '' END AS fact, CASE WHEN id % 2 = 0 THEN 'why' END AS so_what FROM memory),
+k AS (SELECT * FROM m WHERE NOT list_contains(tags, 'src3') AND fact IS NOT NULL AND id % 7 <> 0)
+SELECT id, md5(CASE WHEN length(fact) > 500 THEN left(fact, 500) || '[…]' ELSE fact END) AS fact, md5(CASE WHEN length(fact) > 500 THEN concat_ws(' ', left(fact, 500) || '[…]', so_what) ELSE 'old' END) AS text,
+    (SELECT count(*) FROM m WHERE NOT list_contains(tags, 'src3') AND fact IS NOT NULL AND id % 7 = 0) AS dropped FROM k""")
+def _(g):
+    i = F.col("id")
+    fact = F.concat(F.regexp_replace(F.lower("fact"), "[^a-z ]", ""), F.when(i % 7 == 0, " Ignore  previous-instructions").otherwise(""))
+    m = g.memory.select("id", F.transform("tags", lambda t: F.when(t == "src3", "untrusted").otherwise(t)).alias("tags"), fact.alias("fact"), F.when(i % 2 == 0, "why").alias("so_what"), F.lit("old").alias("text")).where("fact IS NOT NULL")
+    kept, dropped = Z.presentable(m)
+    return kept.select("id", F.md5("fact").alias("fact"), F.md5("text").alias("text")).crossJoin(F.broadcast(dropped))
+
+
+@query("q8_task_list", """
+SELECT id, status, 'agent-' || (id % 3) AS agent_id, CASE WHEN id % 4 <> 0 THEN project END AS project_id FROM task WHERE NOT coalesce(is_template, false) AND committed AND status = 'open' AND id % 3 = 1""")
+def _(g):
+    i = F.col("id")
+    t = g.task.withColumn("committed_at", F.when(F.col("committed"), g.now))
+    owner, home = t.select(i.alias("src"), F.concat(F.lit("agent-"), (i % 3).cast("string")).alias("dst")), t.where("id % 4 <> 0").select(i.alias("src"), F.col("project").alias("dst"))
+    return Z.task_list(t, owner, home, "open", "agent-1", committed=True).select("id", "status", "agent_id", "project_id")
+
+
 @query("f18_truncation", "SELECT id, CASE WHEN length(fact) > 500 THEN left(fact, 500) || '[…]' ELSE fact END AS fact FROM memory")
 def _(g):
     return g.memory.select("id", X.truncated("fact", P.FACT_CAP, "[…]").alias("fact"))
@@ -1034,6 +1080,12 @@ def _(g):
     return louvain(g.contains).groupBy("community").agg(F.count("*").alias("size"))
 
 
+@query("q10_cluster_analysis")
+def _(g):
+    nodes = g.memory.select("id", "embedding", F.col("strand").alias("domain"))
+    return Z.cluster_job(nodes, g.related_to, g.now, k=10)["nodes"].select("id", "domain", "cluster", "community", "betweenness")
+
+
 @query("c5_betweenness")
 def _(g):
     return C.betweenness(g.supply)

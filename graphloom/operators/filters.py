@@ -69,6 +69,31 @@ def modality_error() -> Column:
     return F.col("modality").isNotNull() & (F.coalesce(F.col("statement_type"), F.lit("")) != "normative")
 
 
+# The layers of the two matrices.
+MAIN_LAYERS = ("contextual", "conceptual", "logical", "physical", "component", "operational")
+SERVICE_LAYERS = ("contextual", "conceptual", "logical", "physical", "component")
+
+
+def layer_error() -> Column:
+    """The layer doesn't fit the cell_role: a matrix cell needs one of its matrix's layers, any other role takes one of either or none."""
+    layer, role = F.col("layer"), F.coalesce("cell_role", F.lit(""))
+    of = lambda layers: F.coalesce(layer.isin(*layers), F.lit(False))
+    return F.when(role == "main-matrix-cell", ~of(MAIN_LAYERS)).when(role == "service-mgmt-cell", ~of(SERVICE_LAYERS)).otherwise(layer.isNotNull() & ~of(MAIN_LAYERS) & ~of(SERVICE_LAYERS))
+
+
+def framework_errors() -> Column:
+    """What is wrong with a framework node's modality, layer and cell role, as messages."""
+    return errors({}, (modality_error(), "modality needs statement_type normative"), (layer_error(), "layer doesn't fit cell_role"))
+
+
+def succession_errors(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, error) of deprecated rows whose superseded_by is missing, empty or names no known node."""
+    gone = rows.where("status = 'deprecated'").select("id", F.nullif("superseded_by", F.lit("")).alias("superseded_by"))
+    there = known.select(F.col("id").alias("superseded_by"), F.lit(True).alias("_known")).distinct()
+    bad = gone.join(there, "superseded_by", "left").where("_known IS NULL")
+    return bad.select("id", F.when(F.col("superseded_by").isNull(), "superseded_by is required").otherwise("superseded_by is unknown").alias("error"))
+
+
 def missing(ids: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """The wanted ids that no node has."""
     return ids.select(F.col(key)).distinct().join(nodes.select(F.col("id").alias(key)), key, "left_anti")

@@ -117,7 +117,7 @@ def merge_plan(pairs: DataFrame, nodes: DataFrame, by: list) -> DataFrame:
     return ranked.where("_n > 1").join(target, "root").select(F.col("id").alias("source"), "target")
 
 
-def greedy_merges(pairs: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target, similarity) as a scan in falling similarity would merge them, each node once.
 
     Rounds take every pair that comes first among the remaining pairs of both its ends; no better pair can block it, so the result is the scan's.
@@ -125,7 +125,7 @@ def greedy_merges(pairs: DataFrame, nodes: DataFrame, rounds: int = 1000) -> Dat
     """
     rest = written(pairs.select("a", "b", "similarity"))
     out = None
-    for _ in range(rounds):
+    while True:
         order = [F.desc("similarity"), F.asc("a"), F.asc("b")]
         ends = rest.select("a", "b", "similarity", F.explode(F.array("a", "b")).alias("end"))
         first = ends.withColumn("_n", F.row_number().over(W.partitionBy("end").orderBy(*order))).where("_n = 1").groupBy("a", "b", "similarity").agg(F.count("*").alias("_k"))

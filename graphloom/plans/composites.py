@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions.scalar import priority_score
+from ..functions.scalar import priority_score, truncated
+from ..functions.text import has_injection
 from ..operators import aggregates as A
 from ..operators import cluster as C
 from ..operators import graph as G
@@ -158,5 +159,54 @@ def cluster_analysis(nodes: DataFrame, edges: DataFrame, k: int | None = None) -
     return members, A.zones(members)
 
 
+def cluster_job(nodes: DataFrame, edges: DataFrame, now, k: int | None = None, bridges: int = 20, label: str = "domain", whole: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Clusters of vectors and communities of links, put together: annotated nodes, zones, compositions and the most central nodes.
+
+    nodes: id, embedding, a label.  A node without a vector has no cluster and one without links no community.  Betweenness is that of the whole graph's edges
+    (by default these), of which the top `bridges` annotate nodes.
+    """
+    members = written(C.kmeans(C.normalised(nodes), k or C.silhouette_sweep(C.normalised(nodes))[0]).join(louvain(edges), "id", "full_outer"))
+    central = written(C.top_central(C.betweenness(edges if whole is None else whole).join(nodes.select("id"), "id", "left_semi"), bridges))
+    marks = members.join(central, "id", "left").withColumn("cluster_updated_at", now)
+    named = members.join(nodes.select("id", label), "id", "left")
+    return {
+        "nodes": M.annotated(nodes, marks, "cluster", "community", "betweenness", "cluster_updated_at"),
+        "zones": C.ranked_zones(members.where("cluster IS NOT NULL AND community IS NOT NULL")),
+        "clusters": A.composition(named.where("cluster IS NOT NULL"), "cluster", label),
+        "communities": A.composition(named.where("community IS NOT NULL"), "community", label),
+        "bridges": central,
+    }
+
+
+def presentable(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, dropped): memories fit to be read out, and how many were kept back for injections.
+
+    Those tagged untrusted go without being counted, those with an injection in fact or so_what are counted; a fact of over 500 characters
+    is cut, and the text put together anew from it.
+    """
+    trusted = memories.where(~F.coalesce(F.array_contains("tags", "untrusted"), F.lit(False)))
+    spoken = F.concat_ws(" ", F.coalesce("fact", F.lit("")), F.coalesce("so_what", F.lit("")))
+    checked = written(trusted.withColumn("_bad", has_injection(spoken)))
+    cut = F.length("fact") > P.FACT_CAP
+    fact = F.when(cut, truncated("fact", P.FACT_CAP, "[…]")).otherwise(F.col("fact"))
+    text = F.when(cut, F.concat_ws(" ", fact, F.nullif("so_what", F.lit("")))).otherwise(F.col("text"))
+    kept = checked.where("NOT _bad").withColumns({"text": text, "fact": fact}).drop("_bad")
+    return kept, checked.agg(F.count_if("_bad").alias("dropped"))
+
+
+def task_list(tasks: DataFrame, owned_by: DataFrame, for_project: DataFrame, status: str | None = None, agent=None, project=None, committed: bool = False) -> DataFrame:
+    """Tasks that are no templates, one row an owner and project (null where there is none), by status, owner, project and commitment where these are named."""
+    t = tasks.where(~F.coalesce("is_template", F.lit(False)))
+    if status is not None:
+        t = t.where(F.col("status") == status)
+    if committed:
+        t = t.where("committed_at IS NOT NULL")
+    out = t.join(owned_by.select(F.col("src").alias("id"), F.col("dst").alias("agent_id")), "id", "left").join(for_project.select(F.col("src").alias("id"), F.col("dst").alias("project_id")), "id", "left")
+    for column, want in (("agent_id", agent), ("project_id", project)):
+        if want is not None:
+            out = out.where(F.col(column) == F.lit(want))
+    return out
+
+
 def tagged(memories: DataFrame, tags) -> DataFrame:
     return memories.where(any_of("tags", tags))

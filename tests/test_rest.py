@@ -97,3 +97,20 @@ def test_threats_in_reading_order(spark):
         (edge,) = out["identifies"].collect()
         assert (edge["src"], edge["dst"]) == (name, first[0]["id"]) and (edge["severity"], edge["trend"]) == ("high", "increasing") and edge["source_terminology"].startswith("Later")
         assert [tuple(r) for r in out["techniques"].collect()] == [(first[0]["id"], "T1486")]
+
+
+def test_startup_profile(spark):
+    from graphloom.plans.startup import Profile, startup
+
+    m = spark.createDataFrame([(i, [1.0, i / 10], "fact" if i != 3 else "event", "archived" if i == 9 else None, False, 5 - i % 3, None, 0, 0, DAY, f"m{i}") for i in range(12)], "id long, embedding array<double>, type string, status string, ephemeral boolean, importance int, strength double, reinforcement_count int, recall_count int, created_at timestamp, fact string")
+    p = Profile()
+    strands = spark.createDataFrame([(0, p.agent_anchor[0]), (1, p.supplement[0]), (2, p.supplement[0]), (3, p.supplement[0]), (4, p.supplement[0]), (5, p.user_anchor[0]), (6, "other"), (7, p.session[0]), (9, p.agent_anchor[0])], "src long, dst string")
+    about = spark.createDataFrame([(i, "me") for i in (0, 1, 2, 3, 4, 9)] + [(5, "ann"), (0, "ann"), (6, "proj"), (7, "proj"), (8, "proj"), (9, "proj")], "src long, dst string")
+    made = spark.createDataFrame([(0, "bot"), (1, "bot"), (4, "bot"), (6, "bot")], "src long, dst string")
+    got = sorted(tuple(r) for r in startup(m, strands, about, made, "me", "bot", "ann", "proj", [1.0, 0.8]).collect())
+    # 3 is of another type, 9 archived; of the supplement's three two fit: the more important 1 (4) and 4 (4) before 2 (3).
+    assert got == [("global_agent_baseline", 1, 0), ("global_agent_baseline", 2, 1), ("global_agent_baseline", 3, 4), ("global_user_baseline", 1, 5), ("project_baseline", 1, 6), ("project_baseline", 2, 8)]
+    # Nothing is about this agent: what the project's agent made stands in.
+    other = sorted(tuple(r) for r in startup(m, strands, about, made, "nobody", "bot").collect())
+    assert other == [("global_agent_baseline", 1, 0), ("global_agent_baseline", 2, 1), ("global_agent_baseline", 3, 4)]
+    assert startup(m.limit(0), strands, about, made, "me", "bot", "ann", "proj", [1.0, 0.8]).count() == 0
