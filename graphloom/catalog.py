@@ -494,10 +494,10 @@ def _(g):
 
 
 @query("g6_trace_down", """
-SELECT s.dst AS control, 'document' AS kind, h.src::VARCHAR AS id, count(DISTINCT s.src) AS items FROM supports s JOIN has_chunk h ON h.dst = s.src WHERE s.dst <= 50 GROUP BY ALL
-UNION ALL SELECT dst, relationship_type, NULL, count(DISTINCT src) FROM about_control WHERE dst <= 50 AND relationship_type IN ('evidence', 'gap') AND (org_id IS NULL OR org_id = 2) GROUP BY ALL""")
+SELECT s.dst AS control, 'document' AS kind, h.src::VARCHAR AS id, count(DISTINCT s.src) AS items FROM supports s JOIN has_chunk h ON h.dst = s.src GROUP BY ALL
+UNION ALL SELECT dst, relationship_type, NULL, count(DISTINCT src) FROM about_control WHERE relationship_type IN ('evidence', 'gap') AND (org_id IS NULL OR org_id = 2) GROUP BY ALL""")
 def _(g):
-    return G.trace_down(g.control.where("id <= 50"), g.supports, g.has_chunk, g.about_control, 2)
+    return G.trace_down(g.control, g.supports, g.has_chunk, g.about_control, 2)
 
 
 @query("g8_threat_controls", "SELECT t.src AS threat, t.dst AS technique, count(m.src) AS controls FROM threat_technique t LEFT JOIN mitigates m ON m.dst = t.dst GROUP BY ALL")
@@ -957,14 +957,20 @@ def _(g):
     return d.where(F.size("t") > 0).select("doc_id", F.array_join("t", ",").alias("techniques"), "candidate")
 
 
-@query("tx8_statement_types", """
-SELECT doc_id, CASE WHEN b IS NULL OR b = '' THEN 'structural' WHEN c IN ('1', '2') THEN 'reference' WHEN c = '3' THEN 'definitional' WHEN starts_with(b, 'note') THEN 'informative' WHEN contains(b, ' shall ') OR starts_with(b, 'shall ') OR contains(b, ' must ') OR starts_with(b, 'must ') THEN 'normative'
-WHEN contains(b, ' should ') OR starts_with(b, 'should ') THEN 'guidance' END AS statement_type
-FROM (SELECT doc_id, (doc_id % 9)::VARCHAR AS c, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'note: x' WHEN 2 THEN 'it shall be so' WHEN 3 THEN 'you should go' ELSE 'plain' END AS b FROM document)""")
+WORDED = "line || CASE (i + doc_id) % 7 WHEN 0 THEN ' shall hold' WHEN 1 THEN ' must hold' WHEN 2 THEN ' should hold' WHEN 3 THEN ' sollte gelten' WHEN 4 THEN ' müssen gelten' WHEN 5 THEN ' soll gelten' ELSE '' END"
+_HAS = lambda *words: "(" + " OR ".join(f"contains(b, ' {w} ') OR starts_with(b, '{w} ')" for w in words) + ")"
+_COMMON = f"WHEN c IN ('1', '2') THEN 'reference' WHEN c = '3' THEN 'definitional' WHEN starts_with(b, 'note') THEN 'informative' WHEN {_HAS('shall', 'must')} THEN 'normative'"
+
+
+@query("tx8_statement_types", f"""
+WITH s AS (SELECT doc_id, i, (i % 9)::VARCHAR AS c, CASE WHEN i % 11 = 5 THEN '' ELSE regexp_replace(lower({WORDED}), '^\\s+|\\s+$', '', 'g') END AS b FROM standard_lines)
+SELECT doc_id, i, CASE WHEN b = '' THEN 'structural' {_COMMON} END AS iso27001, CASE WHEN b = '' THEN 'structural' {_COMMON} WHEN {_HAS('should')} THEN 'guidance' END AS iso22301, CASE WHEN b = '' THEN 'structural' {_COMMON} WHEN {_HAS('should')} THEN 'informative' END AS iso27005,
+    CASE WHEN b = '' THEN 'structural' ELSE 'informative' END AS csf, CASE WHEN b = '' THEN 'structural' WHEN regexp_matches(b, '(^|\\s)m[uü]ssen?([^\\pL\\pN_]|$)') THEN 'normative' WHEN regexp_matches(b, '(^|\\s)soll(en)?\\s') THEN 'normative' WHEN regexp_matches(b, '(^|\\s)sollten?([^\\pL\\pN_]|$)') THEN 'informative' END AS din FROM s""")
 def _(g):
-    d = F.col("doc_id") % 7
-    b = F.when(d == 0, "").when(d == 1, "Note: x").when(d == 2, "It shall be so").when(d == 3, "you should go").otherwise("plain")
-    return g.document.select("doc_id", T.statement_type(F.concat(F.lit("iso."), (F.col("doc_id") % 9).cast("string")), b, "iso22301").alias("statement_type"))
+    body = F.when(F.col("i") % 11 == 5, "").otherwise(F.expr(WORDED))
+    kinds = ("iso27001", "iso22301", "iso27005", "csf", "din")
+    s = g.standard_lines.select("doc_id", "i", F.concat(F.lit("iso."), (F.col("i") % 9).cast("string")).alias("fw"), body.alias("b"))
+    return s.select("doc_id", "i", *[T.statement_type("fw", "b", k).alias(k) for k in kinds])
 
 
 @query("x1_redaction")
@@ -973,12 +979,19 @@ def _(g):
     return d.select("doc_id", (F.col("clean") != F.col("body")).alias("redacted"), F.length("clean").alias("chars"))
 
 
-@query("x2_sensitive_paths", """
-SELECT doc_id, p, s FROM (SELECT doc_id, doc_id % 6 AS k FROM document) JOIN (VALUES (0, '/home/a/.env', true), (1, '/home/a/.env.example', false), (2, '/home/a/.ssh/id', true), (3, 'x/report.md', false), (4, '/etc/sudoers.d/x', true), (5, 'a/Credentials.json', true)) v(k2, p, s) ON k2 = k""")
+PATHS = "regexp_replace(url, '^https?:/', '') || CASE page_id % 9 WHEN 0 THEN '/.env' WHEN 1 THEN '/.env.example' WHEN 2 THEN '/.ssh/id' WHEN 3 THEN '/report.md' WHEN 4 THEN '/Credentials.json' WHEN 5 THEN '/tax-return-2023.pdf/' WHEN 6 THEN '/.aws/x/config' WHEN 7 THEN '/server.PEM' ELSE '' END"
+
+
+def _globs(column: str, globs) -> str:
+    return " OR ".join(f"{column} GLOB '{x}'" for x in globs)
+
+
+@query("x2_sensitive_paths", f"""
+WITH u AS (SELECT page_id, CASE WHEN page_id % 10 = 7 THEN '/etc/sudoers.d' ELSE '' END || {PATHS} AS p FROM pages), n AS (SELECT *, CASE WHEN length(p) > 1 THEN rtrim(p, '/') ELSE p END AS c FROM u), k AS (SELECT *, lower(split_part(c, '/', -1)) AS name FROM n)
+SELECT page_id, p, name NOT IN ('.env.example', '.env.template', '.env.sample') AND ({_globs('name', T.SENSITIVE_NAMES)} OR {_globs('c', T.SENSITIVE_PATHS)} OR starts_with(c, '/etc/sudoers')) AS s FROM k""")
 def _(g):
-    names = ("/home/a/.env", "/home/a/.env.example", "/home/a/.ssh/id", "x/report.md", "/etc/sudoers.d/x", "a/Credentials.json")
-    d = g.document.select("doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 6 + 1).cast("int")).alias("p"))
-    return d.select("doc_id", "p", T.is_sensitive_path("p").alias("s"))
+    p = F.concat(F.when(F.col("page_id") % 10 == 7, "/etc/sudoers.d").otherwise(""), F.expr(PATHS))
+    return g.table("pages").select("page_id", p.alias("p")).select("page_id", "p", T.is_sensitive_path("p").alias("s"))
 
 
 @query("x3_injection_guard")
@@ -1091,7 +1104,9 @@ def _(g):
     return C.betweenness(g.supply)
 
 
-@query("w7_practice_numbers")
+@query("w7_practice_numbers", """
+WITH r AS (SELECT l_orderkey::VARCHAR AS practice, l_linenumber AS line, CASE WHEN l_quantity > 40 THEN l_quantity::BIGINT END AS parsed FROM lineitem), k AS (SELECT *, count(parsed) OVER (PARTITION BY practice ORDER BY line, parsed NULLS LAST ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT practice, line AS "at", max(coalesce(parsed, 0)) OVER (PARTITION BY practice, run) + row_number() OVER (PARTITION BY practice, run ORDER BY line, parsed NULLS LAST) - (run > 0)::INT AS number FROM k""")
 def _(g):
     r = g.table("lineitem").select(F.col("l_orderkey").cast("string").alias("practice"), F.col("l_linenumber").cast("long").alias("at"), F.when(F.col("l_quantity") > 40, F.col("l_quantity").cast("long")).alias("parsed"))
     return C.practice_numbers(r)
@@ -1111,10 +1126,10 @@ def _(g):
     return I.snapshot_delta({"memory": g.memory}, {"memory": M.purge_ephemeral(g.memory)[0]})
 
 
-@query("x_lbl_framework_label", "SELECT id, CASE WHEN starts_with(x, 'iso-') THEN 'ISO' WHEN starts_with(x, 'sp800') THEN 'NIST' ELSE split_part(x, '.', 1) END AS label FROM (SELECT id, ['iso-27001.4', 'sp800-53r5.AC-1', 'cobit.apo', 'plain'][id % 4 + 1] AS x FROM control)")
+@query("x_lbl_framework_label", "SELECT id, CASE WHEN starts_with(x, 'small.') THEN 'ISO' WHEN starts_with(x, 'promo') THEN 'NIST' ELSE split_part(x, '.', 1) END AS label FROM (SELECT p_partkey AS id, replace(lower(p_type), ' ', '.') AS x FROM part)")
 def _(g):
-    x = F.element_at(F.array(*[F.lit(v) for v in ("iso-27001.4", "sp800-53r5.AC-1", "cobit.apo", "plain")]), (F.col("id") % 4 + 1).cast("int"))
-    return g.control.select("id", X.framework_label(x, {"iso-": "ISO", "sp800": "NIST"}).alias("label"))
+    p = g.table("part").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.lower("p_type"), " ", ".").alias("x"))
+    return p.select("id", X.framework_label("x", {"small.": "ISO", "promo": "NIST"}).alias("label"))
 
 
 _LISTED = ", ".join(f"{{'k': '{k}', 't': '{t}'}}" for k, t in T.TECHNIQUES)

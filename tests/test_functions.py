@@ -369,3 +369,9 @@ def test_cluster_job(spark):
     assert {r["id"] for r in out["bridges"].collect()} == {3, 4} and got[3]["betweenness"] > 0 and got[0]["betweenness"] is None
     assert sorted((r["community"], r["size"]) for r in out["zones"].collect()) == [(0, 4), (4, 4)]
     assert {(r["community"], r["domain"], r["pct"]) for r in out["communities"].where("community = 0").collect()} == {(0, "x", 75), (0, "y", 25)}
+
+
+def test_practice_numbers(spark):
+    rows = [("a", 1, None), ("a", 2, None), ("a", 3, 7), ("a", 4, None), ("a", 4, 9), ("a", 5, None), ("b", 1, 0), ("b", 2, None), (None, 1, None)]
+    got = C.practice_numbers(spark.createDataFrame(rows, "practice string, at long, parsed long"))
+    assert sorted((r["practice"] or "", r["at"], r["number"]) for r in got.collect()) == [("", 1, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 7), ("a", 4, 9), ("a", 4, 10), ("a", 5, 11), ("b", 1, 0), ("b", 2, 1)]
