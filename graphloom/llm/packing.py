@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_input
+from .common import modest_batches, table, text_input
 from .tokens import tokenizer_path, word_encoder
 
 WINDOW, END_ID, TIERS, GROUP, HOLD = 2048, 1, (2048, 1024, 512, 256), 64, 4096
+#: Most words that a worker keeps with their ids.
+CACHED = 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long, tier int, step_group long"
 
@@ -122,12 +124,13 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     An empty table gives no rows.  Columns besides doc_id and text are not read.
     sequence_id is the task's number times 2**36 plus a count within the task; a task that is run again gives the same rows.
     """
+    modest_batches(docs.sparkSession)
     path, end, window = tokenizer or tokenizer_path(), int(end_id).to_bytes(4, "little"), max(tiers)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, packer = word_encoder(path), Packer(tiers, hold)
+        encode, packer = word_encoder(path, CACHED), Packer(tiers, hold)
         base = TaskContext.get().partitionId() << 36
         held: dict = {}  # key -> [doc_id, ids, tokens not yet given out]
         rows = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens", "tier", "step_group")}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import discard, fixed, maybe_broadcast, small_enough, stored, table, text_input, unused
+from .common import ARROW_ROWS, BATCH_ROWS, discard, fixed, maybe_broadcast, small_enough, stored, table, text_input, unused
 
 SHINGLE, SEED, BITS, DISTANCE, SEGMENTS, PAIRWISE = 3, 42, 64, 2, 5, 24
 
@@ -159,8 +159,6 @@ SURE = 64
 COMMON, COMMON_SAMPLE, COMMON_LEAST = 50_000, 16, 3
 #: Most members, and shingles, of a crowded key that one side of a task compares.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-#: Most rows of an Arrow batch.
-BATCH_ROWS = 1000
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -332,13 +330,12 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     """Arrow batches of at most `rows` rows for what is run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def alike_groups(docs: DataFrame, *keep: str, **options) -> DataFrame:

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import fold, table, unused
+from .common import fold, modest_batches, table, unused, with_text
 from .quality import labelled_sample
 
 SAMPLE = 16_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 PRIOR, MIN_TOXIC, Z_CUT = 0.1, 5, 3.0
 SIGNIFICANT = 1e-2
+#: Most tokens that a task counts at a time.
+COUNTED = 100_000
 
 #: The bytes of a token: ASCII letters and digits, and whatever isn't ASCII.
 SEPARATORS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -163,29 +165,32 @@ def fit_toxicity(toxic: dict, clean: dict, n_toxic: int, n_clean: int, examples:
     return model
 
 
+def token_counts(batches, most: int = COUNTED):
+    """Batches (token, toxic, clean) over batches (label, text): in how many texts of each label a token is, and under an empty token the sums.  A count is passed on in parts: one holds `most` tokens and a text's own at most."""
+
+    def part():
+        names = list(totals[0].keys() | totals[1].keys())
+        sides = [pa.array([sum(t.values()), *[t[w] for w in names]], pa.int64()) for t in (totals[1], totals[0])]
+        return pa.RecordBatch.from_arrays([pa.array([b"", *names], pa.binary()), *sides], names=["token", "toxic", "clean"])
+
+    totals = [Counter(), Counter()]
+    for b in batches:
+        for y, text in zip(b.column(0), b.column(1)):
+            totals[y.as_py()].update(with_stems(tokens(text.as_py().encode())))  # a text counts a token once, so that no repetition outweighs other texts
+            if len(totals[0]) + len(totals[1]) >= most:
+                yield part()
+                totals = [Counter(), Counter()]
+    yield part()
+
+
 def train_toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = SAMPLE) -> ToxicModel:
     """Counts tokens of the sampled texts on the executors; only tokens of MIN_TOXIC toxic texts or more come to the driver.
 
     The curve is fitted on the sampled texts' evidence, which the executors compute with the scores.
     """
 
-    def count(batches):
-        totals = [Counter(), Counter()]
-        words = [0, 0]
-        for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1)):
-                t = tokens(text.as_py().encode())
-                t = with_stems(t)  # a text counts a token once, so that no repetition outweighs other texts
-                words[y] += len(t)
-                totals[y].update(t)
-        names = list(totals[0] | totals[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b"", *names], pa.binary()), pa.array([words[1], *[totals[1][w] for w in names]], pa.int64()), pa.array([words[0], *[totals[0][w] for w in names]], pa.int64())],
-            names=["token", "toxic", "clean"],
-        )
-
     sample = labelled_sample(documents, labels, "toxic", folds, held_out, bound).select("y", "text")
-    counts = sample.mapInArrow(count, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(token_counts, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = counts.where((F.col("toxic") >= MIN_TOXIC) | (F.octet_length("token") == 0)).toArrow().to_pylist()
     toxic, clean, n_toxic, n_clean = {}, {}, 0, 0
     for r in sorted(rows, key=lambda r: r["token"]):
@@ -230,20 +235,19 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *keep: str, score: str =
     """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    source, at, first = with_text(docs, keep)
+
     def run(batches):
         for b in batches:
             scores, spans = [], []
-            for t in b.column(0):
+            for t in b.column(at):
                 x, segments, n = model.evidence((t.as_py() or "").encode())
                 scores.append(model.probability(x))
                 spans.append([{"start": a, "end": e, "score": s} for a, e, s in segments if model.start * n * math.exp(-model.decay * s) < SIGNIFICANT])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*b.schema.names[1:], score, passages])
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*b.schema.names[first:], score, passages])
 
-    kept = docs.select(*[f"`{c}`" for c in keep]) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    (text,) = unused(kept, "_text")
-    source = docs.select(F.col("text").cast("string").alias(text), *([f"`{c}`" for c in keep] or [F.col("doc_id").cast("long").alias("doc_id")]))
     span = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
-    return source.mapInArrow(run, StructType([*source.schema.fields[1:], StructField(score, DoubleType()), StructField(passages, span)]))
+    return source.mapInArrow(run, StructType([*source.schema.fields[first:], StructField(score, DoubleType()), StructField(passages, span)]))
 
 
 def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,6 +259,7 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that are not predicted toxic, unchanged."""
+    modest_batches(spark)
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     score, passages = unused(docs, "_score", "_passages")
     return score_toxicity(docs, model, *docs.columns, score=score, passages=passages).where(F.col(score) < CUT).drop(score, passages)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import decontamination, packing, quality, simhash, toxicity
+from graphloom.llm import common, decontamination, packing, quality, simhash, toxicity
 from graphloom.llm.common import table
 
 from .test_operators import brute_contamination
@@ -83,3 +83,39 @@ def test_empty_table(spark):
     assert simhash.keep_one_of_each(spark, docs, SF).count() == 0
     assert decontamination.drop_contaminated(spark, docs, SF).count() == 0
     assert packing.pack_documents(docs).count() == 0
+
+
+def test_stages_take_batches_of_few_rows(spark):
+    """The driver of a stage runs its plan after the stage has returned: batches must be small then, too."""
+    from graphloom.llm.common import ARROW_ROWS, BATCH_ROWS
+
+    docs = table(spark, SF, "documents")
+    for stage in (quality.keep_quality, toxicity.keep_clean, lambda s, d, _: packing.pack_documents(d)):
+        spark.conf.set(ARROW_ROWS, "10000")
+        stage(spark, docs, SF)
+        assert int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS
+
+
+def test_text_goes_to_python_once(spark):
+    docs = table(spark, SF, "documents")
+    source, at, first = common.with_text(docs, tuple(docs.columns))
+    assert source.columns == docs.columns and source.columns[at] == "text" and first == 0
+
+
+def test_token_counts_in_parts():
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{i * k % 97}" for k in range(1, 9)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(60)]), pa.array(texts)], names=["y", "text"])
+
+    def summed(parts):
+        out: dict = {}
+        for p in parts:
+            for r in p.to_pylist():
+                a, b = out.get(r["token"], (0, 0))
+                out[r["token"]] = a + r["toxic"], b + r["clean"]
+        return out
+
+    parts = list(toxicity.token_counts([batch], 100))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) < 160
+    assert summed(parts) == summed(toxicity.token_counts([batch]))
