@@ -98,7 +98,7 @@ def threat_report(identifies: DataFrame, threat_technique: DataFrame, mitigates:
 def calibration(threats: DataFrame, mode: str = "tag-overlap") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary by class, recommendation, drift)."""
     d = S.pair_distances(threats, mode)
-    rec = S.recommend(d)
+    rec = S.recommended(threats, mode)
     return A.summary(d, "distance", "class"), rec, S.drift(rec)
 
 

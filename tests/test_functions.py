@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -375,3 +376,40 @@ def test_practice_numbers(spark):
     rows = [("a", 1, None), ("a", 2, None), ("a", 3, 7), ("a", 4, None), ("a", 4, 9), ("a", 5, None), ("b", 1, 0), ("b", 2, None), (None, 1, None)]
     got = C.practice_numbers(spark.createDataFrame(rows, "practice string, at long, parsed long"))
     assert sorted((r["practice"] or "", r["at"], r["number"]) for r in got.collect()) == [("", 1, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 7), ("a", 4, 9), ("a", 4, 10), ("a", 5, 11), ("b", 1, 0), ("b", 2, 1)]
+
+
+def test_pair_sums_and_percentiles_make_no_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)] if i % 17 else [0.0] * 6, [f"t{i % 4}", f"u{i % 7}", None] if i % 11 else None, None) for i in range(90)]
+    rows += [(100 + i, rows[1][1], ["t1"], None) for i in range(12)]  # copies
+    t = spark.createDataFrame(rows, "id long, embedding array<float>, tags array<string>, created_at timestamp")
+    for mode, top in (("tag-overlap", ()), ("dominant-three", ("t0", "t1", "u3"))):
+        d = S.pair_distances(t, mode, top)
+        want = {r["class"]: (r.n, r.m) for r in d.groupBy("class").agg(F.count("*").alias("n"), F.avg("distance").alias("m")).collect()}
+        p = {r["class"]: r.p for r in d.groupBy("class").agg(F.expr("percentile(distance, array(0.1, 0.9))").alias("p")).collect()}
+        rec = S.recommend(d).first()
+        with monkeypatch.context() as m:
+            m.setattr(S, "similar_pairs", None)
+            got = {r["class"]: (r.pairs, r.mean_distance) for r in S.class_sums(t, mode, top).collect()}
+            found = S.class_percentiles(t, {"within": 0.9, "between": 0.1}, mode, top)
+            assert S.recommended(t, mode, top).first() == rec
+        assert {c: n for c, (n, _) in got.items()} == {c: n for c, (n, _) in want.items()}
+        assert all(abs(got[c][1] - want[c][1]) < 1e-9 for c in want)
+        assert abs(found["within"] - p["within"][1]) < 1e-9 and abs(found["between"] - p["between"][0]) < 1e-9
+    assert S.class_percentiles(t.limit(1), {"within": 0.9}) == {"within": None}
+
+
+def test_similarity_joins_over_blocks_keep_ties(spark):
+    rng = np.random.default_rng(6)
+    v = [[float(x) for x in rng.normal(size=5)] for _ in range(40)]
+    rows = [(i, v[i % 40 if i < 60 else 3]) for i in range(1300)]  # a large group of copies: ties by id
+    d = spark.createDataFrame(rows, "id long, embedding array<double>")
+    m = np.array([x for _, x in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 12)
+    want = {(i, int(j)) for i in range(0, 1300, 9) for j in np.lexsort((np.arange(1300), -s[i]))[:4]}
+    for block in (10_000, 150):
+        got = V.similar_pairs(d.where("id % 9 = 0"), d, -2.0, k=4, block=block)
+        assert {(r.src, r.dst) for r in got.collect()} == want
+    near = S.close_pairs(d.where("id < 60"), 0.3).collect()
+    assert len(near) == len({(r.a, r.b) for r in near}) and {(r.a, r.b) for r in near} == {(i, j) for i in range(60) for j in range(i + 1, 60) if 1 - s[i, j] <= 0.3 + 1e-12}
