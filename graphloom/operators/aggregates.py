@@ -41,10 +41,27 @@ def top_threats(identifies: DataFrame, n: int) -> DataFrame:
 
 
 def technique_coverage(threat_technique: DataFrame, mitigates: DataFrame, technique_cluster: DataFrame) -> DataFrame:
-    """Per threat: its techniques, the controls that mitigate any, and the clusters of the techniques."""
-    t = threat_technique.select(F.col("src").alias("id"), F.col("dst").alias("technique"))
-    full = t.join(mitigates.select(F.col("src").alias("control"), F.col("dst").alias("technique")), "technique", "left").join(technique_cluster, "technique", "left")
-    return full.groupBy("id").agg(F.countDistinct("technique").alias("techniques"), F.countDistinct("control").alias("controls"), F.countDistinct("cluster").alias("clusters"))
+    """Per threat: its techniques, the controls that mitigate any, and the clusters of the techniques.
+
+    Threats of the same techniques fare alike, and so do controls that mitigate the same ones: sets of techniques are joined, with the
+    number of controls of each, and not threats with controls.
+    """
+    per = threat_technique.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("set"))
+    sets = per.select("set").distinct().select("set", F.explode("set").alias("technique"))
+    marks = mitigates.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("by"))
+    marks = marks.groupBy("by").agg(F.count("*").alias("n"))
+    met = sets.join(marks.select("by", "n", F.explode("by").alias("technique")), "technique").select("set", "by", "n").distinct()
+    controls = met.groupBy("set").agg(F.sum("n").alias("controls"))
+    clusters = sets.join(technique_cluster, "technique").groupBy("set").agg(F.countDistinct("cluster").alias("clusters"))
+    known = per.join(controls, "set", "left").join(clusters, "set", "left")
+    return known.select("id", F.size("set").cast("long").alias("techniques"), F.coalesce("controls", F.lit(0)).alias("controls"), F.coalesce("clusters", F.lit(0)).alias("clusters"))
+
+
+def controls_per_technique(threat_technique: DataFrame, mitigates: DataFrame) -> DataFrame:
+    """(threat, technique, controls) of every threat and technique, an edge that comes twice counting twice; a technique's controls are counted before they meet its threats."""
+    n = mitigates.groupBy("dst").agg(F.count("src").alias("_m"))
+    t = threat_technique.groupBy("src", "dst").agg(F.count("*").alias("_t")).join(n, "dst", "left")
+    return t.select(F.col("src").alias("threat"), F.col("dst").alias("technique"), (F.col("_t") * F.coalesce("_m", F.lit(0))).alias("controls"))
 
 
 def unmitigated(threat_technique: DataFrame, mitigates: DataFrame) -> DataFrame:

@@ -413,3 +413,14 @@ def test_similarity_joins_over_blocks_keep_ties(spark):
         assert {(r.src, r.dst) for r in got.collect()} == want
     near = S.close_pairs(d.where("id < 60"), 0.3).collect()
     assert len(near) == len({(r.a, r.b) for r in near}) and {(r.a, r.b) for r in near} == {(i, j) for i in range(60) for j in range(i + 1, 60) if 1 - s[i, j] <= 0.3 + 1e-12}
+
+
+def test_techniques_meet_counted_controls(spark):
+    """Threats and controls that share a technique never meet row by row."""
+    t = spark.createDataFrame([(i, "a") for i in range(300)] + [(i, "b") for i in range(0, 300, 3)] + [(7, "a"), (500, None), (501, "z"), (None, "a")], "src long, dst string")
+    m = spark.createDataFrame([(1000 + i, "a") for i in range(300)] + [(1000 + i, "b") for i in range(250, 310)] + [(1000, "a"), (None, "a"), (9, None)], "src long, dst string")
+    cl = spark.createDataFrame([("a", 1), ("b", 1), ("z", None)], "technique string, cluster int")
+    got = {r.id: (r.techniques, r.controls, r.clusters) for r in A.technique_coverage(t, m, cl).collect()}
+    assert got[0] == (2, 310, 1) and got[1] == (1, 300, 1) and got[7] == (1, 300, 1) and got[500] == (0, 0, 0) and got[501] == (1, 0, 0) and got[None] == (1, 300, 1)
+    per = {(r.threat, r.technique): r.controls for r in A.controls_per_technique(t, m).collect()}
+    assert per[0, "a"] == 301 and per[0, "b"] == 60 and per[7, "a"] == 602 and per[501, "z"] == 0 and per[500, None] == 0
