@@ -46,16 +46,16 @@ def clean_line(text) -> Column:
     return F.trim(line)
 
 
-def is_skipped(line) -> Column:
-    """Whether a cleaned line belongs to no clause: empty, a page number, a running head, a table head, an imprint."""
+def is_skipped(line, skipped: str = SKIPPED, heads: tuple[str, ...] = RUNNING_HEADS) -> Column:
+    """Whether a cleaned line belongs to no clause: empty, a page number, a running head (`heads`), a table head or an imprint (`skipped`, a pattern)."""
     c = F.col(line) if isinstance(line, str) else line
-    return (c == "") | c.rlike(r"^\d{1,2}$") | c.isin(*RUNNING_HEADS) | c.rlike(SKIPPED)
+    return (c == "") | c.rlike(r"^\d{1,2}$") | c.isin(*heads) | c.rlike(skipped)
 
 
-def read_lines(words: DataFrame, doc: str = "doc_id", page: str = "page", at: str = "at", tolerance: float = 3.0, columns: tuple[float, ...] = ()) -> DataFrame:
+def read_lines(words: DataFrame, doc: str = "doc_id", page: str = "page", at: str = "at", tolerance: float = 3.0, columns: tuple[float, ...] = (), skipped: str = SKIPPED, heads: tuple[str, ...] = RUNNING_HEADS) -> DataFrame:
     """doc, at, line, and with `columns` (x positions where columns begin) column: the cleaned lines of pages in reading order.
 
-    Watermark words go (page_words), words share lines (words_to_lines), skipped lines go.  `page` numbers are distinct over all
+    Watermark words go (page_words), words share lines (words_to_lines), skipped lines go (is_skipped).  `page` numbers are distinct over all
     documents and ascend within one.  Null words and positions are no lines.
     """
     kept = page_words(words.dropna(subset=["text", "x0", "top", "bottom"]), page, at)
@@ -67,7 +67,7 @@ def read_lines(words: DataFrame, doc: str = "doc_id", page: str = "page", at: st
         kept, keys = kept.withColumn("column", column), [*keys, "column"]
     lines = words_to_lines(kept, tolerance, *keys).withColumn("line", clean_line("line"))
     place = [F.col(page).alias("page"), "y", "column"] if columns else [F.col(page).alias("page"), "y"]
-    return lines.where(~is_skipped("line")).select(doc, F.struct(*place).alias("at"), "line", *(["column"] if columns else []))
+    return lines.where(~is_skipped("line", skipped, heads)).select(doc, F.struct(*place).alias("at"), "line", *(["column"] if columns else []))
 
 
 def clause_lines(lines: DataFrame, doc: str = "doc_id", at: str = "at", line: str = "line", scheme: str = SCHEME) -> DataFrame:

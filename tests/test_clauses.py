@@ -119,3 +119,25 @@ def test_empty_and_null_rows(spark):
     lines = L.clause_lines(nulls)
     assert sorted((r["heading"], r["text"]) for r in L.clauses(lines).collect()) == [("Heading here", ""), ("Without document", "a) item")]
     assert [r["body"] for r in L.statements(lines).collect()] == ["Item."]
+
+
+def test_sentences_like_an_imprint_stay_in_the_queries(spark, tmp_path):
+    """The standards of the queries are documents: lines that begin like an imprint are text there, as in the SQL, and are skipped by read_lines otherwise."""
+    import duckdb
+
+    from graphloom import catalog
+
+    from .test_oracle import canonical
+
+    words = [f"w{chr(97 + i % 26)}" for i in range(7 * 60)]
+    words[24 * 7 : 24 * 7 + 3] = ["all", "rights", "reserved"]
+    words[38 * 7], words[53 * 7] = "bibliography", "contents"
+    spark.createDataFrame([(0, " ".join(words), "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("tx9_clauses", "tx10_statements"):
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.ORACLES[name]).df()
+        assert canonical(got) == canonical(want)
+        assert name != "tx9_clauses" or any("All rights reserved" in t for t in got["text"])
+    lines = spark.createDataFrame([("All rights reserved by us",), ("Table A.1 is",), ("12",), ("text",)], "line string")
+    assert [r.line for r in lines.where(~L.is_skipped("line")).collect()] == ["text"]
