@@ -285,12 +285,26 @@ def greedy_merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def greedy_canonicals(threats: DataFrame, most: float, baseline: float) -> DataFrame:
     """(threshold, merged): how many threats, taken in order of creation, lie within the threshold of an earlier one that was kept."""
-    v, out = threats.select("id", "embedding"), None
-    place = lambda side: threats.select(F.col("id").alias(side), F.struct("created_at", "id").alias(f"_{side}"))
+    widest = max(most, baseline)
+
+    def near(x, y):
+        def strip(rows, s, own):
+            hit = s > 1 - widest - 1e-12
+            i, j = np.nonzero(hit if own is None else hit & own)
+            one, other = x.select(["id", "created_at"]).take(pa.array(i + rows.start)), y.select(["id", "created_at"]).take(pa.array(j))
+            (a, u), (b, v) = ((t.column("id"), t.column("created_at")) for t in (one, other))
+            none, also = pc.is_null(u), pc.is_null(v)
+            less = pc.or_(pc.fill_null(pc.less(u, v), False), pc.and_(none, pc.invert(also)))
+            same = pc.or_(pc.fill_null(pc.equal(u, v), False), pc.and_(none, also))
+            first = pc.or_(less, pc.and_(same, pc.less(a, b)))
+            return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a), "distance": 1 - s[i, j]})
+
+        return strip
+
+    kind, out = dict(threats.dtypes)["id"], None
+    pairs = written(pairs_among(threats.select("id", "embedding", "created_at"), near, f"a {kind}, b {kind}, distance double"))
     for t in (most, baseline):
-        near = similar_pairs(v, v, 1 - t - 1e-12).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - F.col("similarity")).alias("distance"))
-        earlier = near.join(place("a"), "a").join(place("b"), "b").where("_a < _b").select("a", "b", "distance")
-        n = first_of_kind(earlier).agg(F.count("*").alias("merged")).select(F.lit(float(t)).alias("threshold"), "merged")
+        n = first_of_kind(pairs.where(F.col("distance") < t + 1e-12)).agg(F.count("*").alias("merged")).select(F.lit(float(t)).alias("threshold"), "merged")
         out = n if out is None else out.unionByName(n)
     return out
 

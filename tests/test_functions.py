@@ -424,3 +424,24 @@ def test_techniques_meet_counted_controls(spark):
     assert got[0] == (2, 310, 1) and got[1] == (1, 300, 1) and got[7] == (1, 300, 1) and got[500] == (0, 0, 0) and got[501] == (1, 0, 0) and got[None] == (1, 300, 1)
     per = {(r.threat, r.technique): r.controls for r in A.controls_per_technique(t, m).collect()}
     assert per[0, "a"] == 301 and per[0, "b"] == 60 and per[7, "a"] == 602 and per[501, "z"] == 0 and per[500, None] == 0
+
+
+def test_greedy_canonicals_make_each_pair_once(spark, monkeypatch):
+    """Against a scan; the pairs of both thresholds are found in one pass and in their order, without joins."""
+    rng = np.random.default_rng(8)
+    at = [None if i % 19 == 0 else dt.datetime(2024, 1, 1 + i * 7 % 5) for i in range(70)]
+    rows = [(i, [float(x) for x in rng.normal(size=4)], at[i]) for i in range(70)]
+    m = np.array([v for _, v, _ in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {}
+    for t in (0.3, 0.12):
+        kept = []
+        for i in sorted(range(70), key=lambda i: (at[i] is not None, at[i] or dt.datetime.min, i)):
+            if not any(1 - m[i] @ m[j] < t for j in kept):
+                kept.append(i)
+        want[t] = 70 - len(kept)
+    made = []
+    found = S.pairs_among
+    monkeypatch.setattr(S, "pairs_among", lambda *a, **k: made.append(1) or found(*a, **k))
+    got = S.greedy_canonicals(spark.createDataFrame(rows, "id long, embedding array<float>, created_at timestamp"), 0.3, 0.12)
+    assert {r.threshold: r.merged for r in got.collect()} == want and len(made) == 1
