@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from .vector import pairs_among, similar_pairs
 
 #: Parts that class_percentiles cuts a range into; a power of two, so that cuts are exact.
 BINS = 1 << 14
+#: Characters and texts of a block that near_groups() compares with another, about.
+BLOCK_CHARS, BLOCK_TEXTS = 2_000_000, 2_000
 
 
 def near_duplicates(memories: DataFrame, related: DataFrame, least: float = P.NEAR_DUP_SIMILARITY, limit: int | None = P.NEAR_DUP_LIMIT) -> DataFrame:
@@ -335,30 +338,135 @@ def sample_pairs(distances: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return distances.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def _grams(text: str, q: int) -> np.ndarray:
+    """Hashes of a text's q-grams, each with its number among equal ones, so that repeats count."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(len(c) - q + 1, 0), np.uint64)
+    for i in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : len(h) + i]
+    h.sort()
+    return h + (np.arange(len(h)) - np.searchsorted(h, h)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _starts(text: str) -> int:
+    """How many matching blocks SequenceMatcher can find at most with this second text: from 200 characters on each but one at the very start holds a character that is not popular."""
+    if len(text) < 200:
+        return len(text)
+    n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
+    return int(n[n <= len(text) // 100 + 1].sum()) + 1
+
+
+def _may_be_near(x: list[str], y: list[str], one: bool) -> list[tuple[int, int]]:
+    """Links (places in x, then y) that join all texts whose ratio can reach 0.9: a forest of them, not every pair.
+
+    Blocks of m characters in all make up a ratio of 2m / (a + b).  They lie apart, so that k blocks leave m - k (q - 1) common q-grams at
+    least, and there are no more of them than _starts() says, nor than characters left over.  Pairs with fewer common q-grams are no links.
+    """
+    texts = x if one else x + y
+    size, starts = np.array([len(t) for t in texts]), [_starts(t) for t in texts]
+    sides = [(range(len(texts)), range(len(texts)))] if one else [(range(len(x)), range(len(x), len(texts))), (range(len(x), len(texts)), range(len(x)))]
+    root, out = np.arange(len(texts)), []
+    fit = lambda b, q: 0.9 * size[b] / 1.1 - (q - 1) * min(starts[b], size[b] / 5.5 + 1)
+    best = [next((q for q in (12, 8, 5, 3, 2) if fit(b, q) >= 0.3 * size[b]), 1) for b in range(len(texts))]
+    for firsts, seconds in sides:
+        for q in sorted({best[b] for b in seconds}):
+            held = [_grams(texts[a], q) for a in firsts]
+            gram, owner = np.concatenate(held), np.repeat(np.array(firsts), [len(g) for g in held])
+            order = np.argsort(gram, kind="stable")
+            gram, owner = gram[order], owner[order]
+            for b in (b for b in seconds if best[b] == q):
+                own = _grams(texts[b], q)
+                low, high = np.searchsorted(gram, own), np.searchsorted(gram, own, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(texts))
+                both = size + size[b]
+                least = np.ceil(0.45 * both - 1e-6)
+                blocks = np.minimum(starts[b], both - 2 * least + 1)
+                hit = np.zeros(len(texts), bool)
+                hit[firsts.start : firsts.stop] = True
+                hit &= (common >= least - (q - 1) * blocks) & (least <= np.minimum(size, size[b])) & (root != root[b])
+                for other in np.unique(root[hit]):
+                    out.append((b, int(np.flatnonzero(hit & (root == other))[0])))
+                    root[root == other] = root[b]
+    return out
+
+
+def near_groups(texts: DataFrame) -> DataFrame:
+    """(id, root) of distinct texts (section, id, norm), not empty: texts of one section whose ratio is 0.9 or more have one root.  Texts that meet none may be left out.
+
+    Only texts whose lengths are within 11 to 9 are compared, in blocks that hold about BLOCK_CHARS characters, by common q-grams.
+    """
+    band = F.floor(F.log(F.length("norm")) / math.log(1.2223)).cast("int")  # 11 / 9, and some more for rounding
+    t = texts.withColumns({"_band": band, "_n": F.length("norm")})
+    parts = F.ceil(F.greatest(F.sum("_n") / BLOCK_CHARS, F.count("*") / BLOCK_TEXTS)).cast("int")
+    sizes = t.groupBy("section", "_band").agg(parts.alias("_parts"))
+    now = sizes.select(F.col("section").alias("_s"), F.col("_band").alias("_b"), "_parts")
+    near = sizes.select(F.col("section").alias("_s"), F.explode(F.array(F.col("_band") - 1, F.col("_band") + 1)).alias("_b"), F.struct("_band", "_parts").alias("_by"))
+    near = near.groupBy("_s", "_b").agg(F.collect_list("_by").alias("_near"))  # two at most
+    at = lambda df: F.col("section").eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b"))
+    t = t.join(now, at(now)).drop("_s", "_b").join(near, at(near), "left").drop("_s", "_b")
+    me = F.struct(F.col("_band").alias("band"), F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("block"))
+    blocks = lambda b, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(b.alias("band"), k.cast("int").alias("block")))
+    others = F.flatten(F.transform(F.coalesce("_near", F.array().cast("array<struct<_band:int,_parts:int>>")), lambda o: blocks(o["_band"], o["_parts"])))
+    t = t.select("section", "id", "norm", me.alias("_me"), F.explode(F.concat(blocks(F.col("_band"), F.col("_parts")), others)).alias("_other"))
+    t = t.select("section", "id", "norm", F.least("_me", "_other").alias("_x"), F.greatest("_me", "_other").alias("_y"), (F.col("_me") <= F.col("_other")).alias("_left"))
+
+    def meet(g: pa.Table) -> pa.Table:
+        left, right = g.filter(g.column("_left")), g.filter(pc.invert(g.column("_left")))
+        one = g.column("_x")[0].as_py() == g.column("_y")[0].as_py()
+        ids = pa.concat_tables([left, right]).column("id").to_pylist()
+        pairs = _may_be_near(left.column("norm").to_pylist(), right.column("norm").to_pylist(), one) if one or left.num_rows and right.num_rows else []
+        return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.string()), "b": pa.array([ids[j] for _, j in pairs], pa.string())})
+
+    return components(t.groupBy("section", "_x", "_y").applyInArrow(meet, "a string, b string"))
+
+
 def compress_sections(rows: DataFrame, section: str = "section") -> DataFrame:
-    """Within each section, in rank order, a row near in text to an earlier one is absorbed: the higher importance gives the content, the ids are kept."""
-    import pandas as pd
+    """Within each section, in rank order, a row near in text to an earlier one is absorbed: the higher importance gives the content, the ids are kept.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    Only rows whose texts may be near to each other, directly or by others, are gone through together.
+    """
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
         import re
+
+        return texts.map(lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", (t or "").lower())).strip())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
-        norm = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", (t or "").lower())).strip()
         alike = lambda m: m.real_quick_ratio() >= 0.9 and m.quick_ratio() >= 0.9 and m.ratio() >= 0.9  # noqa: E731  the first two bound the third
         known = lambda n: 0 if pd.isna(n) else n
         out: list[dict] = []
-        for r in pdf.sort_values("rank").itertuples():
-            t = norm(r.fact)
-            hit = next((o for o in out if t and o["norm"] and (o["norm"] == t or alike(SequenceMatcher(None, o["norm"], t)))), None)
+        for r in pdf.sort_values(["rank", "id"], kind="stable").itertuples():
+            t, m, hit = r.norm, SequenceMatcher(None, "", r.norm), None
+            for o in out:
+                m.set_seq1(o["norm"])
+                if o["norm"] == t or alike(m):
+                    hit = o
+                    break
             if hit is None:
-                out.append({"norm": t, "fact": r.fact, "importance": r.importance, "ids": [str(r.id)]})
+                out.append({"section": r.section, "rank": r.rank, "id": r.id, "norm": t, "fact": r.fact, "importance": r.importance, "ids": [str(r.id)]})
             else:
                 hit["ids"].append(str(r.id))
                 if known(r.importance) > known(hit["importance"]):
                     hit.update(fact=r.fact, importance=r.importance, norm=t)
-        return pd.DataFrame({"section": [key[0]] * len(out), "rank": range(1, len(out) + 1), "fact": [o["fact"] for o in out], "importance": [o["importance"] for o in out], "ids": [",".join(o["ids"]) for o in out]})
-
-    return rows.select(F.col(section).alias("section"), "rank", "id", "fact", "importance").groupBy("section").applyInPandas(run, "section string, rank long, fact string, importance int, ids string")
+        return pd.DataFrame([{**o, "ids": ",".join(o["ids"])} for o in out])[["section", "rank", "id", "fact", "importance", "ids"]]
+
+    t = rows.select(F.col(section).cast("string").alias("section"), "rank", "id", "fact", F.col("importance").cast("int").alias("importance")).withColumn("norm", normal("fact"))
+    key = F.sha2(F.concat(F.coalesce("section", F.lit("\u0001")), F.lit("\u0000"), "norm"), 256)
+    t = written(t.withColumn("_key", key))
+    roots = near_groups(t.where("norm <> ''").select("section", F.col("_key").alias("id"), "norm").dropDuplicates(["id"]))
+    t = t.join(roots.select(F.col("id").alias("_key"), "root"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    many = t.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1").select("root")
+    kind = {n: d for n, d in t.dtypes}
+    shape = f"section string, rank {kind['rank']}, id {kind['id']}, fact string, importance int, ids string"
+    found = t.where("norm <> ''").join(many, "root", "left_semi").groupBy("root").applyInPandas(run, shape)
+    alone = t.where("norm = ''").unionByName(t.where("norm <> ''").join(many, "root", "left_anti"))
+    out = found.unionByName(alone.select("section", "rank", "id", "fact", "importance", F.col("id").cast("string").alias("ids")))
+    place = F.row_number().over(W.partitionBy("section").orderBy(F.asc_nulls_last("rank"), "id"))
+    return out.select("section", place.cast("long").alias("rank"), "fact", "importance", "ids")
 
 
 def wired(sources: DataFrame, targets: DataFrame, k: int, least: float, keep=None, reason: str = "Embedding similarity %.4f") -> DataFrame:

@@ -210,6 +210,46 @@ def test_histogram_sends_outliers_to_the_last_bin(spark):
     assert h == {0: 1, 1: 0, 2: 1, 3: 2}
 
 
+def _near_copies() -> list[tuple]:
+    import random
+
+    rng = random.Random(5)
+    made = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    texts = [made(n, letters) for n in (1, 3, 6, 30, 45, 300) for letters in ("abc", "etaoinshrdlucmfwyp", "etaoinshrdlucmfwypé日本語中文字") for _ in range(3)]
+    for t in list(texts):  # copies with a share of their characters deleted, replaced or doubled: some near, some just not
+        for share in (0.02, 0.05, 0.08, 0.12):
+            texts.append("".join(rng.choice(("", "x", c + c)) if rng.random() < share else c for c in t))
+    rng.shuffle(texts)
+    return [(f"s{i % 2}", i, t.upper() if i % 3 else t, i % 4 if i % 5 else None) for i, t in enumerate(texts + ["", "?!", "", texts[0], texts[1]])]
+
+
+def test_section_compression_goes_through_near_texts_only(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(S, "BLOCK_TEXTS", 40)
+    rows = _near_copies()
+    norm = lambda t: " ".join(t.lower().replace("?!", " ").split())
+    want, texts = [], {}
+    for name in ("s0", "s1"):
+        out = []
+        for _, i, fact, importance in (r for r in rows if r[0] == name):
+            t = norm(fact)
+            hit = next((o for o in out if t and o["norm"] and (o["norm"] == t or SequenceMatcher(None, o["norm"], t).ratio() >= 0.9)), None)
+            if hit is None:
+                out.append({"norm": t, "fact": fact, "importance": importance, "ids": [str(i)]})
+            else:
+                hit["ids"].append(str(i))
+                if (importance or 0) > (hit["importance"] or 0):
+                    hit.update(norm=t, fact=fact, importance=importance)
+            texts[f"{name}/{t}"] = (name, f"{name}/{t}", t)
+        want += [(name, n + 1, o["fact"], o["importance"], ",".join(o["ids"])) for n, o in enumerate(out)]
+    assert max(len(w[4].split(",")) for w in want) > 2
+    got = S.compress_sections(spark.createDataFrame(rows, "section string, rank long, fact string, importance int").withColumn("id", F.col("rank")))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    root = {r.id: r.root for r in S.near_groups(spark.createDataFrame([t for t in texts.values() if t[2]], "section string, id string, norm string")).collect()}
+    assert len(root) < len(texts) and len(set(root.values())) > 5
+
+
 def test_summary_of_nothing(spark):
     r = A.summary(spark.createDataFrame([], "v double"), "v").first()
     assert (r["count"], r["mean"], r["p90"]) == (0, 0.0, 0.0)
