@@ -250,6 +250,18 @@ def test_section_compression_goes_through_near_texts_only(spark, monkeypatch):
     assert len(root) < len(texts) and len(set(root.values())) > 5
 
 
+def test_ocr_noise_is_one_expression(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab12 \n日aé٣"), int(n))) for n in rng.integers(0, 24, 400)] + ["1" + "x" * 7 + "23", "1" + "x" * 8 + "23", "12\n3", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.ocr_noise("t").alias("noise"))
+    ascii_digits = lambda w: sum(x in "0123456789" for x in w)
+    pair = lambda t: any(x in "aeiou" and y in "aeiou" for x, y in zip(t, t[1:]))
+    for t, noise in df.collect():
+        assert noise == (bool(t) and (any(ascii_digits(t[i : i + 10]) >= 3 for i in range(len(t))) or (len(t) > 10 and not pair(t)))), t
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "sequence(" not in plan
+
+
 def test_summary_of_nothing(spark):
     r = A.summary(spark.createDataFrame([], "v double"), "v").first()
     assert (r["count"], r["mean"], r["p90"]) == (0, 0.0, 0.0)
