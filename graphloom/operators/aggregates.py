@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..storage import written
 
 
 def pct(part, whole):
@@ -100,10 +103,47 @@ def incoming_weight(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame, x: str, *keys: str) -> DataFrame:
     """count, mean, median, p10, p50, p90, min, max with linear interpolation; zeros when there are no rows."""
-    p = F.percentile(x, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = df.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.median(x).alias("median"), p.alias("_p"), F.min(x).alias("min"), F.max(x).alias("max"))
-    r = lambda v: F.round(F.coalesce(v, F.lit(0.0)), 4)
-    return out.select(*keys, "count", r("mean").alias("mean"), r("median").alias("median"), r(F.col("_p")[0]).alias("p10"), r(F.col("_p")[1]).alias("p50"), r(F.col("_p")[2]).alias("p90"), r("min").alias("min"), r("max").alias("max"))
+    out = df.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    named = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    found = percentiles(df.select(*keys, x), x, named, *keys)
+    out = out.join(found.select(*[F.col(k).alias(f"_{k}") for k in keys], *named), _same(keys, "_") if keys else F.lit(True), "left")
+    r = lambda v, name: F.round(F.coalesce(F.col(v), F.lit(0.0)), 4).alias(name)
+    return out.select(*keys, "count", r("mean", "mean"), r("p50", "median"), r("p10", "p10"), r("p50", "p50"), r("p90", "p90"), r("min", "min"), r("max", "max"))
+
+
+def _same(keys: tuple[str, ...], mark: str):
+    """That columns equal those with a mark before their names, null to null."""
+    return functools.reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"{mark}{k}")) for k in keys])
+
+
+def percentiles(df: DataFrame, x: str, named: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, a column for each name): exact percentiles with linear interpolation; groups without values are left out.
+
+    Values are counted, sorted over the cluster, and each part's place in its group follows from the parts before it: only the parts that
+    hold a wanted place are numbered, so no task holds a group.
+    """
+    by = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k0")]
+    ks = tuple(f"_k{i}" for i in range(len(by)))
+    counts = written(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_v")).groupBy(*ks, "_v").agg(F.count("*").alias("_n")))
+    dealt = written(counts.repartitionByRange(*ks, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*ks, "_part").agg(F.sum("_n").alias("_n"))
+    before = W.partitionBy(*ks).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*ks, "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), F.sum("_n").over(W.partitionBy(*ks)).alias("_all"))
+    at = {name: F.lit(float(p)) * (F.col("_all") - 1) for name, p in named.items()}
+    places = F.array(*[f(v).cast("long") for v in at.values() for f in (F.floor, F.ceil)])
+    held = parts.where(F.exists(places, lambda i: (i >= F.col("_from")) & (i < F.col("_from") + F.col("_n"))))
+    held = held.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col("_part").alias("_p"), "_from", "_all")
+    rows = dealt.join(F.broadcast(held), _same(ks, "_") & (F.col("_part") == F.col("_p"))).select(*ks, "_part", "_v", "_n", "_from", "_all")
+    rows = rows.withColumn("_to", F.col("_from") + F.sum("_n").over(W.partitionBy(*ks, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    value = lambda i: F.max(F.when((i >= F.col("_to") - F.col("_n")) & (i < F.col("_to")), F.col("_v")))
+    ends = [c for name, v in at.items() for c in (F.max(v).alias(f"_at_{name}"), value(F.floor(v)).alias(f"_low_{name}"), value(F.ceil(v)).alias(f"_high_{name}"))]
+    out = rows.groupBy(*ks).agg(*ends)
+
+    def between(name: str):
+        v, low, high = F.col(f"_at_{name}"), F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return F.when(low == high, low).otherwise((F.ceil(v) - v) * low + (v - F.floor(v)) * high).alias(name)
+
+    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[between(n) for n in named])
 
 
 def index_percentiles(df: DataFrame, x: str, ps: tuple[int, ...], *keys: str) -> DataFrame:

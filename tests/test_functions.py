@@ -262,6 +262,22 @@ def test_ocr_noise_is_one_expression(spark):
     assert "exists(" not in plan and "sequence(" not in plan
 
 
+def test_percentiles_without_a_task_that_holds_a_group(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=501).round(2), None: rng.integers(0, 3, 400).astype(float), "c": np.array([4.5]), "d": np.array([])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    out = A.summary(df, "v", "k")
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == set(groups) and got["d"]["count"] == 0 and got["d"].p50 == 0.0
+    for k, vs in groups.items():
+        if len(vs):
+            want = [round(float(x), 4) for x in np.percentile(vs, [10, 50, 90, 50])]
+            assert [got[k].p10, got[k].p50, got[k].p90, got[k]["median"]] == pytest.approx(want, abs=1e-4)
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert A.summary(df, "v").first()["count"] == 902
+
+
 def test_summary_of_nothing(spark):
     r = A.summary(spark.createDataFrame([], "v double"), "v").first()
     assert (r["count"], r["mean"], r["p90"]) == (0, 0.0, 0.0)
