@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of profiles that are broadcast; beyond them the join shuffles.
 SMALL_PROFILES = 500_000
+#: Most languages that are summed side by side.
+MANY_LANGUAGES = 64
 
 
 def trigrams(texts: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -31,12 +33,22 @@ def detected(chunks: DataFrame, profiles: DataFrame, floors: DataFrame, text: st
 
     The keys must name one row each; rows of one key are one text.
     """
-    grams = trigrams(chunks, text, *keys)
-    small = profiles.limit(SMALL_PROFILES + 1).count() <= SMALL_PROFILES
-    gains = grams.join(F.broadcast(profiles) if small else profiles, "gram").groupBy(*keys, "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    size = grams.groupBy(*keys).agg(F.sum("n").alias("n"))
+    langs = sorted(r["lang"] for r in floors.select("lang").limit(MANY_LANGUAGES + 1).collect())
+    if 0 < len(langs) <= MANY_LANGUAGES and profiles.limit(SMALL_PROFILES + 1).count() <= SMALL_PROFILES:
+        # A text's grams are summed in the task that cuts them: a row of sums leaves it, not the grams.
+        gain = lambda x: F.sum(F.when(F.col("lang") == x, F.col("gain")))
+        wide = profiles.groupBy("gram").agg(*[gain(x).alias(f"_g{i}") for i, x in enumerate(langs)])
+        words = chunks.select(*keys, F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("_w")).where("_w <> ''").withColumn("_w", F.concat(F.lit(" "), "_w", F.lit(" ")))
+        cut = words.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.length("_w") - 2), lambda i: F.substring("_w", i, F.lit(3)))).alias("gram"))
+        sums = cut.join(F.broadcast(wide), "gram", "left").groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(len(langs))])
+        each = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.col(f"_g{i}").alias("gain")) for i, x in enumerate(langs)]))
+        every = sums.select(*keys, "n", each.alias("_s")).select(*keys, "n", "_s.lang", "_s.gain").join(F.broadcast(floors), "lang")
+    else:
+        grams = trigrams(chunks, text, *keys)
+        gains = grams.join(profiles, "gram").groupBy(*keys, "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+        size = grams.groupBy(*keys).agg(F.sum("n").alias("n"))
+        every = size.crossJoin(F.broadcast(floors)).join(gains, [*keys, "lang"], "left")
     # Every language is scored, those without a gram of the text at their floor.
-    every = size.crossJoin(F.broadcast(floors)).join(gains, [*keys, "lang"], "left")
     scored = every.select(*keys, "lang", F.round(F.coalesce("gain", F.lit(0.0)) / F.col("n") + F.col("floor"), 9).alias("score"))
     best = scored.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "lang"))), 1, 2).alias("b"))
     found = best.select(*keys, F.col("b")[0]["lang"].alias("lang"), (F.get("b", F.lit(1))["less"] - F.col("b")[0]["less"]).alias("margin"))

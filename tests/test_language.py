@@ -1,6 +1,7 @@
 """Language detection: held-out accuracy, and rows out of the ordinary."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -31,3 +32,21 @@ def test_small_profiles_by_hand(spark):
     assert {r["id"]: r["lang"] for r in found.collect()} == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: "de", 7: "en"}
     assert math.isclose({r["id"]: r["margin"] for r in found.collect()}[1], math.log(3), abs_tol=1e-8)
     assert N.detected(spark.createDataFrame(rows, "id long, body string"), profiles.limit(0), floors.limit(0), "body", "id").where("lang IS NOT NULL").count() == 0
+
+
+def test_grams_of_a_text_are_not_grouped(spark):
+    docs = spark.createDataFrame([("en", "the cat sat"), ("de", "der hund die")], "lang string, body string")
+    found = N.detected(spark.createDataFrame([(1, "the the der"), (2, "die")], "id long, body string"), *N.learned(docs), "body", "id")
+    assert not re.search(r"Aggregate \[id#\w+, (gram|_w)#", found._jdf.queryExecution().optimizedPlan().toString())
+    assert {r["id"]: r["lang"] for r in found.collect()} == {1: "en", 2: "de"}
+
+
+def test_large_profiles_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", "the cat sat"), ("de", "der hund die")], "lang string, body string")
+    profiles, floors = N.learned(docs)
+    rows = spark.createDataFrame([(1, "the the der"), (2, "die xyz"), (3, "!")], "id long, body string")
+    small = sorted(map(tuple, N.detected(rows, profiles, floors, "body", "id").collect()))
+    monkeypatch.setattr(N, "SMALL_PROFILES", 1)
+    large = sorted(map(tuple, N.detected(rows, profiles, floors, "body", "id").collect()))
+    assert [r[:2] for r in small] == [r[:2] for r in large]
+    assert all(x[2] == y[2] or math.isclose(x[2], y[2], abs_tol=1e-8) for x, y in zip(small, large))
