@@ -49,6 +49,46 @@ def close_pairs(nodes: DataFrame, most: float = P.THREAT_DISTANCE) -> DataFrame:
     return pairs_among(nodes.select("id", "embedding"), near, f"a {kind}, b {kind}, distance double")
 
 
+def close_links(nodes: DataFrame, most: float = P.THREAT_DISTANCE, apart: bool = False) -> DataFrame:
+    """(a, b, pairs): links of nodes within the distance that join all those that close_pairs() does, directly or by others, and no more.
+
+    Of two blocks' pairs only a forest leaves the task, a link for each node at most, however many pairs there are.  On rows without a link `pairs` is how
+    many pairs of a strip lie within the distance, on the others null.  With `apart` pairs whose `tags` share an entry don't count.
+    """
+
+    def near(x, y):
+        shared = _classes(x, y, "tag-overlap", ()) if apart else None
+        root = np.arange(x.num_rows + y.num_rows)
+
+        def strip(rows, s, own):
+            hit = s >= 1 - most
+            if own is not None:
+                hit &= own
+            if apart:
+                hit &= shared(rows, None) == 0
+            theirs = root[: y.num_rows] if own is not None else root[x.num_rows :]
+            n, i, j = hit.sum(1), [], []
+            for r in np.flatnonzero(n):
+                me = rows.start + r
+                at = np.flatnonzero(hit[r])
+                at = at[theirs[at] != root[me]]
+                if len(at):
+                    new, first = np.unique(theirs[at], return_index=True)
+                    i += [me] * len(new)
+                    j += at[first].tolist()
+                    gone = np.zeros(len(root), bool)
+                    gone[new] = True
+                    root[gone[root]] = root[me]
+            a, b = x.column("id").take(pa.array(i, pa.int64())).combine_chunks(), y.column("id").take(pa.array(j, pa.int64())).combine_chunks()
+            links = pa.table({"a": a, "b": b, "pairs": pa.nulls(len(i), pa.int64())})
+            return pa.concat_tables([links, pa.table({"a": pa.nulls(1, a.type), "b": pa.nulls(1, b.type), "pairs": pa.array([int(n.sum())], pa.int64())})])
+
+        return strip
+
+    kind = dict(nodes.dtypes)["id"]
+    return pairs_among(nodes.select("id", "embedding", *(["tags"] if apart else [])), near, f"a {kind}, b {kind}, pairs long")
+
+
 def linked_similarity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cosine of each edge's two ends."""
     v = nodes.select("id", "embedding")
@@ -229,11 +269,16 @@ def drift(recommendation: DataFrame, current: float = P.THREAT_DISTANCE, most: f
 
 def gate(pairs: DataFrame, most: int = P.MERGE_GATE, force: bool = False) -> DataFrame:
     """The pairs, if they are few enough or forced.  Counts no further than the limit."""
-    if not force and pairs.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} candidate pairs; force to go on")
+    if not force:
+        gated(pairs.limit(most + 1).count(), most)
     return pairs
 
 
+def gated(pairs: int, most: int = P.MERGE_GATE) -> None:
+    if pairs > most:
+        raise ValueError(f"more than {most} candidate pairs; force to go on")
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id that each paired id reaches.  Large-star and small-star rounds on tables in the shared folder."""
     e = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())

@@ -8,7 +8,7 @@ product, a table with itself only once for each two blocks.  Only pairs that pas
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +119,8 @@ def pairs_among(nodes: DataFrame, found: Callable[[pa.Table, pa.Table], Callable
     """The rows that found() gives for every two of the nodes (id, embedding, what else it needs), each pair of ids once.
 
     found(x, y) of two blocks gives a function of strips: of `rows`, a slice of x, of their similarities with all of y, and where x and y are
-    one block, of the entries that count (else None).  Blocks are in the order of ids, so that a pair's similarity is the same whenever it is computed.
+    one block, of the entries that count (else None).  A strip's rows leave the task before the next strip is made, so a task never holds those of
+    two blocks.  Blocks are in the order of ids, so that a pair's similarity is the same whenever it is computed.
     """
     v = nodes.where("id is not null and embedding is not null")
     blocks = max(-(-v.count() // block), math.ceil(math.sqrt(2 * v.sparkSession.sparkContext.defaultParallelism)))
@@ -127,17 +128,18 @@ def pairs_among(nodes: DataFrame, found: Callable[[pa.Table, pa.Table], Callable
     dealt = dealt.withColumns({"_x": F.least("_block", "_other"), "_y": F.greatest("_block", "_other")}).drop("_other")
     empty = StructType.fromDDL(schema)
 
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("id")
         x, y = (t.filter(pc.equal(t.column("_block"), k)) for k in key)
-        parts = [to_arrow_schema(empty).empty_table()]
+        shape, t = to_arrow_schema(empty), None
         if x.num_rows and y.num_rows:
-            u, w, strip = _unit(x.column("embedding")), _unit(y.column("embedding")), found(x, y)
+            u, w = _unit(x.column("embedding")), _unit(y.column("embedding"))
+            x, y = x.drop_columns("embedding"), y.drop_columns("embedding")
+            strip = found(x, y)
             own = pc.rank(x.column("id"), tiebreaker="dense").to_numpy() if key[0] == key[1] else None
             for at in range(0, len(u), ROWS):
                 rows = slice(at, min(at + ROWS, len(u)))
-                parts.append(strip(rows, u[rows] @ w.T, None if own is None else own > own[rows, None]))
-        return pa.concat_tables(parts)
+                yield from strip(rows, u[rows] @ w.T, None if own is None else own > own[rows, None]).cast(shape).to_batches()
 
     return dealt.groupBy("_x", "_y").applyInArrow(meet, schema)
 

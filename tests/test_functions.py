@@ -513,3 +513,21 @@ def test_greedy_canonicals_make_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(S, "pairs_among", lambda *a, **k: made.append(1) or found(*a, **k))
     got = S.greedy_canonicals(spark.createDataFrame(rows, "id long, embedding array<float>, created_at timestamp"), 0.3, 0.12)
     assert {r.threshold: r.merged for r in got.collect()} == want and len(made) == 1
+
+
+def test_close_links_join_what_close_pairs_do(spark):
+    """A link for each node at most leaves two blocks, however many pairs there are; shared tags keep a pair from counting."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, [float(x) for x in base[i % 40] + rng.normal(size=6) * 0.05], [f"r{i % 3}"] if i % 5 else None) for i in range(400)] + [(400, None, None), (401, [0.0] * 6, None)]
+    d = spark.createDataFrame(rows, "id long, embedding array<double>, tags array<string>").repartition(3)
+    for apart in (False, True):
+        pairs = S.close_pairs(d.select("id", "embedding"), 0.1).collect()
+        tags = {i: set(t or ()) for i, _, t in rows}
+        pairs = [(r.a, r.b) for r in pairs if not (apart and tags[r.a] & tags[r.b])]
+        got = S.close_links(d, 0.1, apart=apart).collect()
+        links = [(r.a, r.b) for r in got if r.a is not None]
+        assert sum(r.pairs or 0 for r in got) == len(pairs) > 1500 and {tuple(sorted(x)) for x in links} <= set(pairs)
+        roots = lambda p: {tuple(r) for r in S.components(spark.createDataFrame(p, "a long, b long")).collect()}
+        assert roots(links) == roots(pairs)
+        assert len(links) <= 400 * 4
