@@ -111,12 +111,20 @@ def cross_report_pairs(threats: DataFrame, identifies: DataFrame, most: float =
     return p.where(~F.arrays_overlap(F.coalesce("sa", empty), F.coalesce("sb", empty))).select("a", "b", "distance")
 
 
-def dedup_plan(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE, force: bool = False, pairs: DataFrame | None = None) -> DataFrame:
-    """(source, target): cross-report pairs within the distance, behind the gate, merged by component into the most identified, oldest node."""
-    cross = cross_report_pairs(threats, identifies, most) if pairs is None else pairs
+def cross_report_links(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE) -> DataFrame:
+    """(a, b, pairs): links that join what cross_report_pairs() does, and on rows without a link how many such pairs there are (close_links)."""
+    seen = A.reports_per_threat(identifies).select("id", F.col("reports").alias("tags"))
+    return S.close_links(threats.select("id", "embedding").join(seen, "id", "left"), most, apart=True)
+
+
+def dedup_plan(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE, force: bool = False, links: DataFrame | None = None) -> DataFrame:
+    """(source, target): cross-report pairs within the distance, behind the gate, merged by component into the most identified, oldest node.  links: those of cross_report_links(), where they are there already."""
+    links = written(cross_report_links(threats, identifies, most)) if links is None else links
     seen = A.reports_per_threat(identifies)
     nodes = threats.join(seen.select("id", "identifies"), "id", "left").na.fill(0, ["identifies"])
-    return S.merge_plan(S.gate(cross, force=force), nodes, [F.desc("identifies"), F.asc("created_at"), F.asc("id")])
+    if not force:
+        S.gated(links.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
+    return S.merge_plan(links.where("a IS NOT NULL"), nodes, [F.desc("identifies"), F.asc("created_at"), F.asc("id")])
 
 
 def threat_counts(threats: DataFrame, identifies: DataFrame, techniques: DataFrame) -> DataFrame:
@@ -137,12 +145,12 @@ def dedup_applied(
     if not targets.join(threats.select(F.col("id").alias("src")), "src", "left_semi").isEmpty():
         raise ValueError("threats have TARGETS edges, which merges don't move")
     live = threats.where(F.col("embedding").isNotNull() & ~(F.coalesce("archived", F.lit(False)) if "archived" in threats.columns else F.lit(False)))
-    pairs = written(cross_report_pairs(live, identifies, most))
-    merges = written(dedup_plan(live, identifies, most, force, pairs))
+    links = written(cross_report_links(live, identifies, most))
+    merges = written(dedup_plan(live, identifies, most, force, links))
     before = threat_counts(threats, identifies, techniques).withColumn("at", F.lit("before"))
     after = (threats, identifies, techniques) if dry_run else M.merge_threats(threats, merges, identifies, techniques, now)[:3]
     after = [written(df) for df in after]
-    entry = merges.agg(F.count("*").alias("merges_attempted"), F.array_sort(F.collect_list(F.struct("source", "target"))).alias("m")).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("candidates_found"))))
+    entry = merges.agg(F.count("*").alias("merges_attempted"), F.array_sort(F.collect_list(F.struct("source", "target"))).alias("m")).crossJoin(F.broadcast(links.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("candidates_found"))))
     entry = entry.select(
         F.lit("auto_merge").alias("operation"), now.cast("string").alias("ran_at"), F.lit(most).alias("threshold"), "candidates_found", "merges_attempted", F.col("merges_attempted").alias("merges_succeeded"),
         F.transform("m", lambda x: x["source"]).alias("source_ids"), F.transform("m", lambda x: x["target"]).alias("canonical_ids"),
