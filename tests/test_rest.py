@@ -50,6 +50,15 @@ def test_long_rest(graph):
     assert [x["operation"] for x in log] == ["long_rest", "auto_merge"] and (log[1]["source_id"], log[1]["canonical_id"]) == ("2", "1") and log[0]["nodes_affected"] == 4
 
 
+def test_report_counts_edges_before_merge(graph):
+    """One rest tells how many RELATED_TO edges there are before its merges: those a rest without merges leaves."""
+    m, related, leads, now = graph
+    options = {"prune": True, "near_duplicate": 0.9, "k": 3, "most": 0.1}
+    merged, plain = full_long_rest(m, related, leads, now, auto_merge=0.99, **options), full_long_rest(m, related, leads, now, **options)
+    n = plain.related.count()
+    assert merged.report.first()["edges_before_merge"] == plain.report.first()["edges_before_merge"] == n > merged.related.count()
+
+
 def test_dry_run_changes_nothing(graph):
     m, related, leads, now = graph
     out = full_long_rest(m, related, leads, now, prune=True, dry_run=True, auto_merge=0.5, near_duplicate=0.9, k=3, most=0.1)
