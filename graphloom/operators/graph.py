@@ -10,6 +10,10 @@ from .. import params as P
 from ..storage import written
 
 
+#: Edges of a task where nodes are reached step by step, about.
+TASK_EDGES = 100_000
+
+
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes of the ids named in a table (column id)."""
     return nodes.join(ids.select("id").distinct(), "id")
@@ -54,17 +58,25 @@ def neighbours(hits: DataFrame, edges: DataFrame, targets: DataFrame, cap: int =
 
 
 def reach(starts: DataFrame, edges: DataFrame, hops: int, least: int = 1) -> DataFrame:
-    """(start, id): nodes within `least` to `hops` steps.  A fixed number of joins, each with its repeats removed, so growth is bounded by the nodes reached."""
+    """(start, id): nodes within `least` to `hops` steps.  A fixed number of joins, each with its repeats removed, so growth is bounded by the nodes reached.
+
+    Tasks grow in number with the edges (TASK_EDGES each), so that one's memory doesn't.
+    """
     if not 0 <= hops <= P.MAX_HOPS and least:
         raise ValueError(f"hops run from 0 to {P.MAX_HOPS}")
-    step = edges.select("src", "dst").distinct()
+    step = written(edges.select("src", "dst").distinct())
+    parts = -(-step.count() // TASK_EDGES)
+    wide = parts > int(step.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df, *keys: df.repartition(parts, *keys) if wide else df
     now = starts.select(F.col("id").alias("start"), F.col("id")).distinct()
     out = now if least == 0 else None
     for i in range(1, hops + 1):
-        now = now.join(step, now.id == step.src).select("start", F.col("dst").alias("id")).distinct()
+        now = deal(now, "id").join(deal(step, "src"), F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"))
+        if i < hops:
+            now = deal(now, "start", "id").distinct()
         if i >= least:
             out = now if out is None else out.unionByName(now)
-    return (out if out is not None else now.limit(0)).distinct()
+    return deal(out if out is not None else now.limit(0), "start", "id").distinct()
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

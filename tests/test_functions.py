@@ -531,3 +531,21 @@ def test_close_links_join_what_close_pairs_do(spark):
         roots = lambda p: {tuple(r) for r in S.components(spark.createDataFrame(p, "a long, b long")).collect()}
         assert roots(links) == roots(pairs)
         assert len(links) <= 400 * 4
+
+
+def test_reach_deals_more_tasks_to_more_edges(spark, monkeypatch):
+    """Against a walk; with more edges there are more tasks, where shuffle partitions would else be all."""
+    from graphloom.operators import graph
+
+    edges = [(i, i * k % 97) for i in range(97) for k in (2, 3)] * 2 + [(None, 3), (4, None)]
+    e, starts = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in (1, 5, 5, 500, None)], "id long")
+    want, front = set(), {(1, 1), (5, 5)}
+    for _ in range(3):
+        front = {(s, b) for s, x in front for a, b in edges if a == x}
+        want |= front
+    for size, parts in ((100_000, None), (10, 20)):
+        monkeypatch.setattr(graph, "TASK_EDGES", size, raising=False)
+        got = graph.reach(starts, e, 3)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        if parts:
+            assert got.rdd.getNumPartitions() >= parts - 1 > 4
