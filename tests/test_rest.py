@@ -59,6 +59,16 @@ def test_report_counts_edges_before_merge(graph):
     assert merged.report.first()["edges_before_merge"] == plain.report.first()["edges_before_merge"] == n > merged.related.count()
 
 
+def test_all_alike_pairs_are_reviewed_and_merged(spark):
+    """1,100 linked pairs of copies: none is left out, however many there are."""
+    now, n = F.lit("2024-03-01 00:00:00").cast("timestamp"), 1100
+    m = spark.range(2 * n).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.lit("active").alias("status"), F.lit(False).alias("ephemeral"), F.lit(3).alias("importance"), F.lit(None).cast("double").alias("strength"))
+    m = m.withColumns({"min_strength": F.lit(0.0), "decay_rate": F.lit(0.01), "created_at": now, "last_reinforced_at": now})
+    related = spark.range(n).select((2 * F.col("id")).alias("src"), (2 * F.col("id") + 1).alias("dst"), F.lit(0.5).alias("weight"))
+    r = full_long_rest(m, related, related.limit(0), now, auto_merge=0.9, near_duplicate=0.9).report.first()
+    assert (r["edges_before_merge"], r["near_duplicate_count"], r["auto_merged_count"]) == (n, n, n)
+
+
 def test_dry_run_changes_nothing(graph):
     m, related, leads, now = graph
     out = full_long_rest(m, related, leads, now, prune=True, dry_run=True, auto_merge=0.5, near_duplicate=0.9, k=3, most=0.1)
