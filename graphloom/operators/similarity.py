@@ -107,23 +107,20 @@ def pair_plan(nodes: DataFrame, plan: list[tuple[str, tuple[str, ...], str, tupl
     return out
 
 
-def pair_class(mode: str = "tag-overlap", dominant: tuple[str, ...] = ()):
-    """within, between or (null) not counted, of a pair's tag lists ta and tb."""
-    empty = F.array().cast("array<string>")
-    a, b = F.coalesce("ta", empty), F.coalesce("tb", empty)
-    if mode == "tag-overlap":
-        return F.when(F.arrays_overlap(a, b), "within").otherwise("between")
-    top = F.array(*[F.lit(d) for d in dominant]).cast("array<string>")
-    da, db = F.array_intersect(a, top), F.array_intersect(b, top)
-    return F.when((F.size(da) != 1) | (F.size(db) != 1), F.lit(None)).when(da[0] == db[0], "within").otherwise("between")
-
-
 def pair_distances(threats: DataFrame, mode: str = "tag-overlap", dominant: tuple[str, ...] = ()) -> DataFrame:
     """(class, distance) of every pair of threats with vectors of some length."""
-    p = similar_pairs(threats, threats, -2.0).where("src < dst")
-    t = threats.select("id", "tags")
-    p = p.join(t.select(F.col("id").alias("src"), F.col("tags").alias("ta")), "src").join(t.select(F.col("id").alias("dst"), F.col("tags").alias("tb")), "dst")
-    return p.select(pair_class(mode, dominant).alias("class"), (1 - F.col("similarity")).alias("distance")).where("class is not null")
+
+    def each(x, y):
+        classes = _classes(x, y, mode, dominant)
+
+        def strip(rows, s, own):
+            c = classes(rows, own)
+            at = c >= 0
+            return pa.table({"class": pc.if_else(pa.array(c[at] == 1), "within", "between"), "distance": 1 - s[at]})
+
+        return strip
+
+    return pairs_among(threats.select("id", "embedding", "tags"), each, "class string, distance double")
 
 
 def _marks(t: pa.Table, mode: str, dominant: tuple[str, ...]) -> np.ndarray | dict:

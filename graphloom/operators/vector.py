@@ -23,6 +23,8 @@ from ..functions.scalar import cosine, score
 
 #: Vectors of a side that one task holds at a time, about, and rows of a product that are there at once.
 BLOCK, ROWS = 10_000, 512
+#: Most rows that a strip's pairs leave a task in at a time.
+SENT = 1 << 16
 #: The first columns of a product, whose k-th best similarity bounds that of all.
 FIRST = 1024
 
@@ -139,7 +141,7 @@ def pairs_among(nodes: DataFrame, found: Callable[[pa.Table, pa.Table], Callable
             own = pc.rank(x.column("id"), tiebreaker="dense").to_numpy() if key[0] == key[1] else None
             for at in range(0, len(u), ROWS):
                 rows = slice(at, min(at + ROWS, len(u)))
-                yield from strip(rows, u[rows] @ w.T, None if own is None else own > own[rows, None]).cast(shape).to_batches()
+                yield from strip(rows, u[rows] @ w.T, None if own is None else own > own[rows, None]).cast(shape).to_batches(SENT)
 
     return dealt.groupBy("_x", "_y").applyInArrow(meet, schema)
 

@@ -97,9 +97,13 @@ def threat_report(identifies: DataFrame, threat_technique: DataFrame, mitigates:
 
 def calibration(threats: DataFrame, mode: str = "tag-overlap") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary by class, recommendation, drift)."""
-    d = S.pair_distances(threats, mode)
     rec = S.recommended(threats, mode)
-    return A.summary(d, "distance", "class"), rec, S.drift(rec)
+    return A.summary(S.pair_distances(threats, mode), "distance", "class"), rec, S.drift(rec)
+
+
+def calibration_drift(threats: DataFrame, mode: str = "tag-overlap") -> DataFrame:
+    """The drift of calibration() alone, for which no table of the pairs is made, as the summary needs one."""
+    return S.drift(S.recommended(threats, mode))
 
 
 def cross_report_pairs(threats: DataFrame, identifies: DataFrame, most: float = P.THREAT_DISTANCE) -> DataFrame:

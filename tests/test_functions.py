@@ -136,6 +136,31 @@ def threats(spark, rows=THREATS):
     return spark.createDataFrame([(i, t, v, dt.datetime(2024, 1, 1 + n)) for n, (i, t, v) in enumerate(rows)], "id string, tags array<string>, embedding array<double>, created_at timestamp")
 
 
+def test_drift_makes_no_table_of_pairs(spark, monkeypatch):
+    """The drift needs two percentiles, which are counted where the pairs are made; a table of all pairs holds the square of the vectors."""
+    from graphloom import catalog
+
+    def refused(*_, **__):
+        raise AssertionError("a table of all pairs")
+
+    for name in ("pair_distances", "similar_pairs"):
+        monkeypatch.setattr(S, name, refused)
+    assert catalog.QUERIES["q11_calibration_drift"](spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_pair_distances_leave_in_parts(spark, monkeypatch):
+    """Every pair comes once, with its class and distance, however few rows leave a task at a time."""
+    import numpy as np
+    from graphloom.operators import vector as V
+
+    monkeypatch.setattr(V, "SENT", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], [f"t{i % 3}"]) for i in range(40)]
+    got = sorted((r["class"], round(r["distance"], 9)) for r in S.pair_distances(spark.createDataFrame(rows, "id long, embedding array<double>, tags array<string>")).collect())
+    far = lambda a, b: 1 - np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    assert got == sorted(("within" if i % 3 == j % 3 else "between", round(float(far(a, b)), 9)) for i, a, _ in rows for j, b, _ in rows if i < j)
+
+
 def test_pair_classes(spark):
     n = {r["class"]: r["count"] for r in S.pair_distances(threats(spark)).groupBy("class").count().collect()}
     assert n == {"within": 1, "between": 5}
