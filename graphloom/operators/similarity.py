@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.scalar import cosine
-from ..storage import shared_folder, written  # noqa: F401
+from ..storage import discard, shared_folder, written  # noqa: F401
 from .graph import undirected
 from .vector import pairs_among, similar_pairs
 
@@ -330,7 +331,7 @@ def greedy_merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def greedy_canonicals(threats: DataFrame, most: float, baseline: float) -> DataFrame:
     """(threshold, merged): how many threats, taken in order of creation, lie within the threshold of an earlier one that was kept."""
-    widest = max(most, baseline)
+    widest, least = max(most, baseline), min(most, baseline)
 
     def near(x, y):
         def strip(rows, s, own):
@@ -342,18 +343,44 @@ def greedy_canonicals(threats: DataFrame, most: float, baseline: float) -> DataF
             less = pc.or_(pc.fill_null(pc.less(u, v), False), pc.and_(none, pc.invert(also)))
             same = pc.or_(pc.fill_null(pc.equal(u, v), False), pc.and_(none, also))
             first = pc.or_(less, pc.and_(same, pc.less(a, b)))
-            return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a), "distance": 1 - s[i, j]})
+            d = 1 - s[i, j]
+            found = pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a), "narrow": d < least + 1e-12})
+            return found.filter(pa.array(d < widest + 1e-12))
 
         return strip
 
     kind, out = dict(threats.dtypes)["id"], None
-    pairs = written(pairs_among(threats.select("id", "embedding", "created_at"), near, f"a {kind}, b {kind}, distance double"))
+    # The table of pairs grows with the square of the nodes: it holds no distances, and is there once for both thresholds.
+    pairs = written(pairs_among(threats.select("id", "embedding", "created_at"), near, f"a {kind}, b {kind}, narrow boolean"))
     for t in (most, baseline):
-        n = first_of_kind(pairs.where(F.col("distance") < t + 1e-12)).agg(F.count("*").alias("merged")).select(F.lit(float(t)).alias("threshold"), "merged")
+        n = absorbed_ends(pairs if t == widest else pairs.where("narrow")).agg(F.count("*").alias("merged")).select(F.lit(float(t)).alias("threshold"), "merged")
         out = n if out is None else out.unionByName(n)
+    out = written(out)
+    discard(pairs)
     return out
 
 
+def _handy(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """A written table of ids as the small side of a join: broadcast up to the limit (16 bytes a row), so that the large side isn't shuffled."""
+    return F.broadcast(df) if df.count() * 16 <= limit else df
+
+
+def absorbed_ends(pairs: DataFrame) -> DataFrame:
+    """(b): the nodes that first_of_kind() finds absorbed, each once.  A round's tables go when the next one's are there."""
+    left, before, parts = pairs.select("a", "b"), None, []
+    while True:
+        canonical = written(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        hit = written(left.join(_handy(canonical), "a", "left_semi").select("b").distinct())
+        parts.append(hit)
+        gone = _handy(hit)
+        left = written(left.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+        discard(canonical, *([] if before is None else [before]))
+        before = left
+        if left.isEmpty():
+            discard(left)
+            return functools.reduce(DataFrame.unionByName, parts)
+
+
 def first_of_kind(pairs: DataFrame, near: str = "distance") -> DataFrame:
     """(id, canonical): of pairs (a, b, distance) in which a comes before b, each b that lies near to a canonical a, with the nearest one.
 
@@ -361,15 +388,7 @@ def first_of_kind(pairs: DataFrame, near: str = "distance") -> DataFrame:
     once an earlier canonical one is known, and canonical once all its earlier neighbours are absorbed.  Rounds go on until all is decided.
     """
     p = written(pairs.select("a", "b", near))
-    left, absorbed = p, None
-    while True:
-        canonical = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
-        hit = left.join(canonical, "a", "left_semi").select("b").distinct()
-        absorbed = written(hit if absorbed is None else absorbed.unionByName(hit))
-        gone = absorbed.select(F.col("b").alias("_g"))
-        left = written(left.join(gone, F.col("b") == F.col("_g"), "left_anti").join(gone, F.col("a") == F.col("_g"), "left_anti"))
-        if left.isEmpty():
-            break
+    absorbed = absorbed_ends(p)
     kept = p.join(absorbed.select(F.col("b").alias("_g")), F.col("a") == F.col("_g"), "left_anti")
     return kept.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.round(near, 12).alias("d"), "a")).alias("m")).select("id", F.col("m.a").alias("canonical"))
 

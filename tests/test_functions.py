@@ -136,6 +136,19 @@ def threats(spark, rows=THREATS):
     return spark.createDataFrame([(i, t, v, dt.datetime(2024, 1, 1 + n)) for n, (i, t, v) in enumerate(rows)], "id string, tags array<string>, embedding array<double>, created_at timestamp")
 
 
+def test_greedy_leaves_no_table_of_pairs(spark):
+    """300 copies make 44,850 pairs; none of the tables that hold them stays in the shared folder."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    at = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(at.glob("graphloom-*"))
+    t = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"), F.lit("2024-03-01 00:00:00").cast("timestamp").alias("created_at"))
+    assert {tuple(r) for r in S.greedy_canonicals(t, 0.3, 0.1).collect()} == {(0.3, 299), (0.1, 299)}
+    assert sum(pq.ParquetFile(f).metadata.num_rows for d in set(at.glob("graphloom-*")) - before for f in d.glob("*.parquet")) < 1000
+
+
 def test_drift_makes_no_table_of_pairs(spark, monkeypatch):
     """The drift needs two percentiles, which are counted where the pairs are made; a table of all pairs holds the square of the vectors."""
     from graphloom import catalog
