@@ -366,7 +366,12 @@ def _handy(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
 
 
 def absorbed_ends(pairs: DataFrame) -> DataFrame:
-    """(b): the nodes that first_of_kind() finds absorbed, each once.  A round's tables go when the next one's are there."""
+    """(b): of pairs (a, b) in which a comes before b, each b that lies near to a canonical a, once.
+
+    As if the nodes were taken in order and each became canonical unless one that is canonical already lies near: a node is absorbed
+    once an earlier canonical one is known, and canonical once all its earlier neighbours are absorbed.  Rounds go on until all is decided; a round's
+    tables go when the next one's are there.
+    """
     left, before, parts = pairs.select("a", "b"), None, []
     while True:
         canonical = written(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
@@ -381,18 +386,6 @@ def absorbed_ends(pairs: DataFrame) -> DataFrame:
             return functools.reduce(DataFrame.unionByName, parts)
 
 
-def first_of_kind(pairs: DataFrame, near: str = "distance") -> DataFrame:
-    """(id, canonical): of pairs (a, b, distance) in which a comes before b, each b that lies near to a canonical a, with the nearest one.
-
-    As if the nodes were taken in order and each became canonical unless one that is canonical already lies near: a node is absorbed
-    once an earlier canonical one is known, and canonical once all its earlier neighbours are absorbed.  Rounds go on until all is decided.
-    """
-    p = written(pairs.select("a", "b", near))
-    absorbed = absorbed_ends(p)
-    kept = p.join(absorbed.select(F.col("b").alias("_g")), F.col("a") == F.col("_g"), "left_anti")
-    return kept.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.round(near, 12).alias("d"), "a")).alias("m")).select("id", F.col("m.a").alias("canonical"))
-
-
 def sample_pairs(distances: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows of each class, by a seeded hash."""
     w = W.partitionBy("class").orderBy(F.xxhash64(*[F.col(x) for x in distances.columns], F.lit(seed)))
